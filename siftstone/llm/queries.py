@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import credentials, entities, history, leaks
+from siftstone.llm import consensus, credentials, entities, history, leaks, mixing, residue
 from siftstone.plans import sqltext as S
 from siftstone.session import table
 
@@ -89,3 +89,47 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Per leaked item, how many documents hold a passage of it, and the longest one."""
     pairs = leaks.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return pairs.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("longest"))
+
+
+@query()
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = consensus.finding_verdicts(table(spark, d, "votes"), table(spark, d, "findings"), table(spark, d, "scans"))
+    return found.select("scan_id", "finding_id", "verdict")
+
+
+@query()
+def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
+    labels = consensus.vote_labels(table(spark, d, "votes"), table(spark, d, "findings"), table(spark, d, "scans"))
+    return consensus.consensus(labels)[1]
+
+
+@query(r"""
+WITH cast_ AS (
+  SELECT DISTINCT scan_id, finding_id, regexp_replace(lower(trim(role)), '[\s\-]+', '_', 'g') AS role,
+    CASE WHEN w IN ('confirm', 'confirmed', 'true positive', 'tp') THEN 'confirm' WHEN w IN ('reject', 'rejected', 'false positive', 'fp') THEN 'reject'
+         WHEN w IN ('uncertain', 'unsure', 'unk') THEN 'uncertain' END AS label
+  FROM (SELECT *, regexp_replace(trim(coalesce(nullif(regexp_extract(lower(verdict), '"verdict"\s*:\s*"([^"]*)"', 1), ''), lower(verdict))), '[\s_\-]+', ' ', 'g') AS w FROM votes)),
+once AS (SELECT scan_id, finding_id, label, count(*) AS c FROM cast_ WHERE label IS NOT NULL GROUP BY ALL),
+units AS (SELECT scan_id, finding_id, sum(c) AS m, sum(c * (c - 1)) AS same FROM once GROUP BY ALL HAVING sum(c) > 1),
+o AS (SELECT CAST(count(*) AS BIGINT) AS n_findings, CAST(sum(m) AS BIGINT) AS n_votes, sum(same / (m - 1)) / sum(m) AS observed FROM units),
+e AS (SELECT sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) AS expected FROM (SELECT label, sum(c) AS c FROM once SEMI JOIN units USING (scan_id, finding_id) GROUP BY label))
+SELECT n_findings, n_votes, round(observed, 9) AS observed, round(expected, 9) AS expected, round(1 - (1 - observed) / (1 - expected), 9) AS alpha FROM o, e
+""")
+def p6_agreement(spark: SparkSession, d: str) -> DataFrame:
+    got = consensus.agreement(table(spark, d, "votes"))
+    return got.select("n_findings", "n_votes", *(F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")))
+
+
+@query()
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query()
+def p8_records(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed_records(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(table(spark, d, "documents")).select("doc_id")
