@@ -52,3 +52,31 @@ snaps AS (
          lead(scan_id) OVER (PARTITION BY stream ORDER BY started_at, scan_id) AS next_scan_id
   FROM stands)
 """
+
+
+def verdict(c: str) -> str:
+    w = (
+        f"regexp_replace(trim(coalesce(nullif(regexp_extract(lower({c}), '\"verdict\"\\s*:\\s*\"([^\"]*)\"', 1), ''), lower({c}))), '[\\s_\\-]+', ' ', 'g')"
+    )
+    return (
+        f"CASE WHEN {w} IN ('confirm', 'confirmed', 'true positive', 'tp') THEN 'confirm' WHEN {w} IN ('reject', 'rejected', 'false positive', 'fp') "
+        f"THEN 'reject' WHEN {w} IN ('uncertain', 'unsure', 'unk') THEN 'uncertain' END"
+    )
+
+
+def word(c: str) -> str:
+    return known(f"regexp_replace(lower(trim({c})), '[\\s\\-]+', '_', 'g')")
+
+
+LATEST = f"""
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, finding_id ORDER BY recorded_at DESC NULLS LAST,
+    coalesce(finding_json, '') DESC, coalesce(path, '') DESC, coalesce(cwe, '') DESC, coalesce(severity, '') DESC) AS rn
+    FROM findings WHERE scan_id IS NOT NULL AND finding_id IS NOT NULL) WHERE rn = 1),
+f AS (
+  SELECT scan_id, finding_id, {repo('repo')} AS repo, {severity('severity')} AS severity, {cwe('cwe')} AS cwe, {path('path')} AS path,
+         regexp_extract({path('path')}, '([^/]*)$', 1) AS file, CAST(start_line AS BIGINT) AS line, {word('skill')} AS skill, confidence,
+         {verdict('validator_verdict')} AS validator, {verdict('reviewer_verdict')} AS reviewer, reviewer_at, finding_json
+  FROM latest)
+"""
+SEV_NUM = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'informational' THEN 1 END"
