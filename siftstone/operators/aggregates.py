@@ -46,8 +46,8 @@ def calibrated(findings: DataFrame, by_cwe: DataFrame, by_skill: DataFrame, gain
     )
     given = F.array_compact(F.array("rel_cwe", "rel_skill"))
     mean = F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / F.size(given))
-    delta = F.greatest(F.least(gain * (mean - 0.5), F.lit(most)), F.lit(-most))
-    moved = F.coalesce(F.when(F.abs(delta) >= dead, delta), F.lit(0.0))
+    delta = F.greatest(F.least(gain * (mean - 0.5), F.lit(most)), F.lit(-most))  # passes over nulls, so look at the mean
+    moved = F.when(mean.isNotNull() & (F.abs(delta) >= dead), delta).otherwise(0.0)
     return joined.withColumn("delta", moved).withColumn("calibrated", F.greatest(F.least(F.col("confidence") + F.col("delta"), F.lit(1.0)), F.lit(0.0)))
 
 

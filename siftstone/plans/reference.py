@@ -185,7 +185,7 @@ c AS (SELECT cwe, CASE WHEN count(*) >= 2 THEN (count(*) FILTER (mark = 'TP') +
 s AS (SELECT skill, CASE WHEN count(*) >= 2 THEN (count(*) FILTER (mark = 'TP') + 1) / (count(*) + 2) END AS r FROM m WHERE mark IS NOT NULL AND skill IS NOT NULL GROUP BY skill),
 j AS (SELECT f.*, CASE WHEN c.r IS NULL THEN s.r WHEN s.r IS NULL THEN c.r ELSE (c.r + s.r) / 2 END AS mean FROM f LEFT JOIN c USING (cwe) LEFT JOIN s USING (skill)),
 x AS (SELECT *, greatest(least(0.4 * (mean - 0.5), 0.3), -0.3) AS raw FROM j)
-SELECT scan_id, finding_id, round(greatest(least(confidence + CASE WHEN abs(raw) >= 0.01 THEN raw ELSE 0 END, 1.0), 0.0), 9) AS calibrated FROM x WHERE confidence IS NOT NULL""")
+SELECT scan_id, finding_id, round(greatest(least(confidence + CASE WHEN mean IS NOT NULL AND abs(raw) >= 0.01 THEN raw ELSE 0 END, 1.0), 0.0), 9) AS calibrated FROM x WHERE confidence IS NOT NULL""")
 def calibrate_confidence(spark: SparkSession, d: str) -> DataFrame:
     f = levelled_findings(spark, d).where("confidence is not null")
     marks = _marks(levelled_findings(spark, d))
