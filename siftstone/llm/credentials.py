@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK = "********"
+PIECE = 200
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|secret_?key|private_?key|credential)"
-_KEY = rf"[\w.\-]*{_NAME}(?:[_\-.]\w+|s)?"
+# A name starts where no name goes on, so a long run of letters is read once.
+_KEY = rf"(?<![\w.\-])[\w.\-]*{_NAME}(?:[_\-.]\w+|s)?"
 _QUOTED = r"""(?:"(?P<v1>[^"\n]+)"|'(?P<v2>[^'\n]+)')"""
 
 # Detection patterns by name; the groups v, v1, v2 hold the secret part.
@@ -35,7 +37,7 @@ PATTERNS: dict[str, str] = {
     "search_api_key": r"(?<![A-Za-z0-9])(?P<v>AIza[0-9A-Za-z_\-]{30,})",
     "chat_token": r"(?<![A-Za-z0-9])(?P<v>xox[abeoprs]-[0-9A-Za-z\-]{10,})",
     "private_key": r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<v>(?:(?!-----END)[\s\S]){24,})",
-    "url_password": r"""[a-z][a-z0-9+.\-]*://[^\s:/@"']*:(?P<v>[^\s/@"']+)@[\w.\-]""",
+    "url_password": r"""(?<![a-z0-9+.\-])[a-z][a-z0-9+.\-]*://[^\s:/@"']*:(?P<v>[^\s/@"']+)@[\w.\-]""",
     "bearer_token": r"Bearer\s+(?P<v>[A-Za-z0-9._~+/=\-]{12,})",
     "basic_auth": r"Basic\s+(?P<v>[A-Za-z0-9+/]{8,}={0,2})",
     "chat_hook": r"""hooks\.[^\s"'/]+/services/\w+/\w+/(?P<v>\w{12,})""",
@@ -182,13 +184,19 @@ def required_trigrams(pattern: str, most: int = 64) -> list[frozenset[str]]:
 
 def trigram_index(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Postings (trigram, chunk) of every chunk's lower-case text; ``wanted`` limits the trigrams kept."""
-    grams = F.expr("array_distinct(transform(sequence(1, length(low) - 2), i -> substring(low, i, 3)))")
+    # Text is cut into short pieces that overlap by two letters, as reaching into a long string costs its length.
+    pieces = F.regexp_extract_all("low", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    joined = F.expr("transform(pieces, (x, i) -> concat(x, coalesce(left(get(pieces, i + 1), 2), '')))")
+    grams = "transform(sequence(1, length(x) - 2), i -> substring(x, i, 3))"
+    grams = f"case when length(x) < 3 then cast(array() as array<string>) else array_distinct({grams}) end"
     if wanted is not None:
-        grams = F.array_intersect(grams, F.array(*map(F.lit, wanted)))
+        listed = ", ".join("'" + g.replace("\\", "\\\\").replace("'", "\\'") + "'" for g in wanted)
+        grams = f"array_intersect({grams}, array({listed}))"
     return (
         chunks.select("chunk", F.lower("text").alias("low"))
-        .where(F.length("low") >= 3)
-        .select(F.explode(grams).alias("trigram"), "chunk")
+        .select("chunk", pieces.alias("pieces"))
+        .select("chunk", joined.alias("pieces"))
+        .select(F.explode(F.expr(f"array_distinct(flatten(transform(pieces, x -> {grams})))")).alias("trigram"), "chunk")
     )
 
 
