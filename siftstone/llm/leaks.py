@@ -75,35 +75,35 @@ def shared_sentences(items: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     return each.where("sentence <> ''").groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= shared_by).select("sentence")
 
 
-def _similar(a: str, b: str) -> bool:
-    """Whether two words differ as by a slip: a letter more or less, or letters swapped."""
-    if a == b:
-        return True
-    if len(a) < 3 or abs(len(a) - len(b)) > 2:
-        return False
-    short, long = sorted((a, b), key=len)
-    return long.startswith(short) or sorted(a) == sorted(b) or sorted(long[:-1]) == sorted(short)
+def gram_places(tokens: list[str], k: int = K) -> dict[tuple[str, ...], list[int]]:
+    at: dict[tuple[str, ...], list[int]] = {}
+    for i, gram in enumerate(zip(*(tokens[j:] for j in range(k)))):
+        at.setdefault(gram, []).append(i)
+    return at
+
 
+#: A passage holds at least so many equal five-word grams: n words of which n // 8 are altered leave at least
+#: n - n // 8 - 4 (n // 8 + 1) of them, which is least at 24 words.
+LEAST_GRAMS = 5
 
-def passage(doc: list[str], item: list[str], weight: list[int], k: int = K, one_in: int = ONE_IN) -> int:
+
+def passage(doc: list[str], doc_at: dict[tuple[str, ...], list[int]], item: list[str], weight: list[int], k: int = K, one_in: int = ONE_IN) -> int:
     """The most item words that count in a passage shared by both, 0 if there is none.
 
     ``weight`` is 0 for words of shared sentences. Equal words score 1 and altered ones 1 - ``one_in``;
     a passage is a stretch of the alignment whose sum is at least 0 and that has equal words at its ends.
     """
-    at: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(item) - k + 1):
-        at.setdefault(tuple(item[i : i + k]), []).append(i)
+    seeds = [(i, j) for i, gram in enumerate(zip(*(item[x:] for x in range(k)))) for j in doc_at.get(gram, ())]
+    if len(seeds) < LEAST_GRAMS:
+        return 0
     seen: set[tuple[int, int]] = set()
     best = 0
-    for j in range(len(doc) - k + 1):
-        for i in at.get(tuple(doc[j : j + k]), ()):
-            if (i, j) in seen:
-                continue
-            right = _walk(item, doc, i, j, 1, seen)
-            left = _walk(item, doc, i - 1, j - 1, -1, None)
-            steps = [(p, e) for p, e in reversed(left)] + right
-            best = max(best, _longest(steps, weight, one_in))
+    for i, j in seeds:
+        if (i, j) in seen:
+            continue
+        right = _walk(item, doc, i, j, 1, seen)
+        left = _walk(item, doc, i - 1, j - 1, -1, None)
+        best = max(best, _longest([*reversed(left), *right], weight, one_in))
     return best
 
 
@@ -134,35 +134,35 @@ def _walk(item: list[str], doc: list[str], i: int, j: int, d: int, seen: set[tup
             steps.append((i, False))
             i += d
         else:
-            steps.append((i, _similar(item[i], doc[j]) and run_bad > 9))
+            steps.append((i, False))
             i, j = i + d, j + d
     return steps
 
 
 def _longest(steps: list[tuple[int, bool]], weight: list[int], one_in: int) -> int:
-    """The most weight in a stretch in which at most one word in ``one_in`` is altered."""
+    """The most weight in a stretch, with equal words at its ends, of which at most one word in ``one_in`` is altered."""
     n, best = len(steps), 0
-    score = [0] * (n + 1)
-    gain = [0] * (n + 1)
+    score, gain = [0] * (n + 1), [0] * (n + 1)
     for x, (p, ok) in enumerate(steps):
         score[x + 1] = score[x] + (1 if ok else 1 - one_in)
         gain[x + 1] = gain[x] + (weight[p] if p >= 0 else 0)
+    # Starts that no earlier start undercuts; the furthest end for each, in one pass from the right.
+    starts: list[int] = []
     for a in range(n):
-        if not steps[a][1]:
-            continue
-        for b in range(n, a, -1):
-            if gain[b] - gain[a] <= best:
-                break
-            if steps[b - 1][1] and score[b] >= score[a]:
-                best = gain[b] - gain[a]
-                break
+        if steps[a][1] and (not starts or score[a] < score[starts[-1]]):
+            starts.append(a)
+    for b in range(n, 0, -1):
+        if steps[b - 1][1]:
+            while starts and score[starts[-1]] <= score[b]:
+                best = max(best, gain[b] - gain[starts.pop()])
     return best
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, shared_by: int = SHARED_BY) -> DataFrame:
     """(doc_id, item_id, n_words): each document that holds a passage of an item, and its length."""
     held = written(fingerprints(items, "item_id", "item_text").withColumnRenamed("id", "item_id").distinct(), "item-fingerprints")
-    if held.count() <= BROADCAST_ROWS:
+    small = held.count() <= BROADCAST_ROWS
+    if small:
         held = F.broadcast(held)
     pairs = (
         fingerprints(documents, "doc_id", "text")
@@ -178,6 +178,9 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAS
         .dropDuplicates(["item_id", "item_text"])
         .crossJoin(F.broadcast(shared))
     )
+    # Items are broadcast as far as their fingerprints are; so the pairs of a document stay together and it is cut once.
+    if small:
+        marked = F.broadcast(marked)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = texts.join(pairs, "doc_id").join(marked, "item_id")
 
@@ -185,14 +188,15 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAS
         known: dict[str, tuple[list[str], list[int]]] = {}
         for pdf in batches:
             out = []
-            last, last_words = None, []
+            last, last_words, last_at = None, [], {}
             for doc_id, item_id, text, item_text, common in zip(pdf.doc_id, pdf.item_id, pdf.text, pdf.item_text, pdf.shared):
                 if item_text not in known:
                     known[item_text] = _weighted(item_text, set(common))
                 item, weight = known[item_text]
-                if text is not last:
-                    last, last_words = text, words(text)
-                n = passage(last_words, item, weight)
+                if last is None or doc_id != last[0] or text != last[1]:
+                    last, last_words = (doc_id, text), words(text)
+                    last_at = gram_places(last_words)
+                n = passage(last_words, last_at, item, weight)
                 if n >= least_words:
                     out.append((doc_id, item_id, n))
             if len(known) > 20_000:

@@ -11,17 +11,17 @@ import xxhash
 
 _INVISIBLE = re.compile("[­​-‏ -‮⁠﻿]")
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,200})?/?>|<br\s*/?>")
-_NOT_WORD = re.compile(r"[^\w]+|_")
+_NOT_WORD = re.compile(r"[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
 
 def clean(text: str) -> str:
     """Text without markup tags, entities and invisible characters; compatibility forms unified."""
-    text = unicodedata.normalize("NFKC", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if "&" in text:
-        text = html.unescape(text)
-    text = _INVISIBLE.sub("", text)
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
     if "<" in text:
         text = _TAG.sub(" ", text)
     return text
@@ -31,8 +31,7 @@ def words(text: str | None) -> list[str]:
     """Words as white space separates them, lower case, letters and digits only."""
     if not text:
         return []
-    out = (_NOT_WORD.sub("", w) for w in clean(text).lower().split())
-    return [w for w in out if w]
+    return _NOT_WORD.sub("", clean(text).lower()).split()
 
 
 def word_codes(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
