@@ -120,34 +120,48 @@ _IDENT = re.compile(r"[\w$]+(?:[/\\.\-:][\w$]+)*/?|/[\w./\-]+")
 _FIELD_WORD = "ƒield"
 
 
-def sentence_class(sentence: str, quotes: bool = True) -> str:
-    """A sentence as its class: fields, quotations, numbers, ids and paths levelled; repeated words once."""
-    s = _FIELD.sub(f" {_FIELD_WORD} ", sentence) if not quotes else sentence
-    if quotes and sentence[:1] not in "{[":
+# What every field has somewhere; other sentences need no closer look.
+_MAYBE_FIELD = re.compile(r"[{\[<«$%@]|__|XX_|\(to be ", re.I)
+_WORD = re.compile(r"[\w$]+(?:['’./\\\-:]+[\w$]+)*|/[\w./\-]+")
+_PLAIN = frozenset(("in", "do", "id", "ad", "et", "ex", "est", "non", "qui"))
+
+
+def _level(w: str) -> str:
+    """One word of a class: numbers, ids, paths and marks in capitals as ``#``, filler as ``latin``."""
+    low = w.lower().strip("/.'’-:")
+    if not low or re.fullmatch(r"[45]\d\d", low):
+        return low
+    if re.search(r"[\d_/\\.$]", w) or re.search(r"[a-z][A-Z]", w) and low != "javascript" or re.fullmatch(r"[A-Z]{7,}", w):
+        return "#"
+    return "latin" if low in LATIN_FILLER and low not in _PLAIN else low
+
+
+def sentence_class(sentence: str, levels: dict[str, str]) -> str:
+    """A sentence as its class: fields, quotations, numbers, ids and paths levelled; repeated words once.
+
+    ``levels`` remembers levelled words.
+    """
+    s = sentence
+    if s[0] not in "{[" and ('"' in s or "'" in s or "“" in s or "„" in s):
         s = _QUOTED.sub(" quoted ", s)
-    if quotes:
+    if _MAYBE_FIELD.search(s):
         s = _FIELD.sub(f" {_FIELD_WORD} ", s)
     out: list[str] = []
-    for w in re.findall(r"[\w$]+(?:['’./\\\-:]+[\w$]+)*|/[\w./\-]+", clean(s)):
-        low = w.lower().strip("/.'’-:")
-        if not low:
-            continue
-        if re.fullmatch(r"[45]\d\d", low):
-            pass
-        elif re.search(r"[\d_/\\.$]", w) or re.search(r"[a-z][A-Z]", w) and low != "javascript" or re.fullmatch(r"[A-Z]{7,}", w):
-            low = "#"
-        elif low in LATIN_FILLER and low not in ("in", "do", "id", "ad", "et", "ex", "est", "non", "qui"):
-            low = "latin"
-        if not out or out[-1] != low:
+    for w in _WORD.findall(clean(s)):
+        low = levels.get(w)
+        if low is None:
+            low = levels[w] = _level(w)
+        if low and (not out or out[-1] != low):
             out.append(low)
-    if out.count("latin") and len(out) <= 2 * out.count("latin") + 1 and not set(out) - LATIN_FILLER - {"latin"}:
+    if "latin" in out and not set(out) - LATIN_FILLER - {"latin"}:
         return "latin"
     return " ".join(out)
 
 
-def sentences(text: str) -> Iterator[str]:
+def sentences(text: str, levels: dict[str, str]) -> Iterator[str]:
     """Classes of the sentences of a text, without code and quoted lines."""
-    text = _FENCE.sub("\n", text)
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
     for line in _LINE.split(text):
         line = line.strip()
         if not line or line[0] == ">":
@@ -155,18 +169,21 @@ def sentences(text: str) -> Iterator[str]:
         if "`" in line:
             line = re.sub(r"`[^`]*`", " quoted ", line)
         for s in _SENTENCE.split(line):
-            c = sentence_class(s)
+            c = sentence_class(s, levels) if s else ""
             if c:
                 yield c
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    levels: dict[str, str] = {}
     for batch in batches:
+        if len(levels) > 500_000:
+            levels.clear()
         ids: list[int] = []
         codes: list[int] = []
         texts: list[str] = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for c in set(sentences(text)):
+            for c in set(sentences(text, levels)):
                 ids.append(i)
                 codes.append(xxhash.xxh3_64_intdigest(c) - 2**63)
                 texts.append(c)
@@ -193,7 +210,7 @@ def _hash_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def known_classes(spark: SparkSession, known: list[str] = KNOWN_RESIDUE) -> DataFrame:
-    texts = sorted({c for s in known for c in sentences(s)})
+    texts = sorted({c for s in known for c in sentences(s, {})})
     return spark.createDataFrame([(xxhash.xxh3_64_intdigest(c) - 2**63, c) for c in texts], "cls long, sentence string")
 
 
