@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone.functions.levelling import level_cwe, level_path, level_repo, path_tail
 from siftstone.operators.snapshots import newest
@@ -68,8 +69,9 @@ class AcceptedHistory:
             "bucket", F.pmod("fingerprint", F.lit(self.buckets)).cast("int")
         )
         store = f"{self.path}/store/generation={generation}"
+        self._store_schema = T.StructType([*rows.schema.fields, T.StructField("generation", T.IntegerType())])
         rows.repartition("bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(store)
-        kept = self.spark.read.parquet(store)
+        kept = self.spark.read.schema(rows.schema).parquet(store)
         n_keys = kept.count()
         blocks = max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
         (
@@ -85,7 +87,7 @@ class AcceptedHistory:
 
     def prescreen(self, fingerprints: DataFrame) -> DataFrame:
         """Rows of ``fingerprints`` that the filters don't rule out, with the generation that may hold them."""
-        filters = self.spark.read.parquet(f"{self.path}/filters")
+        filters = self.spark.read.schema("block long, bits binary, blocks long, generation int").parquet(f"{self.path}/filters")
         kinds = filters.select("generation", "blocks").distinct()  # one row per generation
         probes = fingerprints.crossJoin(F.broadcast(kinds)).withColumn(
             "block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks"))
@@ -102,7 +104,7 @@ class AcceptedHistory:
         """(keys, entry_id, accepted_at, line_delta): rows of ``batch`` that repeat an accepted entry."""
         fingerprints = self._fingerprinted(batch, keys).withColumn("bucket", F.pmod("fingerprint", F.lit(self.buckets)).cast("int"))
         positive = self.prescreen(fingerprints)
-        store = self.spark.read.parquet(f"{self.path}/store").select(
+        store = self.spark.read.schema(self._store_schema).parquet(f"{self.path}/store").select(
             "generation", "bucket", "fingerprint", "entry_id", "accepted_at",
             *(F.col(c).alias(f"held_{c}") for c in ("repo_l", "file_l", "cwe_l", "line_l")),
         )
