@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone import catalogs as C
@@ -14,6 +14,7 @@ from siftstone.operators import scoring as S
 from siftstone.operators.snapshots import snapshots
 from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
+from siftstone.sources.files import byte_budget
 from siftstone.session import table
 
 QUERIES: dict = {}
@@ -534,3 +535,12 @@ def scanner_precision(spark: SparkSession, d: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(
         "tool", "predicted", "tp", F.round(F.col("tp") / F.col("predicted"), 4).alias("precision_"), F.round(F.try_divide(F.col("tp"), F.col("total")), 4).alias("recall_")
     )
+
+
+@query()
+def byte_budget_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each source taken in order of id into 200,000 characters and 300 documents, passing over what does not fit."""
+    docs = table(spark, d, "documents").where("doc_id is not null and text is not null").select(
+        "doc_id", F.coalesce(level_word(F.col("source")), F.lit("none")).alias("source"), F.length("text").cast("long").alias("size")
+    )
+    return byte_budget(docs, "source", ["doc_id"], 200_000, 300)

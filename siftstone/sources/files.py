@@ -43,17 +43,17 @@ def _contains_any(c: Column, parts: list[str]) -> Column:
     return out
 
 
-def byte_budget(files: DataFrame, group: str, order: list[str], most_bytes: int, most_files: int, rounds: int = 100) -> DataFrame:
+def byte_budget(files: DataFrame, group: str, order: list[str], most_bytes: int, most_files: int) -> DataFrame:
     """Files taken in order as long as they fit; one that does not fit is passed over, and a later, smaller one may fit.
 
-    A round takes the longest run of files that fits, then drops those larger than what is left; rounds end when no file
-    can fit. Returns ``files`` with ``taken``. Only sizes and keys move between rounds.
+    A round takes the longest run of files that fits, then drops those larger than what is left; every round takes at least one
+    file of each group that has room, and rounds end when no file can fit. Returns ``files`` with ``taken``. Only sizes and keys move between rounds.
     """
     from siftstone.session import written
 
     left = written(files.select(group, *order, "size").withColumns({"used": F.lit(0).cast("long"), "count": F.lit(0).cast("long")}), "budget")
     taken = None
-    for _ in range(rounds):
+    while True:
         run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         open_ = left.where((F.col("size") <= most_bytes - F.col("used")) & (F.col("count") < most_files))
         summed = open_.withColumns({"sum": F.sum("size").over(run), "n": F.count("*").over(run)}).withColumn(
