@@ -29,7 +29,6 @@ from siftstone.session import written
 #: 64 bits in five blocks, tables keyed by every two of them; any three differing bits leave two blocks equal.
 BLOCKS = (13, 13, 13, 13, 12)
 MOST_BITS, SHINGLE, LEAST_SIMILARITY = 3, 5, 0.8
-ROUNDS = 20
 
 # Names of fields in templates of reports and letters.
 FIELD_NAMES = [
@@ -236,7 +235,7 @@ def residue_classes(classes: DataFrame) -> DataFrame:
     fields = hashed.where(F.array_contains(F.split("sentence", " "), _FIELD_WORD)).select("cls")
     reached = written(known.select("cls"), "reached")
     frontier = reached
-    for _ in range(ROUNDS):
+    while True:
         source = tables.join(frontier, "cls", "left_semi").select("tab", "key", F.col("cls").alias("from"), F.col("simhash").alias("from_hash"))
         near = (
             tables.join(source, ["tab", "key"])
