@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone import catalogs as C
 
@@ -67,3 +68,22 @@ def redacted(text: Column) -> Column:
     out = F.regexp_replace(out, C.REDACTED_BEARER, "$1" + C.MASK)
     out = F.regexp_replace(out, C.REDACTED_URL, "$1" + C.MASK + "@")
     return F.regexp_replace(out, C.REDACTED_ASSIGNMENT, "$1$2$3" + C.MASK + "$5")
+
+
+def grounded(text: Column, cwe: Column) -> Column:
+    """Whether text near a place shows a sign of the weakness class; null for classes without signs."""
+    classes = sorted({c for c, _ in C.CLASS_SIGNS})
+    return reduce(lambda chain, c: chain.when(cwe == c, any_matches(F.coalesce(text, F.lit("")), [p for k, p in C.CLASS_SIGNS if k == c])), classes, F)
+
+
+def redacted_nested(value: Column, kind: T.DataType) -> Column:
+    """A value of any type with all text inside it redacted; names of fields and keys of maps stay."""
+    if isinstance(kind, T.StringType):
+        return redacted(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: redacted_nested(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: redacted_nested(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(redacted_nested(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value

@@ -95,3 +95,13 @@ def p5_stages(spark: SparkSession, d: str) -> DataFrame:
     nodes = shredding.adjacency(table(spark, d, "scans"), ["scan_id"], "manifest_json", ["manifest", "stages", *columns], ("object", "scalar"))
     found = shredding.records(nodes, ["scan_id"], {"stages": ("stages",)}, ("manifest",))
     return shredding.entity_table(nodes, found, ["scan_id"], "stages", columns)
+
+
+@query()
+def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Stages of all runs: how often each ran and failed, its seconds, tokens and cost."""
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    return p5_stages(spark, d).groupBy("rec_stage_id").agg(
+        F.count("*").alias("runs"), F.count("rec_error").alias("failures"), F.round(F.sum(number("rec_duration_seconds")), 3).alias("seconds"),
+        F.sum(number("rec_tokens_in")).alias("tokens_in"), F.sum(number("rec_tokens_out")).alias("tokens_out"), F.round(F.sum(number("rec_cost_usd")), 4).alias("cost"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone import catalogs as C
@@ -14,6 +14,7 @@ from siftstone.operators import scoring as S
 from siftstone.operators.snapshots import snapshots
 from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
+from siftstone.sinks.export import sarif_results
 from siftstone.sources.files import byte_budget
 from siftstone.session import table
 
@@ -544,3 +545,61 @@ def byte_budget_intake(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.coalesce(level_word(F.col("source")), F.lit("none")).alias("source"), F.length("text").cast("long").alias("size")
     )
     return byte_budget(docs, "source", ["doc_id"], 200_000, 300)
+
+
+def _signs_sql() -> str:
+    classes = sorted({c for c, _ in C.CLASS_SIGNS})
+    return " ".join(f"WHEN cwe = {c} THEN " + " OR ".join(_re("coalesce(snippet, '')", p) for k, p in C.CLASS_SIGNS if k == c) for c in classes)
+
+
+@query(f"""WITH g AS (SELECT hit_id, snippet, {Q.cwe('cwe_hint')} AS cwe FROM structural_hits) SELECT hit_id, cwe, CASE {_signs_sql()} END AS grounded FROM g""")
+def grounded_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the lines of a hit show a sign of its class."""
+    h = _hits(spark, d)
+    return h.select("hit_id", "cwe", S.grounded(F.col("snippet"), F.col("cwe")).alias("grounded"))
+
+
+@query("""SELECT t.tool, kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT hit_id, kind, lower(trim(unnest(corroborated_by))) AS tool FROM structural_hits) s
+JOIN (SELECT DISTINCT lower(trim(tool)) AS tool FROM external_findings) t ON s.tool = t.tool GROUP BY ALL""")
+def corroborating_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by the tools listed in them that also delivered reports: a join on members of an array."""
+    named = table(spark, d, "structural_hits").select("hit_id", "kind", F.explode("corroborated_by").alias("tool")).withColumn("tool", F.lower(F.trim("tool"))).distinct()
+    tools = table(spark, d, "external_findings").select(F.lower(F.trim("tool")).alias("tool")).distinct()
+    return named.join(tools, "tool").groupBy("tool", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT profile, CASE WHEN json_valid(manifest_json) THEN coalesce(manifest_json->'$.hallucination_metrics', manifest_json->'$.manifest.hallucination_metrics') END AS j FROM scans)
+SELECT profile, CAST(count(j) AS BIGINT) AS runs, CAST(sum(TRY_CAST(j->>'$.raw_lens' AS BIGINT)) AS BIGINT) AS raw_lens, CAST(sum(TRY_CAST(j->>'$.ungrounded_dropped' AS BIGINT)) AS BIGINT) AS ungrounded_dropped,
+CAST(sum(TRY_CAST(j->>'$.missing_poc' AS BIGINT)) AS BIGINT) AS missing_poc FROM m GROUP BY profile""")
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of runs by profile, from their manifests."""
+    valid = F.expr("try_parse_json(manifest_json) is not null")
+    text = F.coalesce(F.get_json_object("manifest_json", "$.hallucination_metrics"), F.get_json_object("manifest_json", "$.manifest.hallucination_metrics"))
+    m = table(spark, d, "scans").select("profile", F.when(valid, text).alias("j"))
+    names = ("raw_lens", "ungrounded_dropped", "missing_poc")
+    return m.groupBy("profile").agg(F.count("j").alias("runs"), *(F.sum(F.expr(f"try_cast(get_json_object(j, '$.{n}') as bigint)")).alias(n) for n in names))
+
+
+@query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id, printf('N-%04d', row_number() OVER (PARTITION BY scan_id ORDER BY {Q.SEV_NUM} DESC NULLS LAST, confidence DESC NULLS LAST, finding_id)) AS new_id FROM f""")
+def renumbered(spark: SparkSession, d: str) -> DataFrame:
+    """Findings numbered within their scan in order of severity and confidence."""
+    f = levelled_findings(spark, d)
+    order = Window.partitionBy("scan_id").orderBy(A.severity_number(F.col("severity")).desc_nulls_last(), F.col("confidence").desc_nulls_last(), "finding_id")
+    return f.select("scan_id", "finding_id", F.format_string("N-%04d", F.row_number().over(order)).alias("new_id"))
+
+
+@query(f"""WITH {_HITS} SELECT regexp_extract(file, '(\\.[^.]*)$', 1) AS suffix, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT repo) AS BIGINT) AS repos FROM h WHERE file IS NOT NULL
+GROUP BY suffix ORDER BY n DESC, suffix LIMIT 10""")
+def top_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent suffixes of files with hits."""
+    h = _hits(spark, d).where("file is not null").select(F.regexp_extract("file", r"(\.[^.]*)$", 1).alias("suffix"), "repo")
+    return h.groupBy("suffix").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("repos")).orderBy(F.desc("n"), "suffix").limit(10)
+
+
+@query()
+def sarif_export(spark: SparkSession, d: str) -> DataFrame:
+    """One SARIF result per finding, secrets masked."""
+    rows = table(spark, d, "findings").where("scan_id is not null and finding_id is not null")
+    kept = latest_rows(rows, ["scan_id", "finding_id"], ["recorded_at", "finding_json", "path", "cwe", "severity"])
+    named = F.concat(F.lit("CWE-"), level_cwe(F.col("cwe")).cast("string"))
+    return sarif_results(kept.withColumns({"cwe": named, "severity": level_severity(F.col("severity")), "path": level_path(F.col("path"))}))

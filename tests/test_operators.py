@@ -161,3 +161,11 @@ def test_sinks(spark, tmp_path):
     assert sarif_rules(f).count() == 2
     write_flat(f, f"file://{tmp_path}/flat")
     assert rows(spark.read.csv(f"file://{tmp_path}/flat", header=True), "tags", "title")[0] == ("a;b", "t1")
+
+
+def test_nested_redaction_and_signs(spark):
+    df = spark.createDataFrame([(({"k": "token: abcd12345"}, ["Bearer abcdefghij1", None], 3),), (None,)], "v struct<m:map<string,string>,a:array<string>,n:int>")
+    got = df.select(S.redacted_nested(F.col("v"), df.schema["v"].dataType).alias("v")).collect()
+    assert got[1].v is None and got[0].v.n == 3 and "abcd12345" not in got[0].v.m["k"] and "abcdefghij1" not in got[0].v.a[0] and got[0].v.a[1] is None
+    signs = spark.createDataFrame([("cursor.execute(q)", 89), ("x", 89), (None, 89), ("x", 5)], "t string, c int")
+    assert [r[0] for r in signs.select(S.grounded(F.col("t"), F.col("c"))).collect()] == [True, False, False, None]
