@@ -64,7 +64,7 @@ _IGNORE_CASE = {
 # Words that show a value to be a stand-in.
 _STAND_IN = re.compile(
     r"example|redacted|masked|placeholder|change[\s_\-]?(?:me|it)|replace[\s_\-]?(?:me|this|with)|dummy|insert[\s_\-]|your[\s_\-]"
-    r"|goes[\s_\-]?here|to[\s_\-]?do|fill[\s_\-]?(?:me|in)|not[\s_\-]?set|undefined|sample[\s_\-]",
+    r"|goes[\s_\-]?here|(?<![a-z0-9])to[\s_\-]?do(?![a-z0-9])|fill[\s_\-]?(?:me|in)|not[\s_\-]?set|undefined|sample[\s_\-]",
     re.I,
 )
 _REFERENCE = re.compile(r"^\s*(?:\$|\{|#\{|<|%\w+%$|%\(|__\w+__$|\[\w*\]$|@@|env[.:(]|vault[:.]|os\.|process\.env|secrets?\.|ref\+|arn:)", re.I)
