@@ -27,8 +27,8 @@ from siftstone.session import written
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the way the tokenizer of these ranks cuts text.
 CUT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Tokens that a block of records is meant to hold.
-BLOCK_TOKENS = 1_000_000
+#: Tokens that a block of records is meant to hold, and the most blocks of a source; larger sources get larger blocks.
+BLOCK_TOKENS, MOST_BLOCKS = 1_000_000, 100_000
 #: Sources are reported and weighed on the driver; their number is bounded by this.
 MOST_SOURCES = 100_000
 
@@ -137,7 +137,7 @@ def draw(counts: DataFrame, mix: Mix, tokens: dict[str, float], seed: int = 0) -
     Full passes take all records; the last one orders blocks by a seeded hash and cuts inside one block only.
     """
     spark = counts.sparkSession
-    plan = [(s, int(w * mix.budget // tokens[s]), float(w * mix.budget % tokens[s]), max(1, math.ceil(tokens[s] / BLOCK_TOKENS))) for s, w in mix.shares.items()]
+    plan = [(s, int(w * mix.budget // tokens[s]), float(w * mix.budget % tokens[s]), min(MOST_BLOCKS, max(1, math.ceil(tokens[s] / BLOCK_TOKENS)))) for s, w in mix.shares.items()]
     planned = spark.createDataFrame(plan, "source string, full int, rest double, blocks long")  # bounded by MOST_SOURCES
     rows = counts.join(F.broadcast(planned), "source")
     whole = rows.where("full > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("pass"), "tokens")
