@@ -12,7 +12,7 @@ Equal labels by one annotator on one item count as often as they stand. Ties go
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.levelling import level_verdict, level_word
@@ -22,6 +22,7 @@ from siftstone.session import written
 CLASSES = ("confirm", "reject")
 #: Added to every count of a label under a class; beliefs that move less than TOLERANCE stand still.
 SMOOTHING, TOLERANCE, ROUNDS = 1.0, 0.002, 25
+BROADCAST_ANNOTATORS = 50_000
 
 
 def _sigmoid(x):
@@ -50,6 +51,9 @@ def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     # The first beliefs are the shares of labels.
     cavity = written(seen.join(share, ["sig", "class"]), "messages")
     weight = F.col("items") * F.col("n")
+    # Totals have a row per class and annotator; they are broadcast only up to a checked number of annotators.
+    few = edges.select("annotator").distinct().count() <= BROADCAST_ANNOTATORS
+    of_pattern = Window.partitionBy("sig", "class")
     for _ in range(ROUNDS):
         totals = cavity.groupBy("class", "annotator").agg(
             F.sum(weight * F.col("p") * F.col("y")).alias("hit1"),
@@ -63,16 +67,14 @@ def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
         hit1 = (F.col("hit1") - own1 * F.col("y") + s) / (F.col("all1") - own1 + 2 * s)
         hit0 = (F.col("hit0") - own0 * F.col("y") + s) / (F.col("all0") - own0 + 2 * s)
         weighed = (
-            cavity.join(totals, ["class", "annotator"])
+            cavity.join(F.broadcast(totals) if few else totals, ["class", "annotator"])
             .join(F.broadcast(prior), "class")  # one row per class
             .withColumn("w", F.col("n") * F.when(F.col("y") == 1, F.log(hit1 / hit0)).otherwise(F.log((1 - hit1) / (1 - hit0))))
         )
-        sums = weighed.groupBy("sig", "class").agg(F.sum("w").alias("sum"))
         base = F.least(F.greatest(F.col("base"), F.lit(0.02)), F.lit(0.98))
         after = written(
             weighed.withColumnRenamed("p", "p_before")
-            .join(sums, ["sig", "class"])
-            .withColumn("logit", F.log(base / (1 - base)) + F.col("sum"))
+            .withColumn("logit", F.log(base / (1 - base)) + F.sum("w").over(of_pattern))
             .withColumn("p", _sigmoid(F.col("logit") - F.col("w")))
             .select(*cavity.columns, "p_before", "logit"),
             "messages",
