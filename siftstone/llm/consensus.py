@@ -110,13 +110,19 @@ def consensus(labels: DataFrame, classes: tuple[str, ...] = CLASSES) -> tuple[Da
     return items.join(best, "sig").select("item", "verdict", "confidence"), per
 
 
+def scan_streams(scans: DataFrame) -> DataFrame:
+    """(scan_id, stream), once per scan_id; where rows of one scan differ, the least stream stands."""
+    keyed = scans.where("scan_id is not null").select("scan_id", stream_key(F.col("repo"), F.col("application_id")).alias("stream"))
+    return keyed.groupBy("scan_id").agg(F.min("stream").alias("stream"))
+
+
 def vote_labels(votes: DataFrame, findings: DataFrame, scans: DataFrame, opinions: bool = True) -> DataFrame:
     """(item, annotator, label): one label per role and finding, retries once; an item is a flaw of a stream.
 
     A finding stays itself through the scans of its stream, so their labels come together. Reviewers and
     the validator are annotators too.
     """
-    streams = scans.where("scan_id is not null").select("scan_id", stream_key(F.col("repo"), F.col("application_id")).alias("stream"))
+    streams = scan_streams(scans)
     cast = votes.where("scan_id is not null and finding_id is not null").select(
         "scan_id", "finding_id", F.coalesce(level_word(F.col("role")), F.lit("nobody")).alias("annotator"),
         level_verdict(F.col("verdict")).alias("label"), "voted_at", "vote_id",
@@ -143,7 +149,7 @@ def vote_labels(votes: DataFrame, findings: DataFrame, scans: DataFrame, opinion
 def finding_verdicts(votes: DataFrame, findings: DataFrame, scans: DataFrame) -> DataFrame:
     """(scan_id, finding_id, verdict, confidence) for every finding with a row in votes."""
     verdicts, _ = consensus(vote_labels(votes, findings, scans))
-    streams = scans.where("scan_id is not null").select("scan_id", stream_key(F.col("repo"), F.col("application_id")).alias("stream"))
+    streams = scan_streams(scans)
     voted = votes.where("scan_id is not null and finding_id is not null").select("scan_id", "finding_id").distinct()
     keyed = voted.join(streams, "scan_id", "left").withColumn(
         "item", F.struct(F.coalesce("stream", F.concat(F.lit("scan "), "scan_id")).alias("stream"), "finding_id")
