@@ -2,8 +2,8 @@
 
 Documents fall into sentences; numbers, ids, paths and quotations are levelled, code and quoted lines left out,
 and equal sentences become one class. Classes are trusted residue when they hold an unfilled field or
-equal a known residue sentence. SimHashes of classes lie in tables keyed by pairs of blocks, so classes that differ in
-at most ``MOST_BITS`` bits meet in a table; Hamming distance and similarity of five-word shingles verify them. Trusted
+equal a known residue sentence. Classes lie in an index keyed by the first of their five-word shingles in the order of the
+hashes, so many of them that classes of the least similarity always share one; the similarity of shingles verifies them. Trusted
 labels pass along verified links until nothing new is reached, and documents holding a reached class come out.
 
 Fields label their own class only: a sentence doesn't become a template by likeness to one with a gap.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,8 +25,7 @@ from pyspark.sql import functions as F
 from siftstone.llm.words import clean, gram_hashes, word_codes
 from siftstone.session import written
 
-#: 64 bits in five blocks, tables keyed by every two of them; any three differing bits leave two blocks equal.
-BLOCKS = (13, 13, 13, 13, 12)
+#: ``MOST_BITS`` belongs to ``simhash`` and decides nothing here: short sentences of the least similarity are often farther apart.
 MOST_BITS, SHINGLE, LEAST_SIMILARITY = 3, 5, 0.8
 
 # Names of fields in templates of reports and letters.
@@ -199,11 +197,16 @@ def simhash(text: str, cache: dict[str, int]) -> tuple[int, np.ndarray]:
     return h - 2**63, np.unique(gram_hashes(codes, min(SHINGLE, len(codes)))).view(np.int64)
 
 
-def _hash_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def class_shingles(text: str, cache: dict[str, int]) -> np.ndarray:
+    """The distinct five-word shingles in the order of their hashes (the whole, if shorter)."""
+    codes = word_codes(text.split(), cache)
+    return np.unique(gram_hashes(codes, min(SHINGLE, len(codes))).view(np.int64))
+
+
+def _shingle_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache: dict[str, int] = {}
     for pdf in batches:
-        hashed = [simhash(t, cache) for t in pdf.sentence]
-        yield pd.DataFrame({"cls": pdf.cls, "sentence": pdf.sentence, "simhash": [h for h, _ in hashed], "shingles": [s for _, s in hashed]})
+        yield pd.DataFrame({"cls": pdf.cls, "sentence": pdf.sentence, "shingles": [class_shingles(t, cache) for t in pdf.sentence]})
         if len(cache) > 500_000:
             cache.clear()
 
@@ -213,16 +216,15 @@ def known_classes(spark: SparkSession, known: list[str] = KNOWN_RESIDUE) -> Data
     return spark.createDataFrame([(xxhash.xxh3_64_intdigest(c) - 2**63, c) for c in texts], "cls long, sentence string")
 
 
-def table_keys(df: DataFrame) -> DataFrame:
-    """One row per table: (tab, key) beside cls and simhash."""
-    parts, low = [], 0
-    for width in BLOCKS:
-        parts.append(F.expr(f"shiftrightunsigned(simhash, {low}) & {2**width - 1}"))
-        low += width
-    tables = [
-        F.struct(F.lit(t).alias("tab"), (parts[a] * F.lit(2**13) + parts[b]).alias("key")) for t, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
-    return df.withColumn("t", F.explode(F.array(*tables))).select("cls", "simhash", "t.tab", "t.key")
+def index_keys(df: DataFrame) -> DataFrame:
+    """(key, cls, n): the first shingles of each class, in an order that all classes share, and how many it has.
+
+    Of n shingles, a similar class holds at least ``LEAST_SIMILARITY`` of them, so of the others and one more it holds one;
+    the least shingle that two similar classes share is among the first of both.
+    """
+    n = F.size("shingles")
+    first = n - F.ceil(n * F.lit(LEAST_SIMILARITY) - F.lit(1e-9)) + 1
+    return df.select(F.explode(F.slice("shingles", F.lit(1), first.cast("int"))).alias("key"), "cls", n.alias("n"))
 
 
 def residue_classes(classes: DataFrame) -> DataFrame:
@@ -230,19 +232,20 @@ def residue_classes(classes: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     known = known_classes(spark)
     every = classes.select("cls", "sentence").unionByName(known).dropDuplicates(["cls"])
-    hashed = written(every.mapInPandas(_hash_classes, "cls long, sentence string, simhash long, shingles array<long>"), "simhashes")
-    tables = written(table_keys(hashed), "simhash-tables", ["tab"])
+    hashed = written(every.mapInPandas(_shingle_classes, "cls long, sentence string, shingles array<long>"), "shingles")
+    index = written(index_keys(hashed), "shingle-index")
     fields = hashed.where(F.array_contains(F.split("sentence", " "), _FIELD_WORD)).select("cls")
     reached = written(known.select("cls"), "reached")
     frontier = reached
+    least = F.lit(LEAST_SIMILARITY - 1e-9)
     while True:
-        source = tables.join(frontier, "cls", "left_semi").select("tab", "key", F.col("cls").alias("from"), F.col("simhash").alias("from_hash"))
+        source = index.join(frontier, "cls", "left_semi").select("key", F.col("cls").alias("from"), F.col("n").alias("from_n"))
         near = (
-            tables.join(source, ["tab", "key"])
-            .where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("from_hash"))) <= MOST_BITS)
+            index.join(reached, "cls", "left_anti")
+            .join(source, "key")
+            .where((F.col("n") >= F.col("from_n") * least) & (F.col("from_n") >= F.col("n") * least))
             .select("from", "cls")
             .distinct()
-            .join(reached, "cls", "left_anti")
         )
         shingles = hashed.select("cls", "shingles")
         pairs = near.join(shingles, "cls").join(shingles.select(F.col("cls").alias("from"), F.col("shingles").alias("held")), "from")

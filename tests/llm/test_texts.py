@@ -101,3 +101,32 @@ def test_labels_pass_to_near_duplicates(spark):
         assert {r[0] for r in residue.residue_classes(df).collect()} == {1, 2}
     finally:
         residue.known_classes = saved
+
+
+def test_labels_pass_to_every_class_of_the_least_similarity(spark):
+    from siftstone.llm import residue
+
+    rng = random.Random(9)
+    texts = []
+    for n in (4, 7, 8, 12, 13, 20, 30, 60):
+        for _ in range(12):
+            old = _text(rng, n)
+            for k in (0, rng.randint(1, n - 1), n):
+                texts.append((old, old[:k] + ["added"] + old[k:]))
+            for k in (0, rng.randint(1, n - 2), n - 1):
+                texts.append((old, old[:k] + ["changed"] + old[k + 1 :]))
+    known, near = sorted({" ".join(a) for a, _ in texts}), sorted({" ".join(b) for _, b in texts})
+    grams = {t: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for t in known + near for w in [t.split()]}
+    # Brute force over all pairs, until nothing new is reached.
+    reached, todo = set(), set(known)
+    while todo:
+        reached |= todo
+        todo = {b for b in near if b not in reached and any(len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8 for a in todo)}
+    ids = {t: i for i, t in enumerate(known + near)}
+    saved = residue.known_classes
+    residue.known_classes = lambda spark: spark.createDataFrame([(ids[t], t) for t in known], "cls long, sentence string")
+    try:
+        got = {r[0] for r in residue.residue_classes(spark.createDataFrame([(ids[t], t) for t in near], "cls long, sentence string")).collect()}
+    finally:
+        residue.known_classes = saved
+    assert got == {ids[t] for t in reached} and len(reached) > len(known) + 200
