@@ -282,17 +282,43 @@ x AS (SELECT ext_repo AS repo, ext_path AS path, other_line AS line, string_agg(
 SELECT repo, path, line, n.hit_id, coalesce(n.cwe, x.ext_cwe) AS cwe, x.tools, CASE WHEN n.hit_id IS NULL THEN 'added' WHEN x.tools IS NULL THEN 'native' ELSE 'corroborated' END AS origin
 FROM n FULL OUTER JOIN x USING (repo, path, line)""")
 def merge_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Sinks and outside findings as one set: matches corroborate, the rest is added."""
+    """Sinks and outside findings as one set: matches corroborate, the rest is added.
+
+    An outside finding without repo takes place and repo from its path where a known place fits. Rows that still lack a
+    part of the place can't be compared and come out one by one, with the part null.
+    """
     place = ["repo", "path", "line"]
     known = "repo is not null and path is not null and line is not null"
-    n = _hits(spark, d).where("pattern_id = 'sink'").where(known).groupBy(*place).agg(F.max("hit_id").alias("hit_id"), F.max_by("cwe", "hit_id").alias("cwe"))
-    e = _external(spark, d).withColumnsRenamed({"ext_repo": "repo", "ext_path": "path", "other_line": "line"}).where(known)
-    x = e.groupBy(*place).agg(
+    unknown = "repo is null or path is null or line is null"
+    sinks = _hits(spark, d).where("pattern_id = 'sink'")
+    n = sinks.where(known).groupBy(*place).agg(F.max("hit_id").alias("hit_id"), F.max_by("cwe", "hit_id").alias("cwe"))
+    e = _external(spark, d).withColumnsRenamed({"ext_repo": "repo", "ext_path": "path", "other_line": "line"}).select("ext_id", "tool", "rule_id", *place, "ext_cwe")
+    places = n.select(*place).unionByName(e.where(known).select(*place)).distinct()
+    placed = _placed_by_path(e.where("repo is null and path is not null and line is not null"), places)
+    x = e.where(known).unionByName(placed.where(known)).groupBy(*place).agg(
         F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "tool", "rule_id"))), ";").alias("tools"),
         F.min_by("ext_cwe", F.when(F.col("ext_cwe").isNotNull(), F.col("ext_id"))).alias("ext_cwe"),
     )
+    alone = sinks.where(unknown).select(*place, "hit_id", "cwe").distinct().withColumns({"tools": F.lit(None).cast("string"), "origin": F.lit("native")})
+    rest = e.where("path is null or line is null").distinct().unionByName(placed.where(unknown))
+    added = rest.select(*place, F.lit(None).cast(sinks.schema["hit_id"].dataType).alias("hit_id"), F.col("ext_cwe").alias("cwe"), F.concat_ws(":", "tool", "rule_id").alias("tools"), F.lit("added").alias("origin"))
     origin = F.when(F.col("hit_id").isNull(), "added").when(F.col("tools").isNull(), "native").otherwise("corroborated")
-    return n.join(x, place, "full_outer").select(*place, "hit_id", F.coalesce("cwe", "ext_cwe").alias("cwe"), "tools", origin.alias("origin"))
+    both = n.join(x, place, "full_outer").select(*place, "hit_id", F.coalesce("cwe", "ext_cwe").alias("cwe"), "tools", origin.alias("origin"))
+    return both.unionByName(alone).unionByName(added)
+
+
+def _placed_by_path(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Distinct ``rows`` without repo; where a part of the path names a repo that has the rest of it as a place, with that repo and rest.
+
+    The last such part counts. Rows that fit no place stay as they are.
+    """
+    parts = F.split("path", "/")
+    split = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(parts))))
+    named = split.withColumns({"fit_repo": level_repo(F.element_at(parts, F.col("k"))), "fit_path": F.array_join(F.slice(parts, F.col("k") + 1, F.size(parts)), "/")})
+    fitting = places.select(F.col("repo").alias("fit_repo"), F.col("path").alias("fit_path"), "line", F.lit(True).alias("fits"))
+    best = F.max(F.when(F.col("fits"), F.struct("k", "fit_repo", "fit_path"))).alias("best")
+    found = named.join(fitting, ["fit_repo", "fit_path", "line"], "left").groupBy(*rows.columns).agg(best)
+    return found.withColumns({"repo": F.col("best.fit_repo"), "path": F.coalesce("best.fit_path", "path")}).drop("best")
 
 
 @query(f"""WITH {_HITS} SELECT hit_id, EXISTS (SELECT 1 FROM h s WHERE s.pattern_id IN ('source', 'route') AND s.repo = h.repo AND s.path = h.path) AS reachable
