@@ -11,6 +11,7 @@ Rows without path or line match nothing. Null classes match any. Equal rows give
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,8 +95,9 @@ def matching_pairs(findings: DataFrame, scans: DataFrame, external: DataFrame, t
 def one_to_one(pairs: DataFrame, left: list[str], right: str, exact_edges: int = 400) -> DataFrame:
     """The pairs of a one-to-one assignment that maximises total confidence; ``pairs`` has one row per pair.
 
-    Rows that share a left or right key form components. Components of at most ``exact_edges`` pairs are solved exactly.
-    Larger ones settle by rounds of pairs that are best on both sides, which gives at least half of the greatest total.
+    Rows that share a left or right key form components, and all are solved exactly. In components of more than
+    ``exact_edges`` pairs, keys with the same partners at the same confidences count as one node with a capacity, so
+    a place that many rows share shrinks to a few nodes.
     """
     spark = pairs.sparkSession
     keyed = written(pairs.withColumns({"hu": F.xxhash64(*left), "hv": F.xxhash64(right)}), "pairs")
@@ -112,22 +114,121 @@ def one_to_one(pairs: DataFrame, left: list[str], right: str, exact_edges: int =
         .mapInPandas(_solve_components, "hu long, hv long")
     )
     chosen = alone.unionByName(small)
-    rest = written(sized.where(F.col("size") > exact_edges).select("hu", "hv", "confidence"), "large")
-    # Every round settles at least the best pair of each component that is left.
-    while not rest.isEmpty():
-        order = [F.desc("confidence"), F.asc("hv"), F.asc("hu")]
-        best = rest.withColumns(
-            {
-                "ru": F.row_number().over(Window.partitionBy("hu").orderBy(*order)),
-                "rv": F.row_number().over(Window.partitionBy("hv").orderBy(*order)),
-            }
-        ).where("ru = 1 and rv = 1").select("hu", "hv")
-        best = written(best, "settled")
-        chosen = chosen.unionByName(best)
-        rest = written(rest.join(best.select("hu"), "hu", "left_anti").join(best.select("hv"), "hv", "left_anti"), "large")
+    rest = written(sized.where(F.col("size") > exact_edges).select("component", "hu", "hv", "confidence"), "large")
+    if not rest.isEmpty():
+        chosen = chosen.unionByName(_solve_large(rest, tasks))
     return keyed.join(chosen, ["hu", "hv"], "left_semi").drop("hu", "hv")
 
 
+def _alike(edges: DataFrame, own: str, other: str) -> DataFrame:
+    """(own, group, place, members): keys with the same partners at the same confidences are a group, named by its least key."""
+    signs = [F.bit_xor(F.xxhash64(F.lit(seed), other, "confidence")).alias(f"sign{seed}") for seed in (1, 2)]
+    signed = edges.groupBy("component", own).agg(*signs, F.count("*").alias("degree"))
+    group = Window.partitionBy("component", "sign1", "sign2", "degree")
+    return signed.select(
+        own, F.min(own).over(group).alias(f"group_{own}"), (F.row_number().over(group.orderBy(own)) - 1).alias(f"place_{own}"), F.count("*").over(group).alias(f"members_{own}")
+    )
+
+
+def _solve_large(edges: DataFrame, tasks: int) -> DataFrame:
+    """(hu, hv): the best assignment of components (component, hu, hv, confidence), as flows between groups of alike keys."""
+    lefts, rights = (written(_alike(edges, own, other), "alike") for own, other in (("hu", "hv"), ("hv", "hu")))
+    # All members of a group have the same partners, so the pairs of the first ones are those of the groups.
+    between = edges.join(lefts.where("place_hu = 0"), "hu").join(rights.where("place_hv = 0"), "hv").select("component", "group_hu", "group_hv", "confidence", "members_hu", "members_hv")
+    flows = written(
+        between.repartition(tasks, "component")
+        .sortWithinPartitions("component", "group_hu", "group_hv")
+        .mapInPandas(_solve_flows, "group_hu long, group_hv long, first_hu long, first_hv long, amount long"),
+        "flows",
+    )
+    units = flows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1))).select(
+        "group_hu", "group_hv", (F.col("first_hu") + F.col("k")).alias("place_hu"), (F.col("first_hv") + F.col("k")).alias("place_hv")
+    )
+    return units.join(lefts, ["group_hu", "place_hu"]).join(rights, ["group_hv", "place_hv"]).select("hu", "hv")
+
+
+def _solve_flows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Flows of components that come one after the other, with the places of the first members they take on both sides."""
+    waiting: list[pd.DataFrame] = []
+    for pdf in batches:
+        for component, part in pdf.groupby("component", sort=False):
+            if waiting and waiting[0].component.iloc[0] != component:
+                yield _flows_of(pd.concat(waiting, ignore_index=True))
+                waiting = []
+            waiting.append(part)
+    if waiting:
+        yield _flows_of(pd.concat(waiting, ignore_index=True))
+
+
+def _flows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    edges = list(zip(pdf.group_hu.tolist(), pdf.group_hv.tolist(), pdf.confidence.tolist()))
+    flows = best_flows(edges, dict(zip(pdf.group_hu.tolist(), pdf.members_hu.tolist())), dict(zip(pdf.group_hv.tolist(), pdf.members_hv.tolist())))
+    out, used_u, used_v = [], {}, {}
+    for (u, v), amount in flows.items():
+        a, b = used_u.get(u, 0), used_v.get(v, 0)
+        out.append((u, v, a, b, amount))
+        used_u[u], used_v[v] = a + amount, b + amount
+    return pd.DataFrame(out, columns=["group_hu", "group_hv", "first_hu", "first_hv", "amount"]).astype("int64")
+
+
+def best_flows(edges: list[tuple[int, int, float]], supply: dict[int, int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """Amounts between left and right nodes of greatest total weight, within ``supply`` of lefts and ``room`` of rights.
+
+    Exact, by shortest augmenting paths on potentials over the edges that exist, in whole numbers; lefts may keep supply.
+    """
+    costs: dict[int, dict[int, int]] = {}
+    for u, v, w in edges:
+        costs.setdefault(u, {})[v] = -int(w * 2.0**60)
+    free = dict(room)
+    of_left: dict[int, int] = {}
+    of_right = dict.fromkeys(free, 0)
+    held: dict[int, dict[int, int]] = {v: {} for v in free}
+    for root, amount in supply.items():
+        of_left[root] = min(0, min(c - of_right[v] for v, c in costs[root].items()))
+        while amount:
+            # Ends are rights with room, or a left that keeps supply (v is None).
+            distance_left, distance_right, via, back = {root: 0}, {}, {}, {}
+            heap: list[tuple[int, int, int | None, int]] = []
+            order, fresh = 0, [root]
+            while True:
+                for u in fresh:
+                    base = distance_left[u] - of_left[u]
+                    heapq.heappush(heap, (base, order, None, u))
+                    order += 1
+                    for v, c in costs[u].items():
+                        if v not in distance_right:
+                            heapq.heappush(heap, (base + c - of_right[v], order, v, u))
+                            order += 1
+                step, _, end, u = heapq.heappop(heap)
+                while end is not None and end in distance_right:
+                    step, _, end, u = heapq.heappop(heap)
+                if end is None:
+                    break
+                distance_right[end], back[end] = step, u
+                if free[end]:
+                    break
+                fresh = [x for x, f in held[end].items() if f and x not in distance_left]
+                for x in fresh:
+                    distance_left[x], via[x] = step, end
+            for x, near in distance_left.items():
+                of_left[x] += step - near
+            for v, near in distance_right.items():
+                of_right[v] -= step - near
+            path, x = [], u
+            while x != root:
+                path.append((via[x], x, back[via[x]]))
+                x = back[via[x]]
+            moved = min([amount, *(held[v][x] for v, x, _ in path)] + ([free[end]] if end is not None else []))
+            if end is not None:
+                free[end] -= moved
+                held[end][u] = held[end].get(u, 0) + moved
+            for v, x, y in path:
+                held[v][x] -= moved
+                held[v][y] = held[v].get(y, 0) + moved
+            amount -= moved
+    return {(u, v): f for v, flows in held.items() for u, f in flows.items() if f}
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """Edges with a component label: the least left key reachable, found by passing minima back and forth."""
     now = written(edges.withColumn("component", F.col("hu")), "labels")

@@ -61,3 +61,34 @@ def test_small_assignments_are_exact():
             for n in range(5) for chosen in itertools.combinations(pairs, n) if len({p[0] for p in chosen}) == n == len({p[1] for p in chosen})
         )
         assert abs(sum(pairs[k][2] for k in got) - best) < 1e-9
+
+
+def test_large_components_are_exact(spark):
+    rng = random.Random(5)
+    pairs = []
+    # A chain where pairs best on both sides reach little more than half, a place that many rows share, and random ones.
+    pairs += [("c0", 0, 0.5), ("c0", 1, 0.51), ("c1", 1, 0.5), ("c1", 2, 0.4), ("c2", 2, 0.41), ("c2", 3, 0.4)]
+    pairs += [(f"h{a}", 100 + b, (0.9 if a < 7 else 0.8) - (0.3 if b < 9 else 0.2) * (a % 3 == 0)) for a in range(21) for b in range(20)]
+    for k in range(6):
+        pairs += [(f"r{k}.{a}", 1000 * (k + 1) + b, rng.choice([0.3, 0.55, 0.8, rng.random()])) for a in range(9) for b in range(7) if rng.random() < 0.5]
+    df = spark.createDataFrame(pairs, "u_id string, v_id long, confidence double")
+    best = sum(pairs[k][2] for k in best_assignment(*map(list, zip(*pairs))))
+    got = one_to_one(df, ["u_id"], "v_id", exact_edges=4).collect()
+    assert len({r.u_id for r in got}) == len(got) == len({r.v_id for r in got})
+    assert abs(sum(r.confidence for r in got) - best) < 1e-9
+
+
+def test_flows_between_groups_are_best():
+    from siftstone.llm.entities import best_flows
+
+    rng = random.Random(11)
+    for _ in range(200):
+        supply, room = {a: rng.randint(1, 3) for a in range(rng.randint(1, 4))}, {b: rng.randint(1, 3) for b in range(rng.randint(1, 4))}
+        edges = [(a, b, rng.choice([0.2, 0.5, rng.random()])) for a in supply for b in room if rng.random() < 0.8 or b == 0]
+        got = best_flows(edges, supply, room)
+        single = [((a, i), (b, j), w) for a, b, w in edges for i in range(supply[a]) for j in range(room[b])]
+        best = sum(single[k][2] for k in best_assignment(*map(list, zip(*single))))
+        weight = {(a, b): w for a, b, w in edges}
+        assert all(sum(f for (u, _), f in got.items() if u == a) <= n for a, n in supply.items())
+        assert all(sum(f for (_, v), f in got.items() if v == b) <= n for b, n in room.items())
+        assert abs(sum(weight[k] * f for k, f in got.items()) - best) < 1e-9
