@@ -14,9 +14,9 @@ from siftstone.operators import scoring as S
 from siftstone.operators.snapshots import snapshots
 from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
-from siftstone.sinks.export import sarif_results
+from siftstone.sinks.export import sarif_results, sarif_unlocated
 from siftstone.sources.files import byte_budget
-from siftstone.session import table
+from siftstone.session import table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -336,7 +336,7 @@ _PRINT = "substr(sha256('CWE-' || coalesce(CAST(cwe AS VARCHAR), 'UNK') || '|' |
 held AS (SELECT DISTINCT {_PRINT} AS fingerprint FROM b WHERE path IS NOT NULL AND line IS NOT NULL)
 SELECT scan_id, finding_id, {_PRINT} AS fingerprint FROM f WHERE path IS NOT NULL AND line IS NOT NULL AND {_PRINT} NOT IN (SELECT fingerprint FROM held)""")
 def baseline_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Findings whose fingerprint no accepted entry has."""
+    """Findings whose fingerprint no accepted entry has. Those without path or line have none and are kept."""
 
     def printed(df: DataFrame) -> DataFrame:
         parts = F.concat_ws("|", F.concat(F.lit("CWE-"), F.coalesce(F.col("cwe").cast("string"), F.lit("UNK"))), "path", F.col("line").cast("string"), F.coalesce("skill", F.lit("")))
@@ -345,8 +345,9 @@ def baseline_anti(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "baseline_entries").select(
         level_cwe(F.col("cwe")).alias("cwe"), level_path(F.col("path")).alias("path"), F.col("start_line").cast("long").alias("line"), level_word(F.col("skill")).alias("skill")
     )
-    f = printed(levelled_findings(spark, d)).select("scan_id", "finding_id", "fingerprint")
-    return f.join(printed(b).select("fingerprint"), "fingerprint", "left_anti").select("scan_id", "finding_id", "fingerprint")
+    f = levelled_findings(spark, d)
+    kept = printed(f).select("scan_id", "finding_id", "fingerprint").join(printed(b).select("fingerprint"), "fingerprint", "left_anti").select("scan_id", "finding_id", "fingerprint")
+    return kept.unionByName(f.where("path is null or line is null").select("scan_id", "finding_id", F.lit(None).cast("string").alias("fingerprint")))
 
 
 _MERGE_ROWS = f"""{Q.LATEST}, r AS (SELECT scan_id, finding_id, coalesce(CAST(cwe AS VARCHAR), 'UNK') AS cwe_key, path, line,
@@ -359,13 +360,20 @@ j AS (SELECT r.*, CASE WHEN r.finding_id = p.p_id OR greatest(least(last_line, b
  FROM r JOIN p USING (scan_id, cwe_key, path))
 SELECT scan_id, primary_id, CAST(count(*) AS BIGINT) AS merged, max(confidence) AS confidence FROM j GROUP BY scan_id, cwe_key, path, primary_id""")
 def merge_overlapping(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("path is not null and line is not null")
+    """Findings merged into the first of their bucket; those without path or line overlap none and are their own primary."""
+    every = levelled_findings(spark, d)
+    f = every.where("path is not null and line is not null")
     rows = f.select(
         "scan_id", "finding_id", F.coalesce(F.col("cwe").cast("string"), F.lit("UNK")).alias("cwe_key"), "path", "line", (F.col("line") + 4).alias("last_line"),
         F.coalesce(A.severity_number(F.col("severity")), F.lit(0)).alias("sev"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     )
     joined = A.merged(rows, ["scan_id", "cwe_key", "path"], "finding_id")
-    return joined.groupBy("scan_id", "cwe_key", "path", F.col("primary").alias("primary_id")).agg(F.count("*").alias("merged"), F.max("confidence").alias("confidence")).drop("cwe_key", "path")
+    together = joined.groupBy("scan_id", "cwe_key", "path", F.col("primary").alias("primary_id")).agg(F.count("*").alias("merged"), F.max("confidence").alias("confidence")).drop("cwe_key", "path")
+    alone = every.where("path is null or line is null")
+    return together.unionByName(alone.select("scan_id", F.col("finding_id").alias("primary_id"), F.lit(1).cast("long").alias("merged"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
+
+
+_LEVELS = ["critical", "high", "medium", "low", "informational"]
 
 
 @query(f"""WITH {Q.LATEST}, r AS (SELECT *, split_part(path, '/', 1) AS module FROM f WHERE path IS NOT NULL AND cwe IS NOT NULL),
@@ -373,9 +381,28 @@ g AS (SELECT repo, cwe, module, CAST(count(*) AS BIGINT) AS size, max(confidence
 p AS (SELECT repo, cwe, module, array_to_string(list_sort(list(path))[1:10], ';') AS paths FROM (SELECT DISTINCT repo, cwe, module, path FROM r) GROUP BY ALL)
 SELECT g.*, p.paths FROM g JOIN p USING (repo, cwe, module)""")
 def systemic_clusters(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("path is not null and cwe is not null and repo is not null")
-    rows = f.select("repo", "cwe", F.substring_index("path", "/", 1).alias("module"), "path", "confidence", F.concat_ws(" ", "scan_id", "finding_id").alias("key"))
-    return A.systemic(rows, ["repo", "cwe", "module"], "key")
+    """Clusters as parents, their findings as children, a level of severity lower, and all other findings untouched.
+
+    A parent has the best severity of its children. Rows of findings have their own confidence, key and path.
+    """
+    keys = ["repo", "cwe", "module"]
+    narrow = levelled_findings(spark, d).select(
+        "repo", "cwe", F.substring_index("path", "/", 1).alias("module"), "path", "severity", "confidence", F.concat_ws(" ", "scan_id", "finding_id").alias("key")
+    )
+    f = written(narrow, "clustered")
+    whole = "path is not null and cwe is not null and repo is not null"
+    rows = f.where(whole)
+    best = rows.groupBy(*keys).agg(F.max_by("severity", A.severity_number(F.col("severity"))).alias("severity"))
+    parents = A.systemic(rows.drop("severity"), keys, "key").join(best, keys)
+    named = parents.withColumns({"cluster_id": F.concat(F.lit("C-"), "first_id"), "kind": F.lit("parent")})
+    marked = rows.join(named.select(*keys, "cluster_id"), keys, "left").unionByName(f.where(f"not ({whole})").withColumn("cluster_id", F.lit(None).cast("string")))
+    lower = F.create_map(*(F.lit(x) for pair in zip(_LEVELS, [*_LEVELS[1:], _LEVELS[-1]]) for x in pair))
+    child = F.col("cluster_id").isNotNull()
+    findings = marked.select(
+        *keys, F.lit(1).cast("long").alias("size"), F.col("confidence").alias("top_confidence"), F.col("key").alias("first_id"), F.col("path").alias("paths"),
+        F.when(child, F.coalesce(lower[F.col("severity")], "severity")).otherwise(F.col("severity")).alias("severity"), "cluster_id", F.when(child, "child").otherwise("untouched").alias("kind"),
+    )
+    return named.unionByName(findings)
 
 
 @query(f"""WITH {Q.LATEST} SELECT scan_id, bool_or(cwe = 79) AND bool_or(cwe = 352) AS chained, CAST(count(*) FILTER (cwe IN (79, 352)) AS BIGINT) AS n FROM f
@@ -628,4 +655,5 @@ def sarif_export(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "findings").where("scan_id is not null and finding_id is not null")
     kept = latest_rows(rows, ["scan_id", "finding_id"], ["recorded_at", "finding_json", "path", "cwe", "severity"])
     named = F.concat(F.lit("CWE-"), level_cwe(F.col("cwe")).cast("string"))
-    return sarif_results(kept.withColumns({"cwe": named, "severity": level_severity(F.col("severity")), "path": level_path(F.col("path"))}))
+    findings = kept.withColumns({"cwe": named, "severity": level_severity(F.col("severity")), "path": level_path(F.col("path"))})
+    return sarif_results(findings).unionByName(sarif_unlocated(findings))

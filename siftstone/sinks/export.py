@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.operators.scoring import redacted
@@ -19,20 +19,26 @@ def write_flat(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
-    """(scan_id, result): one SARIF result per finding as JSON text, redacted. Rows of a scan are written beside each other,
-    so a document is the rules and results of one scan; no scan is gathered into one value."""
+    """(scan_id, result): one SARIF result per finding with a path as JSON text, redacted. Rows of a scan are written beside each
+    other, so a document is the rules and results of one scan; no scan is gathered into one value."""
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation"))
+    return _sarif(findings.where("path is not null"), F.array(place))
+
+
+def sarif_unlocated(findings: DataFrame) -> DataFrame:
+    """(scan_id, result): the results of findings without a path; their list of locations is empty."""
+    return _sarif(findings.where("path is null"), F.array().cast("array<string>"))
+
+
+def _sarif(findings: DataFrame, locations: Column) -> DataFrame:
     level = F.create_map(*(F.lit(x) for kv in SARIF_LEVELS.items() for x in kv))
     result = F.struct(
         F.coalesce(F.col("cwe"), F.lit("unknown")).alias("ruleId"),
         F.coalesce(level[F.col("severity")], F.lit("note")).alias("level"),
         F.struct(redacted(F.col("title")).alias("text")).alias("message"),
-        F.array(
-            F.struct(
-                F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation")
-            )
-        ).alias("locations"),
+        locations.alias("locations"),
     )
-    return findings.where("path is not null").select("scan_id", F.to_json(result).alias("result"))
+    return findings.select("scan_id", F.to_json(result).alias("result"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Rows that lack a part of their place, or have more than one place, are neither lost nor misjudged."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from siftstone.plans import reference as R
 from tests.conftest import rows
 
@@ -27,3 +31,30 @@ def test_merge_sources_keeps_rows_without_a_whole_place(spark, tmp_path):
         ("r", None, 5, None, None, "t:a", "added"), ("r", "src/a.py", None, None, None, "t:a", "added"),
     ]
     assert rows(got) == sorted(want, key=str)
+
+
+def _findings(spark, tmp_path, data):
+    """Findings of scan s in the real table's columns, from (finding_id, path, start_line, cwe, skill, finding_json); no accepted entries."""
+    for name in ("findings", "baseline_entries"):
+        real = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0)
+        if name == "findings":
+            given = {"scan_id": "s", "repo": "r", "severity": "high", "title": "t", "confidence": 0.5}
+            some = spark.createDataFrame(data, "finding_id string, path string, start_line int, cwe string, skill string, finding_json string").withColumns({k: F.lit(v) for k, v in given.items()})
+            real = some.select(*((F.col(c) if c in some.columns else F.lit(None)).cast(t).alias(c) for c, t in real.dtypes))
+        real.write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_findings_without_place_are_kept(spark, tmp_path):
+    clustered = [(f"C{k}", f"src/{k}.py", 5, "CWE-89", "x", None) for k in range(5)]
+    d = _findings(spark, tmp_path, clustered + [("A", None, None, "CWE-89", "x", None), ("B", "src/a.py", None, "CWE-79", "x", None), ("D", "src/a.py", 3, None, "x", None)])
+    every = {"A", "B", "D", *(f"C{k}" for k in range(5))}
+    assert {r.finding_id for r in R.baseline_anti(spark, d).collect()} == every
+    assert {(r.primary_id, r.merged) for r in R.merge_overlapping(spark, d).collect()} == {(k, 1) for k in every}
+    places = [json.loads(r.result)["locations"] for r in R.sarif_export(spark, d).collect()]
+    assert len(places) == 8 and places.count([]) == 1
+    got = R.systemic_clusters(spark, d)
+    parent = [("parent", "s C0", 5, "high", "C-s C0")]
+    children = [("child", f"s C{k}", 1, "medium", "C-s C0") for k in range(5)]
+    untouched = [("untouched", f"s {k}", 1, "high", None) for k in "ABD"]
+    assert rows(got, "kind", "first_id", "size", "severity", "cluster_id") == sorted(parent + children + untouched, key=str)
