@@ -11,6 +11,7 @@ from siftstone.operators import aggregates as A
 from siftstone.operators import index as X
 from siftstone.operators import joins as J
 from siftstone.operators import scoring as S
+from siftstone.operators import shredding
 from siftstone.operators.snapshots import snapshots
 from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
@@ -259,10 +260,17 @@ def closed_set_citation(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id FROM f WHERE skill <> 'deterministic_detector' AND NOT EXISTS (SELECT 1 FROM f g
 WHERE g.skill = 'deterministic_detector' AND g.scan_id = f.scan_id AND g.path = f.path AND g.cwe = f.cwe AND abs(g.line - f.line) <= 3)""")
 def anti_near_duplicate(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).select("scan_id", "finding_id", "path", "cwe", "line", "skill")
-    own = f.where("skill <> 'deterministic_detector'")
+    """Findings of lenses, their skill known or not, that no detector finding of the class is near at any of their locations."""
+    keys, columns = ["scan_id", "finding_id", "cwe"], ["path", "start_line"]
+    f = levelled_findings(spark, d).select(*keys, "path", "line", "skill", "finding_json")
+    own = f.where("not (skill <=> 'deterministic_detector')")
+    nodes = shredding.adjacency(own.where("cwe is not null"), keys, "finding_json", ["finding", "locations", *columns], ("object", "scalar"))
+    found = shredding.records(nodes, keys, {"locations": shredding.FINDING_LISTS["locations"]}, ("finding",))
+    more = shredding.entity_table(nodes, found, keys, "locations", columns).select(*keys, level_path(F.col("rec_path")).alias("path"), F.expr("try_cast(rec_start_line as bigint)").alias("line"))
+    places = own.select(*keys, "path", "line").unionByName(more)
     det = f.where("skill = 'deterministic_detector' and line is not null").select("scan_id", "path", "cwe", F.col("line").alias("other_line"))
-    return J.near_anti(own, det, ["scan_id", "finding_id"], ["scan_id", "path", "cwe"], 3).select("scan_id", "finding_id")
+    near = J.near_pairs(places, det, ["scan_id", "path", "cwe"], 3).select("scan_id", "finding_id").distinct()
+    return own.select("scan_id", "finding_id").join(near, ["scan_id", "finding_id"], "left_anti")
 
 
 @query(f"""WITH {Q.LATEST}, {_HITS}, p AS (SELECT f.scan_id, f.finding_id, h.hit_id, NOT coalesce(h.reachable_from_source, false) AS unreached, abs(h.line - f.line) AS line_delta

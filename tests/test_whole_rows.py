@@ -58,3 +58,13 @@ def test_findings_without_place_are_kept(spark, tmp_path):
     children = [("child", f"s C{k}", 1, "medium", "C-s C0") for k in range(5)]
     untouched = [("untouched", f"s {k}", 1, "high", None) for k in "ABD"]
     assert rows(got, "kind", "first_id", "size", "severity", "cluster_id") == sorted(parent + children + untouched, key=str)
+
+
+def test_near_duplicates_at_any_location_and_unknown_skills(spark, tmp_path):
+    second = json.dumps({"locations": [{"path": "src/z.py", "start_line": 1}, {"path": "./src/a.py", "start_line": 12}]})
+    far = second.replace("12", "14")
+    data = [
+        ("D", "src/a.py", 10, "CWE-89", "deterministic_detector", None), ("A", "src/z.py", 1, "CWE-89", "x", second), ("B", "src/z.py", 1, "CWE-89", "x", far),
+        ("C", "src/z.py", 1, "CWE-89", None, None), ("E", "src/a.py", 11, "CWE-89", None, None), ("F", "src/z.py", 1, None, "n/a", second),
+    ]
+    assert rows(R.anti_near_duplicate(spark, _findings(spark, tmp_path, data)), "finding_id") == [("B",), ("C",), ("F",)]
