@@ -1,99 +1,94 @@
 """Template residue, filler, error pages and script notices standing in documents as their own text.
 
-Documents fall into sentences; numbers, ids, paths and quotations are levelled, code and quoted lines left out,
-and equal sentences become one class. Classes are trusted residue when they hold an unfilled field or
-equal a known residue sentence. Classes lie in an index keyed by the first of their five-word shingles in the order of the
-hashes, so many of them that classes of the least similarity always share one; the similarity of shingles verifies them. Trusted
-labels pass along verified links until nothing new is reached, and documents holding a reached class come out.
-
-Fields label their own class only: a sentence doesn't become a template by likeness to one with a gap.
-Null and blank texts are no residue. Equal ids come out once.
+Documents fall into sentences; numbers, ids, paths and quotations are levelled, code and quoted lines left out, and
+equal sentences become one class. Trusted residue is what public software shows by default (``SEEDS``, the status phrases
+of HTTP) and what its form gives away: Latin filler, one word or one sentence said over and over, text inside ``noscript``.
+
+Near-duplicates carry the labels. Each class has a SimHash of its distinct character trigrams, cut into ``TABLES`` blocks
+that stand in partitioned tables. Classes within ``TABLES * (flips + 1) - 1`` bits agree in some block but for ``flips`` bits, so
+the few trusted classes look up all such values of each block, and the many classes of the corpus have one row per
+block. Hamming distance and the similarity of the trigrams verify. A first hop from a seed needs ``SEED_SIMILARITY``; links
+between classes of the corpus need ``LINK_SIMILARITY``, so that wording doesn't drift, and labels pass along them until
+nothing new is reached: the connected components of the seeds.
+
+Unfilled fields are told by form: marks that nothing else uses are certain, and the names in them make the vocabulary
+that settles marks with other uses (``[name]``, ``${name}``). A sentence doesn't become a template by likeness to one with a gap.
+
+Null and blank texts are no residue. Equal ids come out once. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from http import HTTPStatus
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm.words import clean, gram_hashes, word_codes
+from siftstone.llm.words import clean
 from siftstone.session import written
 
-#: ``MOST_BITS`` belongs to ``simhash`` and decides nothing here: short sentences of the least similarity are often farther apart.
-MOST_BITS, SHINGLE, LEAST_SIMILARITY = 3, 5, 0.8
-
-# Names of fields in templates of reports and letters.
-FIELD_NAMES = [
-    "repo name", "severity", "cwe name", "score", "owner", "due date", "affected version", "fix version", "finding id", "summary",
-    "impact", "reviewer", "contact", "scan date", "team", "first name", "last name", "full name", "company name", "company",
-    "product name", "project name", "customer name", "user name", "recipient", "job title", "phone number", "email address",
-    "start date", "end date", "order number", "ticket number", "description",
-]
-# Sentences known as residue.
-KNOWN_RESIDUE = """
+#: SimHash tables and the bits of a block; a class has 64 bits.
+TABLES, BLOCK = 8, 8
+#: Least similarity of trigram sets, and bits that may differ inside a block, for hops from seeds and between classes of the corpus.
+SEED_SIMILARITY, SEED_FLIPS = 0.5, 2
+LINK_SIMILARITY, LINK_FLIPS = 0.7, 1
+#: A sentence of so many words that stands so often in a row is filler.
+ROW_WORDS, ROW = 3, 3
+#: Looked-up blocks are broadcast up to so many rows of 40 bytes; beyond, the join shuffles.
+BROADCAST_PROBES = 200_000
+
+# Sentences that public software shows by default in place of content: application skeletons, browsers,
+# web servers, gateways, office programs and page builders.
+SEEDS = """
+You need to enable JavaScript to run this app.
+We're sorry but this app doesn't work properly without JavaScript enabled. Please enable it to continue.
+Please enable JavaScript to continue using this application.
 Please enable JavaScript to view this page.
-Please enable JavaScript to view this report.
-Please turn on JavaScript in your browser.
 JavaScript is disabled in your browser.
-JavaScript is required to view this page.
-The advisory cannot be shown.
-This page requires scripting.
-Turn it on in your browser settings and reload.
-You need to enable JavaScript to run this app.
-We're sorry but the dashboard doesn't work properly without JavaScript enabled.
-Your browser does not support scripts, or they are blocked.
-This viewer works only with scripts switched on.
-Active JavaScript para ver esta página.
-Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
-400 Bad Request
-401 Unauthorized
-403 Forbidden
-404 Not Found
-408 Request Timeout
-429 Too Many Requests
-500 Internal Server Error
-502 Bad Gateway
-503 Service Unavailable
-503 Service Unavailable Service Unavailable ref 12345678
-504 Gateway Timeout
-upstream closed the connection (12345678)
+Please turn on JavaScript in your browser and reload the page.
+Your browser does not support JavaScript.
+This page requires JavaScript.
+Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen.
+Por favor, active JavaScript para ver esta página.
+The requested URL was not found on this server.
+The page could not be found.
+The server encountered an internal error and could not complete your request.
+You do not have permission to view this directory or page.
 Access denied.
-You do not have permission to view this page.
-Internal Server Error: the server met a problem and could not finish request 12345678.
-Sorry, something went wrong on our side.
-Your session has expired.
-Please sign in again to continue.
-This repository is private or has been removed.
-Too many requests.
-Slow down and retry in 30 seconds.
-Seite nicht gefunden.
-Die Adresse 12345678 gibt es nicht mehr.
-Error 403: prohibido.
-No tiene permiso para ver 12345678.
-Checking your browser before you continue...
-Application error: a client-side exception has occurred (12345678).
-{"message": "Not Found", "status": 404, "trace": "12345678"}
-The page 12345678 could not be found on this server.
-Lorem ipsum dolor sit amet.
-This is placeholder content for the report body.
+Sorry, something went wrong.
+Application error: a client-side exception has occurred.
+Checking your browser.
+Your session has expired. Please sign in again.
+This page is private or has been removed.
+This content cannot be shown.
+Slow down and try again later.
+upstream closed the connection.
+{"message": "Not Found", "status": "404"}
+Seite nicht gefunden. Diese Seite gibt es nicht mehr.
+Zugriff verweigert.
+Error 403: prohibido. No tiene permiso para ver esta página.
+Página no encontrada.
+Your text here.
 Your text goes here.
-Body copy to follow.
-Enter a summary of the finding.
-Sample description, replace before publishing.
-Click to add a description.
 Click to add text.
+Click to add a title.
 Type your text here.
-Hier steht später der Beschreibungstext.
-Aquí irá el texto de la descripción.
-Text text text text.
-asdf asdf asdf.
+Enter a description.
+This is placeholder text.
+This is placeholder content.
+Sample text, replace before publishing.
+Copy to follow.
+Hier steht Ihr Text.
+Aquí va el texto.
 """.strip().split("\n")
+# Names of fields that letters have everywhere.
+FIELD_SEEDS = ["first name", "last name", "full name", "company name", "email address", "phone number", "street address", "postal code", "job title", "start date", "end date"]
 # The words of the usual Latin filler.
 LATIN_FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna"
@@ -102,25 +97,30 @@ LATIN_FILLER = frozenset(
     " qui officia deserunt mollit anim id est laborum".split()
 )
 
-_N = "(?:" + "|".join(n.replace(" ", "[ _]") for n in FIELD_NAMES) + ")"
-_FIELD = re.compile(
-    rf"\{{\{{\s*{_N}\s*\}}\}}|\[\[\s*{_N}\s*\]\]|<%=?\s*{_N}\s*%>|<<\s*{_N}\s*>>|«\s*{_N}\s*»|[$#]\{{\s*{_N}\s*\}}|\$\s*{_N}\s*\$|%{_N}%|%\({_N}\)s"
-    rf"|@@{_N}@@|__{_N}__|XX_{_N}_XX|\[(?:insert|enter|add|your)\s[^\]\n]{{1,40}}\]|\[{_N}\]|(?<![$#{{%])\{{(?:{_N}|\d{{1,2}})\}}(?!\}})"
-    rf"|<[a-z][a-z _]{{1,40}}\sgoes here>|\(to be (?:completed|added|filled in|determined)(?::[^)\n]{{1,40}})?\)",
-    re.I,
+_N = r"[A-Za-z][A-Za-z0-9]*(?:[ _][A-Za-z0-9]+){0,2}"
+# Marks that stand for an unfilled field and nothing else; the groups hold the name.
+_CERTAIN = re.compile(
+    rf"\{{\{{\s*({_N})\s*\}}\}}|\[\[\s*({_N})\s*\]\]|<<\s*({_N})\s*>>|<%=?\s*({_N})\s*%>|«\s*({_N})\s*»|@@({_N})@@|XX_({_N})_XX|\[(?:insert|enter|add|INSERT|ENTER|ADD|Insert|Enter|Add)\s({_N})\]"
+    rf"|<({_N})\sgoes here>|\(to be (?:completed|added|filled in|determined)(?::\s*({_N}))?\)|(?<![$#{{%])\{{\d{{1,2}}\}}(?!\}})"
+)
+# Marks with other uses too: shell and format strings, labels.
+_POSSIBLE = re.compile(
+    rf"[$#]\{{\s*({_N})\s*\}}|\$({_N})\$|%({_N})%|%\(({_N})\)s|__({_N})__|\[({_N})\]|(?<![$#{{%])\{{({_N})\}}(?!\}})"
 )
 _FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
-_LINE = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
+_LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _SENTENCE = re.compile(r"(?<=[.?!…])\s+")
+_MARKED = re.compile(r"(?<=[.?!…])\s+|</?(?:html|head|title|body|center|div|p|h[1-6]|hr|br|ul|ol|li|table|tr|td|th|noscript)(?:\s[^<>]*)?/?>", re.I)
+_NOSCRIPT = re.compile(r"<noscript(?:\s[^<>]*)?>(.*?)</noscript>", re.I | re.S)
 _QUOTED = re.compile(r"""“[^”\n]*”|„[^“”\n]*[“”]|"[^"\n]*"|(?<!\w)'[^'\n]*'(?!\w)""")
-_IDENT = re.compile(r"[\w$]+(?:[/\\.\-:][\w$]+)*/?|/[\w./\-]+")
-_FIELD_WORD = "ƒield"
-
-
 # What every field has somewhere; other sentences need no closer look.
 _MAYBE_FIELD = re.compile(r"[{\[<«$%@]|__|XX_|\(to be ", re.I)
 _WORD = re.compile(r"[\w$]+(?:['’./\\\-:]+[\w$]+)*|/[\w./\-]+")
 _PLAIN = frozenset(("in", "do", "id", "ad", "et", "ex", "est", "non", "qui"))
+_FIELD_WORD = "ƒield"
+#: Kinds of rows that a text gives: a sentence, a sign certain by its form, a name in a certain field, one in a possible field, and a
+#: sentence that stands in a row.
+SENTENCE, CERTAIN, NAME, POSSIBLE, IN_A_ROW = range(5)
 
 
 def _level(w: str) -> str:
@@ -133,42 +133,82 @@ def _level(w: str) -> str:
     return "latin" if low in LATIN_FILLER and low not in _PLAIN else low
 
 
-def sentence_class(sentence: str, levels: dict[str, str]) -> str:
-    """A sentence as its class: fields, quotations, numbers, ids and paths levelled; repeated words once.
-
-    ``levels`` remembers levelled words.
+def sentence_class(sentence: str, levels: dict[str, str]) -> tuple[str, bool]:
+    """A sentence as its class (numbers, ids and paths levelled, a word repeated in a row once), and whether its form gives it
+    away as filler. ``levels`` remembers levelled words.
     """
-    s = sentence
-    if s[0] not in "{[" and ('"' in s or "'" in s or "“" in s or "„" in s):
-        s = _QUOTED.sub(" quoted ", s)
-    if _MAYBE_FIELD.search(s):
-        s = _FIELD.sub(f" {_FIELD_WORD} ", s)
     out: list[str] = []
-    for w in _WORD.findall(clean(s)):
+    n = 0
+    for w in _WORD.findall(clean(sentence)):
         low = levels.get(w)
         if low is None:
             low = levels[w] = _level(w)
-        if low and (not out or out[-1] != low):
-            out.append(low)
+        if low:
+            n += 1
+            if not out or out[-1] != low:
+                out.append(low)
     if "latin" in out and not set(out) - LATIN_FILLER - {"latin"}:
-        return "latin"
-    return " ".join(out)
+        return "latin", True
+    return " ".join(out), n >= 3 and len(out) == 1 and out[0].isalpha()
+
+
+def unquoted(sentence: str) -> str:
+    """A sentence with its quotations levelled; bodies in braces are read as they are."""
+    if sentence[0] not in "{[" and any(q in sentence for q in "\"'“„"):
+        return _QUOTED.sub(" quoted ", sentence)
+    return sentence
 
 
-def sentences(text: str, levels: dict[str, str]) -> Iterator[str]:
-    """Classes of the sentences of a text, without code and quoted lines."""
+def _noted(m: re.Match, kind: int, found: list[tuple[int, str]]) -> str:
+    """What a field leaves in its sentence; its kind and the name in it go to ``found``."""
+    name = next((g for g in m.groups() if g), "").lower().replace("_", " ")
+    if kind == CERTAIN:
+        found.append((CERTAIN, "field"))
+        if name:
+            found.append((NAME, name))
+    else:
+        found.append((POSSIBLE, name))
+    return f" {_FIELD_WORD} "
+
+
+def signs(text: str, levels: dict[str, str]) -> Iterator[tuple[int, str]]:
+    """(kind, sentence or name) of all a text holds, without code and quoted lines."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
+    if "<noscript" in text.lower():
+        for m in _NOSCRIPT.finditer(text):
+            if len(_WORD.findall(clean(m.group(1)))) >= 2 and "`" not in text[max(0, m.start() - 1) : m.end() + 1]:
+                yield CERTAIN, "noscript"
+    before, row = "", 0
     for line in _LINE.split(text):
         line = line.strip()
         if not line or line[0] == ">":
             continue
         if "`" in line:
             line = re.sub(r"`[^`]*`", " quoted ", line)
-        for s in _SENTENCE.split(line):
-            c = sentence_class(s, levels) if s else ""
+        for s in (_MARKED if "<" in line else _SENTENCE).split(line):
+            if not s:
+                continue
+            row = row + 1 if s == before else 1
+            before = s
+            s = unquoted(s)
+            if _MAYBE_FIELD.search(s):
+                found: list[tuple[int, str]] = []
+                s = _CERTAIN.sub(lambda m: _noted(m, CERTAIN, found), s)
+                s = _POSSIBLE.sub(lambda m: _noted(m, POSSIBLE, found), s)
+                yield from found
+            c, filler = sentence_class(s, levels)
+            if filler:
+                yield CERTAIN, "filler"
             if c:
-                yield c
+                yield SENTENCE, c
+                if row == ROW and sum(w.isalpha() for w in c.split()) >= ROW_WORDS:
+                    yield IN_A_ROW, c
+                head, colon, rest = s.partition(": ")
+                if colon and rest and s[0] != "{":
+                    c = sentence_class(head, levels)[0]
+                    if c.count(" ") >= 2:
+                        yield SENTENCE, c
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,89 +217,136 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(levels) > 500_000:
             levels.clear()
         ids: list[int] = []
+        kinds: list[int] = []
         codes: list[int] = []
         texts: list[str] = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for c in set(sentences(text, levels)):
+            for kind, c in set(signs(text, levels)):
                 ids.append(i)
+                kinds.append(kind)
                 codes.append(xxhash.xxh3_64_intdigest(c) - 2**63)
                 texts.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "cls", "sentence"])
-
-
-def simhash(text: str, cache: dict[str, int]) -> tuple[int, np.ndarray]:
-    """A 64-bit SimHash of words and word pairs, and the distinct five-word shingles (the whole, if shorter)."""
-    codes = word_codes(text.split(), cache)
-    features = np.concatenate([gram_hashes(codes, 1), gram_hashes(codes, 2)])
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(features)
-    h = int(np.packbits((votes > 0).astype(np.uint8), bitorder="little").view(np.uint64)[0])
-    return h - 2**63, np.unique(gram_hashes(codes, min(SHINGLE, len(codes)))).view(np.int64)
-
-
-def class_shingles(text: str, cache: dict[str, int]) -> np.ndarray:
-    """The distinct five-word shingles in the order of their hashes (the whole, if shorter)."""
-    codes = word_codes(text.split(), cache)
-    return np.unique(gram_hashes(codes, min(SHINGLE, len(codes))).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), pa.array(texts, pa.string()), pa.array(kinds, pa.int32())], names=["doc_id", "cls", "sentence", "kind"]
+        )
 
 
-def _shingle_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache: dict[str, int] = {}
+def trigram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, trigram) for every distinct character trigram of every text, sorted; blanks stand at both ends."""
+    points = [np.frombuffer(f" {t} ".encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) for t in texts]
+    sizes = np.array([len(p) - 2 for p in points])
+    grams = [p[:-2] | (p[1:-1] << np.uint64(21)) | (p[2:] << np.uint64(42)) for p in points]
+    place = np.repeat(np.arange(len(texts)), sizes)
+    flat = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint64)
+    order = np.lexsort((flat, place))
+    place, flat = place[order], flat[order]
+    fresh = np.r_[True, (place[1:] != place[:-1]) | (flat[1:] != flat[:-1])] if len(flat) else np.empty(0, dtype=bool)
+    return place[fresh], flat[fresh]
+
+
+def simhashes(place: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit SimHash of each text's trigrams."""
+    with np.errstate(over="ignore"):
+        h = grams * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    out = np.zeros(n, dtype=np.uint64)
+    if len(h):
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        sizes = np.diff(np.r_[starts, len(h)])
+        for bit in range(64):
+            votes = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts)
+            out[place[starts]] |= (2 * votes > sizes).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def _hash_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"cls": pdf.cls, "sentence": pdf.sentence, "shingles": [class_shingles(t, cache) for t in pdf.sentence]})
-        if len(cache) > 500_000:
-            cache.clear()
+        texts = pdf.sentence.tolist()
+        place, grams = trigram_sets(texts)
+        ends = np.searchsorted(place, np.arange(len(texts) + 1))
+        sets = [grams[a:b].view(np.int64) for a, b in zip(ends[:-1], ends[1:])]
+        yield pd.DataFrame({"cls": pdf.cls, "simhash": simhashes(place, grams, len(texts)).view(np.int64), "grams": sets})
+
+
+def known_classes(spark: SparkSession, seeds: list[str] | None = None) -> DataFrame:
+    """(cls, sentence): the classes of seeds; those of HTTP with their codes, and without where they have three words."""
+    if seeds is None:
+        phrases = [s for s in HTTPStatus if s.value >= 400]
+        seeds = SEEDS + [f"{s.value} {s.phrase}" for s in phrases] + [s.phrase for s in phrases if s.phrase.count(" ") >= 2]
+    texts = sorted({c for s in seeds for kind, c in signs(s, {}) if kind == SENTENCE})
+    return spark.createDataFrame([(xxhash.xxh3_64_intdigest(c) - 2**63, c) for c in texts], "cls long, sentence string")
 
 
-def known_classes(spark: SparkSession, known: list[str] = KNOWN_RESIDUE) -> DataFrame:
-    texts = sorted({c for s in known for c in sentences(s, {})})
-    return spark.createDataFrame([(xxhash.xxh3_64_intdigest(c) - 2**63, c) for c in texts], "cls long, sentence string")
+def _block(k: int) -> Column:
+    return F.shiftrightunsigned("simhash", k * BLOCK).bitwiseAND(2**BLOCK - 1).cast("int")
 
 
-def index_keys(df: DataFrame) -> DataFrame:
-    """(key, cls, n): the first shingles of each class, in an order that all classes share, and how many it has.
+def simhash_tables(hashed: DataFrame) -> DataFrame:
+    """(table, block, cls, simhash, size): one row per class and table."""
+    blocks = F.array(*(F.struct(F.lit(k).alias("table"), _block(k).alias("block")) for k in range(TABLES)))
+    return hashed.select(F.explode(blocks).alias("b"), "cls", "simhash", F.size("grams").alias("size")).select("b.table", "b.block", "cls", "simhash", "size")
 
-    Of n shingles, a similar class holds at least ``LEAST_SIMILARITY`` of them, so of the others and one more it holds one;
-    the least shingle that two similar classes share is among the first of both.
-    """
-    n = F.size("shingles")
-    first = n - F.ceil(n * F.lit(LEAST_SIMILARITY) - F.lit(1e-9)) + 1
-    return df.select(F.explode(F.slice("shingles", F.lit(1), first.cast("int"))).alias("key"), "cls", n.alias("n"))
 
+def near_classes(tables: DataFrame, hashed: DataFrame, frontier: DataFrame, flips: int, least: float) -> DataFrame:
+    """(from, cls): classes whose SimHash and trigrams are near those of a class in ``frontier`` (cls, simhash, grams).
 
-def residue_classes(classes: DataFrame) -> DataFrame:
-    """(cls): classes (cls, sentence) that are trusted residue or are linked to known residue."""
+    Sizes of sets as similar as ``least`` differ at most by that factor, which rules out most pairs before the bits are counted.
+    """
+    masks = [m for m in range(2**BLOCK) if m.bit_count() <= flips]
+    flip = frontier.sparkSession.createDataFrame(pd.DataFrame({"mask": masks}))
+    # The masks are a fixed list, so this is one row per class of the frontier, table and mask.
+    probes = written(
+        simhash_tables(frontier)
+        .withColumnsRenamed({"cls": "from", "simhash": "from_hash", "size": "from_size"})
+        .crossJoin(F.broadcast(flip))
+        .withColumn("block", F.col("block").bitwiseXOR(F.col("mask").cast("int")))
+        .drop("mask"),
+        "probes",
+    )
+    if probes.count() <= BROADCAST_PROBES:
+        probes = F.broadcast(probes)
+    bits = F.bit_count(F.col("simhash").bitwiseXOR(F.col("from_hash")))
+    alike = (F.col("size") >= F.col("from_size") * least) & (F.col("from_size") >= F.col("size") * least)
+    near = tables.join(probes, ["table", "block"]).where(alike & (bits < TABLES * (flips + 1))).select("from", "cls").distinct()
+    sets = near.join(hashed.select("cls", "grams"), "cls").join(frontier.select(F.col("cls").alias("from"), F.col("grams").alias("held")), "from")
+    shared = F.size(F.array_intersect("grams", "held"))
+    return sets.where(shared >= (F.size("grams") + F.size("held") - shared) * (least - 1e-9)).select("from", "cls")
+
+
+def residue_classes(classes: DataFrame, trusted: DataFrame, seeds: list[str] | None = None) -> DataFrame:
+    """(cls, hops): classes (cls, sentence) that are seeds or ``trusted`` (cls) (0 hops) or reached from them by verified links."""
     spark = classes.sparkSession
-    known = known_classes(spark)
-    every = classes.select("cls", "sentence").unionByName(known).dropDuplicates(["cls"])
-    hashed = written(every.mapInPandas(_shingle_classes, "cls long, sentence string, shingles array<long>"), "shingles")
-    index = written(index_keys(hashed), "shingle-index")
-    fields = hashed.where(F.array_contains(F.split("sentence", " "), _FIELD_WORD)).select("cls")
-    reached = written(known.select("cls"), "reached")
-    frontier = reached
-    least = F.lit(LEAST_SIMILARITY - 1e-9)
+    hashed = written(classes.select("cls", "sentence").dropDuplicates(["cls"]).mapInPandas(_hash_classes, "cls long, simhash long, grams array<long>"), "simhashes")
+    tables = written(simhash_tables(hashed), "simhash-tables")
+    frontier = written(known_classes(spark, seeds).mapInPandas(_hash_classes, hashed.schema), "frontier")
+    reached = written(frontier.select("cls").unionByName(trusted.select("cls")).distinct().withColumn("hops", F.lit(0)), "reached")
+    hops, flips, least = 0, SEED_FLIPS, SEED_SIMILARITY
     while True:
-        source = index.join(frontier, "cls", "left_semi").select("key", F.col("cls").alias("from"), F.col("n").alias("from_n"))
-        near = (
-            index.join(reached, "cls", "left_anti")
-            .join(source, "key")
-            .where((F.col("n") >= F.col("from_n") * least) & (F.col("from_n") >= F.col("n") * least))
-            .select("from", "cls")
-            .distinct()
-        )
-        shingles = hashed.select("cls", "shingles")
-        pairs = near.join(shingles, "cls").join(shingles.select(F.col("cls").alias("from"), F.col("shingles").alias("held")), "from")
-        alike = F.size(F.array_intersect("shingles", "held")) / F.size(F.array_union("shingles", "held"))
-        frontier = written(pairs.where(alike >= LEAST_SIMILARITY).select("cls").distinct(), "frontier")
-        if frontier.isEmpty():
-            break
-        reached = written(reached.unionByName(frontier), "reached")
-    return reached.unionByName(fields).distinct()
-
-
-def residue_documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_residue): documents with sentences that are residue, and how many classes of them."""
+        hops += 1
+        found = near_classes(tables, hashed, frontier, flips, least).select("cls").distinct().join(reached, "cls", "left_anti")
+        fresh = written(found.select("cls", F.lit(hops).alias("hops")), "reached")
+        if hops > 1 and fresh.isEmpty():
+            return reached
+        reached = reached.unionByName(fresh)
+        # Seeds and trusted classes that stand in the corpus pass labels on like the classes they reach.
+        starts = fresh if hops > 1 else reached
+        frontier = written(hashed.join(starts.select("cls"), "cls", "left_semi"), "frontier")
+        flips, least = LINK_FLIPS, LINK_SIMILARITY
+
+
+def residue_documents(documents: DataFrame, seeds: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_residue, by_form, hops): documents that hold residue: how many classes of it, whether a form gave it away, and
+    the fewest links from a seed to a class it holds (null if only the form speaks)."""
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    held = written(texts.mapInArrow(_split, "doc_id long, cls long, sentence string"), "sentences")
-    classes = held.groupBy("cls").agg(F.first("sentence").alias("sentence"))
-    return held.select("doc_id", "cls").join(residue_classes(classes), "cls").groupBy("doc_id").agg(F.countDistinct("cls").alias("n_residue"))
+    held = written(texts.mapInArrow(_split, "doc_id long, cls long, sentence string, kind int"), "signs", ["kind"])
+    kind = lambda k: held.where(F.col("kind") == k)
+    classes = kind(SENTENCE).groupBy("cls").agg(F.first("sentence").alias("sentence"))
+    reached = residue_classes(classes, kind(IN_A_ROW), seeds)
+    linked = kind(SENTENCE).select("doc_id", "cls").join(reached, "cls").select("doc_id", "cls", "hops", F.lit(False).alias("form"))
+    common = documents.sparkSession.createDataFrame([(n,) for n in FIELD_SEEDS], "sentence string")
+    names = kind(NAME).select("sentence").unionByName(common).distinct()
+    fields = kind(POSSIBLE).join(names, "sentence", "left_semi").unionByName(kind(CERTAIN)).unionByName(kind(IN_A_ROW))
+    formed = fields.select("doc_id", "cls", F.lit(None).cast("int").alias("hops"), F.lit(True).alias("form"))
+    return linked.unionByName(formed).groupBy("doc_id").agg(F.countDistinct("cls").alias("n_residue"), F.bool_or("form").alias("by_form"), F.min("hops").alias("hops"))

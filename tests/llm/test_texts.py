@@ -1,9 +1,7 @@
 import random
 
 from siftstone.llm.leaks import gram_places, leaked_pairs, passage
-from siftstone.llm.residue import residue_documents, sentences, simhash
 from siftstone.llm.words import gram_hashes, winnow, word_codes, words
-from tests.conftest import rows
 
 VOCAB = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra") for b in ("bex", "dol", "fim", "gan", "hup", "jor", "kel", "mog")]
 
@@ -67,66 +65,3 @@ def test_long_texts_end():
     rng = random.Random(4)
     doc = _text(rng, 40_000)
     assert passage(doc, gram_places(doc), doc[100:20_100], [1] * 20_000) >= 20_000
-
-
-RESIDUE = [
-    "Real words here.\nSeverity: {{ repo_name }}", "Owner: [[due date]], due %DUE_DATE%", "Lorem ipsum dolor sit amet consectetur nulla esse.", "Please enable JavaScript to view this report.", "502 Bad Gateway",
-    "Loading...\nSorry, something went wrong on our side. Request id 5c96995dda28. Try again later.", "The page cfe4b89b1d8c could not be found on this server.", "Your text goes here. Your text goes here.",
-    "<html><head><title>503 Service Unavailable</title></head><body><h1>Service Unavailable</h1><p>ref de432b74f593</p></body></html>", "keeps (to be completed: owner) in a cache",
-]
-CLEAN = [
-    'The log shows "502 Bad Gateway" for 19 minutes.', "```\n<h1>{{ summary }}</h1>\n```\nAbove, one value is escaped.", "A value such as ${cursor_filter} is expanded.", "> Please enable JavaScript to view this report.",
-    "The fixture fills member_id with lorem ipsum text to reach 27 kilobytes.", "load_quota_v2 answers with 404 Not Found for unknown ids.", "The payload {{ 39 * 22 }} came back.", "Replace the marker [NAME] by hand.", "", "  \n ", "Use `{{ severity }}` there.",
-]
-
-
-def test_residue_and_talk_about_it(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(RESIDUE + CLEAN)] + [(50, None, None), (None, RESIDUE[0], None), (0, RESIDUE[0], "y")], "doc_id long, text string, cls string")
-    assert {r[0] for r in rows(residue_documents(df), "doc_id")} == set(range(len(RESIDUE)))
-    assert residue_documents(df.limit(0)).count() == 0
-
-
-def test_labels_pass_to_near_duplicates(spark):
-    known = "This long notice tells every reader of the old portal that all pages have moved to another address and that nothing can be shown here until the move is over which will take many days so please come back soon"
-    from siftstone.llm import residue
-
-    near = known.replace("another address", "another address") + " thanks"
-    classes = [(1, next(iter(sentences(known, {})))), (2, next(iter(sentences(near, {}))))]
-    h = [simhash(c, {}) for _, c in classes]
-    assert bin((h[0][0] ^ h[1][0]) & (2**64 - 1)).count("1") <= residue.MOST_BITS
-    df = spark.createDataFrame(classes, "cls long, sentence string")
-    saved = residue.known_classes
-    residue.known_classes = lambda spark: spark.createDataFrame([classes[0]], "cls long, sentence string")
-    try:
-        assert {r[0] for r in residue.residue_classes(df).collect()} == {1, 2}
-    finally:
-        residue.known_classes = saved
-
-
-def test_labels_pass_to_every_class_of_the_least_similarity(spark):
-    from siftstone.llm import residue
-
-    rng = random.Random(9)
-    texts = []
-    for n in (4, 7, 8, 12, 13, 20, 30, 60):
-        for _ in range(12):
-            old = _text(rng, n)
-            for k in (0, rng.randint(1, n - 1), n):
-                texts.append((old, old[:k] + ["added"] + old[k:]))
-            for k in (0, rng.randint(1, n - 2), n - 1):
-                texts.append((old, old[:k] + ["changed"] + old[k + 1 :]))
-    known, near = sorted({" ".join(a) for a, _ in texts}), sorted({" ".join(b) for _, b in texts})
-    grams = {t: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for t in known + near for w in [t.split()]}
-    # Brute force over all pairs, until nothing new is reached.
-    reached, todo = set(), set(known)
-    while todo:
-        reached |= todo
-        todo = {b for b in near if b not in reached and any(len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8 for a in todo)}
-    ids = {t: i for i, t in enumerate(known + near)}
-    saved = residue.known_classes
-    residue.known_classes = lambda spark: spark.createDataFrame([(ids[t], t) for t in known], "cls long, sentence string")
-    try:
-        got = {r[0] for r in residue.residue_classes(spark.createDataFrame([(ids[t], t) for t in near], "cls long, sentence string")).collect()}
-    finally:
-        residue.known_classes = saved
-    assert got == {ids[t] for t in reached} and len(reached) > len(known) + 200
