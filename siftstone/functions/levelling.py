@@ -51,9 +51,18 @@ def level_path(c: Column) -> Column:
     p = F.regexp_replace(p, r"^file://", "")
     p = F.regexp_replace(p, r"/+", "/")
     p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
-    for _ in range(3):
-        p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return _known(F.regexp_replace(p, r"^/+|/+$", ""))
+    p = F.regexp_replace(p, r"^/+|/+$", "")
+    # Each ``..`` takes away the part before it, in order; those with none before them stay.
+    return _known(F.when(p.contains(".."), _without_hops(p)).otherwise(p))
+
+
+def _without_hops(p: Column) -> Column:
+    def step(done: Column, part: Column) -> Column:
+        goes_up = (part == "..") & (done != "") & ~done.rlike(r"(^|/)\.\.$")
+        longer = F.when(done == "", part).otherwise(F.concat(done, F.lit("/"), part))
+        return F.when(goes_up, F.regexp_replace(done, r"(^|/)[^/]+$", "")).otherwise(longer)
+
+    return F.aggregate(F.split(p, "/"), F.lit(""), step)
 
 
 def path_tail(levelled: Column, parts: int = 3) -> Column:

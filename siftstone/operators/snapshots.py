@@ -10,11 +10,14 @@ Null keys are no records. An empty table gives no rows. Rows delivered twice set
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from siftstone.functions.levelling import level_cwe, level_path, level_severity
-from siftstone.session import written
+from siftstone.session import scratch_path, sized, written
 
 #: Keys that one region of ordinals is meant to hold, and its room.
 REGION_KEYS, REGION_ROOM = 4096, 65536
@@ -68,7 +71,8 @@ def assign_ordinals(keys: DataFrame, space: str, key: str, known: DataFrame | No
         sizes = sizes.join(starts, space, "left")
     else:
         sizes = sizes.withColumn("last", F.lit(-1).cast("long"))
-    placed = distinct.join(sizes, space).withColumn(
+    # One row per space.
+    placed = distinct.join(sized(written(sizes, "sizes")), space).withColumn(
         "region", F.coalesce("last", F.lit(-1)) + 1 + F.pmod(F.xxhash64(key), F.col("regions"))
     )
     within = Window.partitionBy(space, "region").orderBy(key)
@@ -78,8 +82,42 @@ def assign_ordinals(keys: DataFrame, space: str, key: str, known: DataFrame | No
     return new if known is None else known.select(space, key, "ordinal").unionByName(new)
 
 
-def snapshot_words(findings: DataFrame, snaps: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per (stream, seq, word): the bits set in it and the facts of its keys, by bit."""
+class OrdinalStore:
+    """Ordinals that last: a folder of (space, key, ordinal), to which each run adds its new keys in a folder of their own.
+
+    A run that ends half-way leaves a folder without the mark of a whole write, which readers pass over.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, key_type: str = "string"):
+        self.spark, self.path, self.key_type = spark, (path or scratch_path(spark, "ordinals")).rstrip("/"), key_type
+
+    def read(self) -> DataFrame | None:
+        try:
+            runs = [r.run for r in self.spark.read.schema("run string").json(f"{self.path}/runs").collect() if r.run]  # one row per run
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        schema = f"space string, key {self.key_type}, ordinal long"
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/data/{r}" for r in runs)) if runs else None
+
+    def extend(self, keys: DataFrame, space: str, key: str) -> DataFrame:
+        """(space, key, ordinal) of all keys held; those of ``keys`` that are new get theirs first."""
+        named = keys.select(F.col(space).alias("space"), F.col(key).alias("key"))
+        known = self.read()
+        every = assign_ordinals(named, "space", "key", known)
+        fresh = every if known is None else every.join(known.select("space", "key"), ["space", "key"], "left_anti")
+        run = f"r-{uuid.uuid4().hex}"
+        fresh.write.option("compression", "zstd").parquet(f"{self.path}/data/{run}")
+        self.spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("append").json(f"{self.path}/runs")
+        return self.read().withColumnsRenamed({"space": space, "key": key})
+
+
+def snapshot_words(findings: DataFrame, snaps: DataFrame, store: OrdinalStore | None = None) -> DataFrame:
+    """One row per (stream, seq, word): the bits set in it and the facts of its keys, by bit.
+
+    Ordinals come from ``store``, which keeps those of new keys for later runs.
+    """
     facts = findings.where(F.col("finding_id").isNotNull()).select(
         "scan_id",
         "finding_id",
@@ -88,10 +126,11 @@ def snapshot_words(findings: DataFrame, snaps: DataFrame, known: DataFrame | Non
         level_path(F.col("path")).alias("path"),
         F.col("start_line").cast("long").alias("start_line"),
     )
-    rows = facts.join(snaps.select("scan_id", "stream", "seq", F.col("next_scan_id").isNotNull().alias("has_next")), "scan_id")
-    rows = rows.drop("scan_id")
-    ordinals = written(assign_ordinals(rows, "stream", "finding_id", known), "ordinals")
-    placed = rows.join(ordinals, ["stream", "finding_id"]).withColumns(
+    places = snaps.select("scan_id", "stream", "seq", F.col("next_scan_id").isNotNull().alias("has_next"))
+    rows = facts.join(sized(places), "scan_id").drop("scan_id")
+    ordinals = (store or OrdinalStore(findings.sparkSession)).extend(rows, "stream", "finding_id")
+    # Ordinals grow with the keys, so this join is never a broadcast, whatever their files weigh.
+    placed = rows.join(ordinals.hint("merge"), ["stream", "finding_id"]).withColumns(
         {"word": F.expr("ordinal >> 6"), "bit": (F.col("ordinal") % 64).cast("int")}
     )
     # Grouped by less than the keys of the two aggregations below, so both run on this one shuffle.
@@ -136,28 +175,28 @@ flatten(array(
 """
 
 
-def snapshot_changes(findings: DataFrame, scans: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def snapshot_changes(findings: DataFrame, scans: DataFrame, store: OrdinalStore | None = None) -> DataFrame:
     """(scan_id, finding_id, change_kind) between every snapshot and the one before it in its stream.
 
-    ``known`` may give the ordinals kept from earlier runs. A stream's first snapshot gives no rows.
+    ``store`` keeps the ordinals of earlier runs and takes the new ones. A stream's first snapshot gives no rows.
     """
     snaps = written(snapshots(scans), "snapshots")
-    changes = compare_words(snapshot_words(findings, snaps, known)).select(
+    changes = compare_words(snapshot_words(findings, snaps, store)).select(
         "stream", "seq", F.explode(F.expr(_CHANGES)).alias("c")
     )
-    return changes.join(snaps.select("stream", "seq", "scan_id"), ["stream", "seq"]).select(
+    return changes.join(sized(snaps.select("stream", "seq", "scan_id")), ["stream", "seq"]).select(
         "scan_id", "c.finding_id", "c.change_kind"
     ).distinct()
 
 
-def snapshot_counts(findings: DataFrame, scans: DataFrame) -> DataFrame:
+def snapshot_counts(findings: DataFrame, scans: DataFrame, store: OrdinalStore | None = None) -> DataFrame:
     """Per later snapshot, counts by bitmap alone: added, removed and common keys."""
     snaps = written(snapshots(scans), "snapshots")
-    sums = compare_words(snapshot_words(findings, snaps)).groupBy("stream", "seq").agg(
+    sums = compare_words(snapshot_words(findings, snaps, store)).groupBy("stream", "seq").agg(
         F.sum(F.expr("cast(bit_count(added) as bigint)")).alias("n_added"),
         F.sum(F.expr("cast(bit_count(removed) as bigint)")).alias("n_removed"),
         F.sum(F.expr("cast(bit_count(common) as bigint)")).alias("n_common"),
     )
-    return sums.join(snaps.select("stream", "seq", "scan_id"), ["stream", "seq"]).select(
+    return sums.join(sized(snaps.select("stream", "seq", "scan_id")), ["stream", "seq"]).select(
         "scan_id", "n_added", "n_removed", "n_common"
     )

@@ -25,8 +25,9 @@ def path(c: str) -> str:
     p = f"regexp_replace({p}, '^file://', '')"
     p = f"regexp_replace({p}, '/+', '/', 'g')"
     p = f"regexp_replace({p}, '(^|/)(\\./)+', '\\1', 'g')"
-    p = f"regexp_replace({p}, '(^|/)[^/]+/\\.\\./', '\\1')"
-    return known(f"regexp_replace({p}, '^/+|/+$', '', 'g')")
+    p = f"regexp_replace({p}, '^/+|/+$', '', 'g')"
+    hop = "CASE WHEN b = '..' AND a <> '' AND NOT regexp_matches(a, '(^|/)\\.\\.$') THEN regexp_replace(a, '(^|/)[^/]+$', '') WHEN a = '' THEN b ELSE a || '/' || b END"
+    return known(f"list_reduce(string_split({p}, '/'), lambda a, b: {hop})")
 
 
 def tail(c: str) -> str:
@@ -41,7 +42,7 @@ def repo(c: str) -> str:
 
 SNAPSHOTS = """
 done AS (
-  SELECT coalesce(repo, '~') || '|' || coalesce(application_id, '~') AS stream, scan_id, started_at,
+  SELECT coalesce(repo, chr(1)) || chr(2) || coalesce(application_id, chr(1)) AS stream, scan_id, started_at,
          nullif(lower(trim(target_sha)), '') AS sha
   FROM scans WHERE ended_at IS NOT NULL AND started_at IS NOT NULL),
 stands AS (
