@@ -6,12 +6,16 @@ items, until the beliefs stand still. An annotator may lean to one class or be w
 its weights follow. Items with the same labels from the same annotators receive the same messages, so
 messages are passed once per pattern of labels, counted with its number of items, and results go back to items.
 
+Only an annotator's totals pass between tasks in a round: edges lie once by pattern, and a round reads them where they are. Rounds go
+on until the beliefs stand still; when they swing, messages are damped, and a run that does not settle is an error.
+
 Labels outside the classes count as the rest of every class. Null items, annotators and labels are no edges.
 Equal labels by one annotator on one item count as often as they stand. Ties go to the first class.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,11 @@ from siftstone.session import written
 
 CLASSES = ("confirm", "reject")
 #: Added to every count of a label under a class; beliefs that move less than TOLERANCE stand still.
-SMOOTHING, TOLERANCE, ROUNDS = 1.0, 0.002, 25
+SMOOTHING, TOLERANCE = 1.0, 0.002
+#: From the one on, messages are averaged with those before; without standing still by the other, the run fails.
+DAMPED_FROM, FAILED_FROM = 20, 300
+#: A table is written every so many rounds, which cuts lineage.
+WRITTEN_EVERY = 10
 BROADCAST_ANNOTATORS = 50_000
 
 
@@ -46,44 +54,58 @@ def label_patterns(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     """(sig, class, logit): each class against the rest; all classes pass their messages side by side."""
+    spark = edges.sparkSession
     seen = edges.withColumn("class", F.explode(F.array(*map(F.lit, classes)))).withColumn("y", (F.col("label") == F.col("class")).cast("double"))
-    share = seen.groupBy("sig", "class").agg((F.sum(F.col("y") * F.col("n")) / F.sum("n")).alias("p"))
-    # The first beliefs are the shares of labels.
-    cavity = written(seen.join(share, ["sig", "class"]), "messages")
+    of_pattern = Window.partitionBy("sig", "class")
+    # The first beliefs are the shares of labels. Edges lie by pattern from here on; windows over them need no shuffle.
+    spread = seen.repartition("sig").sortWithinPartitions("sig", "class")
+    start = spread.withColumn("p", F.sum(F.col("y") * F.col("n")).over(of_pattern) / F.sum("n").over(of_pattern))
+    cavity = start.withColumns({"p_before": F.lit(None).cast("double"), "logit": F.lit(None).cast("double")}).persist(StorageLevel.MEMORY_AND_DISK)
     weight = F.col("items") * F.col("n")
-    # Totals have a row per class and annotator; they are broadcast only up to a checked number of annotators.
+    # Totals have a row per class and annotator; they pass through the driver only up to a checked number of annotators.
     few = edges.select("annotator").distinct().count() <= BROADCAST_ANNOTATORS
-    of_pattern = Window.partitionBy("sig", "class")
-    for _ in range(ROUNDS):
-        totals = cavity.groupBy("class", "annotator").agg(
+    s = F.lit(SMOOTHING)
+    own1, own0 = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+    hit1 = (F.col("hit1") - own1 * F.col("y") + s) / (F.col("all1") - own1 + 2 * s)
+    hit0 = (F.col("hit0") - own0 * F.col("y") + s) / (F.col("all0") - own0 + 2 * s)
+    base = F.least(F.greatest(F.try_divide(F.col("base1"), F.col("base1") + F.col("base0")), F.lit(0.02)), F.lit(0.98))
+    rounds = 0
+    while True:
+        sums = cavity.groupBy("class", "annotator").agg(
             F.sum(weight * F.col("p") * F.col("y")).alias("hit1"),
             F.sum(weight * F.col("p")).alias("all1"),
             F.sum(weight * (1 - F.col("p")) * F.col("y")).alias("hit0"),
             F.sum(weight * (1 - F.col("p"))).alias("all0"),
+            F.max(F.abs(F.col("p") - F.col("p_before"))).alias("moved"),
         )
-        prior = cavity.groupBy("class").agg((F.sum(weight * F.col("p")) / F.sum(weight)).alias("base"))
-        own1, own0 = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        s = F.lit(SMOOTHING)
-        hit1 = (F.col("hit1") - own1 * F.col("y") + s) / (F.col("all1") - own1 + 2 * s)
-        hit0 = (F.col("hit0") - own0 * F.col("y") + s) / (F.col("all0") - own0 + 2 * s)
-        weighed = (
-            cavity.join(F.broadcast(totals) if few else totals, ["class", "annotator"])
-            .join(F.broadcast(prior), "class")  # one row per class
-            .withColumn("w", F.col("n") * F.when(F.col("y") == 1, F.log(hit1 / hit0)).otherwise(F.log((1 - hit1) / (1 - hit0))))
+        totals = spark.createDataFrame(sums.collect(), sums.schema) if few else written(sums, "totals")
+        moved = totals.agg(F.max("moved")).first()[0] if not few else max((r.moved for r in totals.collect() if r.moved is not None), default=None)
+        if rounds and (moved is None or moved < TOLERANCE):
+            break
+        if rounds >= FAILED_FROM:
+            raise RuntimeError(f"beliefs still move by {moved} after {rounds} rounds")
+        rounds += 1
+        of_class = totals.groupBy("class").agg(F.sum("all1").alias("base1"), F.sum("all0").alias("base0"))
+        told = totals.join(F.broadcast(of_class), "class").drop("moved")  # one row per class
+        weighed = cavity.drop("p_before", "logit").join(F.broadcast(told) if few else told.hint("merge"), ["class", "annotator"]).withColumn(
+            "w", F.col("n") * F.when(F.col("y") == 1, F.log(hit1 / hit0)).otherwise(F.log((1 - hit1) / (1 - hit0)))
         )
-        base = F.least(F.greatest(F.col("base"), F.lit(0.02)), F.lit(0.98))
-        after = written(
+        fresh = _sigmoid(F.col("logit") - F.col("w"))
+        passed = (
             weighed.withColumnRenamed("p", "p_before")
             .withColumn("logit", F.log(base / (1 - base)) + F.sum("w").over(of_pattern))
-            .withColumn("p", _sigmoid(F.col("logit") - F.col("w")))
-            .select(*cavity.columns, "p_before", "logit"),
-            "messages",
+            .withColumn("p", fresh if rounds < DAMPED_FROM else (fresh + F.col("p_before")) / 2)
+            .select(*cavity.columns)
         )
-        moved = after.agg(F.max(F.abs(F.col("p") - F.col("p_before")))).first()[0]
-        cavity = after.drop("p_before", "logit")
-        if moved is None or moved < TOLERANCE:
-            break
-    return after.groupBy("sig", "class").agg(F.first("logit").alias("logit"))
+        if not few or rounds % WRITTEN_EVERY == 0:
+            passed = written(passed, "messages").repartition("sig").sortWithinPartitions("sig", "class")
+        after = passed.persist(StorageLevel.MEMORY_AND_DISK)
+        after.count()
+        cavity.unpersist()
+        cavity = after
+    result = written(cavity.groupBy("sig", "class").agg(F.first("logit").alias("logit")), "beliefs")
+    cavity.unpersist()
+    return result
 
 
 def consensus(labels: DataFrame, classes: tuple[str, ...] = CLASSES) -> tuple[DataFrame, DataFrame]:

@@ -3,8 +3,9 @@
 Sorted neighbourhood: rows of both sources are sorted by composite keys, and a window slides over each
 order. Two keys are used: (repo as given, file, line), and (repo as the path names it, file, line) for rows
 without a repo. The window covers all rows within ``tolerance`` lines, so it misses no pair however many rows
-lie between. Orders are cut into cells of lines, rows near an edge standing in both cells, so that one file
-may hold any share of all rows. Pairs are compared by weighted similarities of repo, path, line and class.
+lie between. Orders are cut into cells of lines, rows near an edge standing in both cells, and rows of equal place and class go
+through them once, so that one file or one place may hold any share of all rows. Pairs are compared by weighted similarities of repo,
+path, line and class; their members come back at the end.
 
 Rows without path or line match nothing. Null classes match any. Equal rows give one pair.
 """
@@ -24,6 +25,8 @@ from siftstone.llm.history import newest_findings
 from siftstone.session import written
 
 TOLERANCE, CELL = 3, 256
+#: Parts in which the members of a group are numbered.
+GROUP_PARTS = 64
 # Weights of the field similarities; they sum to 1.
 WEIGHTS = {"repo": 0.3, "path": 0.3, "line": 0.25, "cwe": 0.15}
 
@@ -43,12 +46,20 @@ def _cells(line: Column, reach: int) -> Column:
     return F.sequence(F.floor((line - reach) / CELL), F.floor((line + reach) / CELL))
 
 
+def row_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, repo_l, path_l, file_l, cwe_l, line_l), once for all rows of equal place and class, and (cls, key) of all rows."""
+    place = ["repo_l", "path_l", "file_l", "cwe_l", "line_l"]
+    named = rows.withColumn("cls", F.xxhash64(F.lit(1), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in place)))
+    return named.groupBy("cls", *place).agg(F.count("*").alias("members")).drop("members"), named.select("cls", "key").distinct()
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """(l, r): structs of a left and a right row whose sort keys lie within the window.
+    """(l, r): structs of a left and a right class of rows whose sort keys lie within the window.
 
-    ``left`` and ``right`` have key, repo_l, path_l, file_l, cwe_l and line_l.
+    ``left`` and ``right`` have cls, repo_l, path_l, file_l, cwe_l and line_l, once each, so a window holds the distinct
+    spellings and classes of a few lines of one file, however many rows repeat them.
     """
-    fields = ["key", "path_l", "cwe_l", "line_l"]
+    fields = ["cls", "path_l", "cwe_l", "line_l"]
     # The part of a path before the file names the repo; every such part is a possible key.
     before = F.expr("slice(split(path_l, '/'), 1, greatest(size(split(path_l, '/')) - 3, 0))")
     given = right.where("repo_l is not null").withColumn("block", F.col("repo_l"))
@@ -66,77 +77,64 @@ def candidate_pairs(left: DataFrame, right: DataFrame, tolerance: int = TOLERANC
     )
 
 
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Share of distinct letter trigrams that two texts have in common; texts shorter than three letters count whole."""
+
+    def grams(x: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 2, F.lit(1))), lambda i: F.substring(x, i, F.lit(3))))
+
+    shared = F.size(F.array_intersect(grams(a), grams(b)))
+    return shared / (F.size(grams(a)) + F.size(grams(b)) - shared)
+
+
 def compared(pairs: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """Pairs with line_delta and confidence, without those whose classes contradict."""
-    same_path = F.when(F.col("l.path_l") == F.col("r.path_l"), 1.0).otherwise(0.9)
+    """(left_cls, right_cls, line_delta, confidence) of pairs of classes, without those whose weakness classes contradict.
+
+    Fields are compared one by one and weighed: the repo counts less where only the path names it, paths by their letters,
+    lines by their distance, and a missing weakness class for half.
+    """
+    path = F.when(F.col("l.path_l") == F.col("r.path_l"), 1.0).otherwise(trigram_similarity(F.col("l.path_l"), F.col("r.path_l")))
     delta = F.abs(F.col("l.line_l") - F.col("r.line_l"))
     line = 1.0 - delta / F.lit(2.0 * (tolerance + 1))
     cwe = F.when(F.col("l.cwe_l") == F.col("r.cwe_l"), 1.0).otherwise(0.5)
     repo = F.when(F.col("r.repo_given"), 1.0).otherwise(0.8)
-    confidence = WEIGHTS["repo"] * repo + WEIGHTS["path"] * same_path + WEIGHTS["line"] * line + WEIGHTS["cwe"] * cwe
-    return pairs.where("l.cwe_l = r.cwe_l or l.cwe_l is null or r.cwe_l is null").select(
-        F.col("l.key").alias("left_key"), F.col("r.key").alias("right_key"), delta.alias("line_delta"), confidence.alias("confidence")
+    confidence = F.round(WEIGHTS["repo"] * repo + WEIGHTS["path"] * path + WEIGHTS["line"] * line + WEIGHTS["cwe"] * cwe, 6)
+    return pairs.where("l.cwe_l = r.cwe_l or l.cwe_l is null or r.cwe_l is null").groupBy(F.col("l.cls").alias("left_cls"), F.col("r.cls").alias("right_cls")).agg(
+        F.min(delta).alias("line_delta"), F.max(confidence).alias("confidence")
     )
 
 
 def matching_pairs(findings: DataFrame, scans: DataFrame, external: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """(scan_id, finding_id, ext_id, line_delta, confidence): every pair that may be the same flaw."""
-    left = _place(newest_findings(findings, scans)).select(
-        F.struct("scan_id", "finding_id").alias("key"), "repo_l", "path_l", "file_l", "cwe_l", "line_l"
-    )
-    right = _place(external).select(F.col("ext_id").alias("key"), "repo_l", "path_l", "file_l", "cwe_l", "line_l")
+    place = ["repo_l", "path_l", "file_l", "cwe_l", "line_l"]
     known = "file_l is not null and line_l is not null and key is not null"
-    pairs = compared(candidate_pairs(left.where(known).where("repo_l is not null"), right.where(known), tolerance), tolerance)
-    return pairs.groupBy("left_key.scan_id", "left_key.finding_id", F.col("right_key").alias("ext_id")).agg(
+    left = _place(newest_findings(findings, scans)).select(F.struct("scan_id", "finding_id").alias("key"), *place).where(known).where("repo_l is not null")
+    right = _place(external).select(F.col("ext_id").alias("key"), *place).where(known)
+    (left_classes, lefts), (right_classes, rights) = row_classes(left), row_classes(right)
+    pairs = compared(candidate_pairs(left_classes, right_classes, tolerance), tolerance)
+    members = pairs.join(lefts.withColumnsRenamed({"cls": "left_cls", "key": "left_key"}), "left_cls").join(rights.withColumnsRenamed({"cls": "right_cls", "key": "right_key"}), "right_cls")
+    return members.groupBy("left_key.scan_id", "left_key.finding_id", F.col("right_key").alias("ext_id")).agg(
         F.min("line_delta").alias("line_delta"), F.max("confidence").alias("confidence")
     )
 
 
-def one_to_one(pairs: DataFrame, left: list[str], right: str, exact_edges: int = 400) -> DataFrame:
+def one_to_one(pairs: DataFrame, left: list[str], right: str) -> DataFrame:
     """The pairs of a one-to-one assignment that maximises total confidence; ``pairs`` has one row per pair.
 
-    Rows that share a left or right key form components, and all are solved exactly. In components of more than
-    ``exact_edges`` pairs, keys with the same partners at the same confidences count as one node with a capacity, so
-    a place that many rows share shrinks to a few nodes.
+    Keys with the same partners at the same confidences are one node with a capacity, so a place that many rows share shrinks to a few
+    nodes. Nodes that share a partner form components, and every component is solved exactly, as flows between its nodes. For pairs of
+    ``matching_pairs`` a component lies within one file of one repo, and its nodes are distinct (line, weakness class, spelling of the path).
     """
     spark = pairs.sparkSession
     keyed = written(pairs.withColumns({"hu": F.xxhash64(*left), "hv": F.xxhash64(right)}), "pairs")
-    labelled = _components(keyed.select("hu", "hv", "confidence"))
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("size"))
-    sized = written(labelled.join(sizes, "component"), "components")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    alone = sized.where("size = 1").select("hu", "hv")
-    small = (
-        sized.where((F.col("size") > 1) & (F.col("size") <= exact_edges))
-        .select("component", "hu", "hv", "confidence")
-        .repartition(tasks, "component")
-        .sortWithinPartitions("component")
-        .mapInPandas(_solve_components, "hu long, hv long")
-    )
-    chosen = alone.unionByName(small)
-    rest = written(sized.where(F.col("size") > exact_edges).select("component", "hu", "hv", "confidence"), "large")
-    if not rest.isEmpty():
-        chosen = chosen.unionByName(_solve_large(rest, tasks))
-    return keyed.join(chosen, ["hu", "hv"], "left_semi").drop("hu", "hv")
-
-
-def _alike(edges: DataFrame, own: str, other: str) -> DataFrame:
-    """(own, group, place, members): keys with the same partners at the same confidences are a group, named by its least key."""
-    signs = [F.bit_xor(F.xxhash64(F.lit(seed), other, "confidence")).alias(f"sign{seed}") for seed in (1, 2)]
-    signed = edges.groupBy("component", own).agg(*signs, F.count("*").alias("degree"))
-    group = Window.partitionBy("component", "sign1", "sign2", "degree")
-    return signed.select(
-        own, F.min(own).over(group).alias(f"group_{own}"), (F.row_number().over(group.orderBy(own)) - 1).alias(f"place_{own}"), F.count("*").over(group).alias(f"members_{own}")
-    )
-
-
-def _solve_large(edges: DataFrame, tasks: int) -> DataFrame:
-    """(hu, hv): the best assignment of components (component, hu, hv, confidence), as flows between groups of alike keys."""
+    edges = keyed.select("hu", "hv", "confidence")
     lefts, rights = (written(_alike(edges, own, other), "alike") for own, other in (("hu", "hv"), ("hv", "hu")))
-    # All members of a group have the same partners, so the pairs of the first ones are those of the groups.
-    between = edges.join(lefts.where("place_hu = 0"), "hu").join(rights.where("place_hv = 0"), "hv").select("component", "group_hu", "group_hv", "confidence", "members_hu", "members_hv")
+    # All members of a group have the same partners, so the pairs of the keys that name them are those of the groups.
+    between = edges.join(lefts.where("hu = group_hu"), "hu").join(rights.where("hv = group_hv"), "hv").select("group_hu", "group_hv", "confidence", "members_hu", "members_hv")
+    labelled = _components(written(between, "group-pairs"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     flows = written(
-        between.repartition(tasks, "component")
+        labelled.repartition(tasks, "component")
         .sortWithinPartitions("component", "group_hu", "group_hv")
         .mapInPandas(_solve_flows, "group_hu long, group_hv long, first_hu long, first_hv long, amount long"),
         "flows",
@@ -144,7 +142,28 @@ def _solve_large(edges: DataFrame, tasks: int) -> DataFrame:
     units = flows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("amount") - 1))).select(
         "group_hu", "group_hv", (F.col("first_hu") + F.col("k")).alias("place_hu"), (F.col("first_hv") + F.col("k")).alias("place_hv")
     )
-    return units.join(lefts, ["group_hu", "place_hu"]).join(rights, ["group_hv", "place_hv"]).select("hu", "hv")
+    chosen = units.join(lefts, ["group_hu", "place_hu"]).join(rights, ["group_hv", "place_hv"]).select("hu", "hv")
+    return keyed.join(chosen, ["hu", "hv"], "left_semi").drop("hu", "hv")
+
+
+def _alike(edges: DataFrame, own: str, other: str) -> DataFrame:
+    """(own, group, place, members): keys with the same partners at the same confidences are a group, named by its least key.
+
+    Places are numbered within parts of a group first, so no task numbers the whole of a large one.
+    """
+    signs = [F.bit_xor(F.xxhash64(F.lit(seed), other, "confidence")).alias(f"sign{seed}") for seed in (1, 2)]
+    sign = ["sign1", "sign2", "degree"]
+    signed = edges.groupBy(own).agg(*signs, F.count("*").alias("degree")).withColumn("part", F.pmod(F.xxhash64(own, F.lit(3)), F.lit(GROUP_PARTS)))
+    parts = signed.groupBy(*sign, "part").agg(F.count("*").alias("n"), F.min(own).alias("least"))
+    before = Window.partitionBy(*sign).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*sign)
+    # At most GROUP_PARTS rows per group.
+    starts = parts.select(
+        *sign, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(whole).alias(f"members_{own}"), F.min("least").over(whole).alias(f"group_{own}")
+    )
+    within = Window.partitionBy(*sign, "part").orderBy(own)
+    numbered = signed.withColumn("rank", F.row_number().over(within) - 1).join(starts, [*sign, "part"])
+    return numbered.select(own, f"group_{own}", (F.col("start") + F.col("rank")).cast("long").alias(f"place_{own}"), f"members_{own}")
 
 
 def _solve_flows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,40 +249,22 @@ def best_flows(edges: list[tuple[int, int, float]], supply: dict[int, int], room
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """Edges with a component label: the least left key reachable, found by passing minima back and forth."""
-    now = written(edges.withColumn("component", F.col("hu")), "labels")
+    """Edges (group_hu, group_hv, and more) with a component label: the least left node reachable.
+
+    Least labels pass back and forth, and each label is then replaced by the label of the node it names, so chains shrink by a
+    factor a round and not by a step.
+    """
+    ends = ["group_hu", "group_hv"]
+    labels = written(edges.groupBy("group_hu").agg(F.min("group_hu").alias("component")), "labels")
     while True:
-        by_v = now.groupBy("hv").agg(F.min("component").alias("low"))
-        by_u = now.join(by_v, "hv").groupBy("hu").agg(F.min("low").alias("low"))
-        after = written(
-            now.join(by_u, "hu").select("hu", "hv", "confidence", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved")),
-            "labels",
-        )
-        now = after.drop("moved")
+        by_v = edges.select(*ends).join(labels, "group_hu").groupBy("group_hv").agg(F.min("component").alias("low"))
+        by_u = edges.select(*ends).join(by_v, "group_hv").groupBy("group_hu").agg(F.min("low").alias("low"))
+        named = by_u.select(F.col("group_hu").alias("low"), F.col("low").alias("lower"))
+        jumped = by_u.join(named, "low").select("group_hu", F.least("low", "lower").alias("low"))
+        after = written(labels.join(jumped, "group_hu").select("group_hu", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved")), "labels")
+        labels = after.drop("moved")
         if after.where("moved").isEmpty():
-            return now
-
-
-def _solve_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Chosen pairs of components that come one after the other; one that goes on in the next batch waits for it."""
-    waiting = None
-    for pdf in batches:
-        if waiting is not None:
-            pdf = pd.concat([waiting, pdf], ignore_index=True)
-        last = pdf.component.iloc[-1]
-        waiting = pdf[pdf.component == last]
-        yield _solved(pdf[pdf.component != last])
-    if waiting is not None:
-        yield _solved(waiting)
-
-
-def _solved(pdf: pd.DataFrame) -> pd.DataFrame:
-    component, hu, hv, confidence = (pdf[c].to_numpy() for c in ("component", "hu", "hv", "confidence"))
-    starts = np.flatnonzero(np.r_[True, component[1:] != component[:-1]]) if len(pdf) else np.empty(0, dtype=int)
-    keep: list[int] = []
-    for a, b in zip(starts, [*starts[1:], len(pdf)]):
-        keep += (a + k for k in best_assignment(hu[a:b].tolist(), hv[a:b].tolist(), confidence[a:b].tolist()))
-    return pd.DataFrame({"hu": hu[keep], "hv": hv[keep]})
+            return edges.join(labels, "group_hu")
 
 
 def best_assignment(lefts: list, rights: list, weights: list[float]) -> list[int]:

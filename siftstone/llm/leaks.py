@@ -1,14 +1,18 @@
 """Evaluation texts inside training texts.
 
-Winnowing keeps the least hash of k-word grams per sliding window, which guarantees that every
-span of k + window - 1 equal words shares a fingerprint. Documents and items meet on fingerprints,
-and hits are extended word by word, allowing altered, added and dropped words.
+Winnowing keeps the least hash of k-word grams per sliding window. Items keep all their grams, so a run of
+k + window - 1 equal words in a document always shares a fingerprint with the item. With k = 5 and window = 2 a run of
+six equal words is never missed, and a passage of twenty or more words of which at most one in eight is altered
+holds such a run.
 
-With k = 5 and window = 2 a run of six equal words is never missed. A passage of twenty or more words
-of which at most one in eight is altered always holds such a run.
+Sentences that many items share don't count: their grams are taken out before the join, and their words add nothing to the
+length of a passage. Documents are read once. Where the fingerprints of the items fit a checked broadcast, a document gives out only the
+stretches of words around its hits; else its fingerprints are joined and the hit documents are read again.
 
-Null or blank texts have no fingerprints. Ids that repeat give their pairs once. Sentences that
-many items share carry no weight.
+Hits are extended by the furthest word reached for each number of edits (altered, added or dropped words), to both sides of a
+run of equal words, so edits may stand side by side anywhere in a passage.
+
+Null or blank texts have no fingerprints. Ids that repeat give their pairs once.
 """
 
 from __future__ import annotations
@@ -23,194 +27,248 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.words import clean, gram_hashes, winnow, word_codes, words
-from siftstone.session import written
+from siftstone.session import spread, written
 
 K, WINDOW = 5, 2
 #: A passage has at least so many words, of which at most one in so many is altered.
 LEAST_WORDS, ONE_IN = 20, 8
 #: A sentence in at least so many items is shared wording, not content.
 SHARED_BY = 5
-#: Item fingerprints are broadcast up to so many rows of 16 bytes; beyond, the join shuffles.
+#: Item fingerprints are broadcast up to so many rows of 8 bytes; beyond, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """(id, fingerprint): distinct winnowed fingerprints of every text, over the whole text."""
+def item_sentences(items: DataFrame) -> DataFrame:
+    """(item_id, text_id, place, sentence): levelled sentences of every distinct text of every item, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (i, t, k, s)
+                for i, t, text in zip(pdf.item_id, pdf.text_id, pdf.item_text)
+                for k, s in enumerate(" ".join(words(x)) for x in _SENTENCE.split(clean(text)))
+                if s
+            ]
+            yield pd.DataFrame(rows, columns=["item_id", "text_id", "place", "sentence"])
+
+    each = items.where("item_id is not null and item_text is not null").select(
+        F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_text").alias("text_id"), "item_text"
+    )
+    return each.distinct().mapInPandas(run, "item_id long, text_id long, place int, sentence string")
+
+
+def weighted_items(items: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
+    """(item_id, text_id, sentences): each item's sentences in order as (place, sentence, shared).
+
+    A sentence in at least ``shared_by`` items is shared. A group holds the sentences of one item.
+    """
+    each = written(item_sentences(items), "item-sentences")
+    shared = each.groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= shared_by).select("sentence", F.lit(True).alias("shared"))
+    marked = each.join(shared, "sentence", "left").select("item_id", "text_id", F.struct("place", "sentence", F.coalesce("shared", F.lit(False)).alias("shared")).alias("s"))
+    return marked.groupBy("item_id", "text_id").agg(F.array_sort(F.collect_list("s")).alias("sentences"))
+
+
+def item_fingerprints(weighted: DataFrame, k: int = K) -> DataFrame:
+    """(fingerprint, item_id, text_id): distinct grams of every item that hold a word of a sentence that is not shared."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache: dict[str, int] = {}
+        for pdf in batches:
+            out = []
+            for i, t, sentences in zip(pdf.item_id, pdf.text_id, pdf.sentences):
+                tokens, weight = _weighed(sentences)
+                h = gram_hashes(word_codes(tokens, cache), k)
+                counted = np.convolve(weight, np.ones(k, dtype=np.int64), "valid") > 0 if len(h) else np.empty(0, dtype=bool)
+                kept = np.unique(h[counted]).view(np.int64)
+                out.append(pd.DataFrame({"fingerprint": kept, "item_id": i, "text_id": t}))
+            if len(cache) > 500_000:
+                cache.clear()
+            yield pd.concat(out) if out else pd.DataFrame({"fingerprint": [], "item_id": [], "text_id": []}).astype("int64")
+
+    return weighted.mapInPandas(run, "fingerprint long, item_id long, text_id long")
+
+
+def _weighed(sentences) -> tuple[list[str], list[int]]:
+    """Words of an item, and 1 for each that counts."""
+    tokens: list[str] = []
+    weight: list[int] = []
+    for s in sentences:
+        part = s["sentence"].split()
+        tokens += part
+        weight += [0 if s["shared"] else 1] * len(part)
+    return tokens, weight
+
+
+def stretches(documents: DataFrame, keys: np.ndarray, reach: int) -> DataFrame:
+    """(doc_id, text, fingerprints): the words around the hits of every document, ``reach`` words to both sides.
+
+    ``keys`` are the sorted fingerprints that count as hits. Hits nearer than that share a stretch.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        wanted = held.value
+        for batch in batches:
+            ids, texts, found = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = words(text)
+                h = gram_hashes(word_codes(tokens, cache), K)
+                at = winnow(h, WINDOW)
+                values = h[at].view(np.int64)
+                place = np.searchsorted(wanted, values)
+                hit = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == values) if len(wanted) else np.zeros(len(at), dtype=bool)
+                at, values = at[hit], values[hit]
+                if not len(at):
+                    continue
+                cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)]):
+                    ids.append(i)
+                    texts.append(" ".join(tokens[max(0, at[a] - reach) : at[b - 1] + K + reach]))
+                    found.append(np.unique(values[a:b]))
+            if len(cache) > 500_000:
+                cache.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text", "fingerprints"]
+            )
+
+    return _texts(documents).mapInArrow(run, "doc_id long, text string, fingerprints array<long>")
+
+
+def fingerprints(documents: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint): distinct winnowed fingerprints of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
             ids, found = [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = gram_hashes(word_codes(words(text), cache), k)
-                h = np.unique(h[winnow(h, window)])
-                if len(h):
-                    ids.append(np.full(len(h), i))
-                    found.append(h.view(np.int64))
+                h = gram_hashes(word_codes(words(text), cache), K)
+                h = np.unique(h[winnow(h, WINDOW)]).view(np.int64)
+                ids.append(np.full(len(h), i, dtype=np.int64))
+                found.append(h)
             if len(cache) > 500_000:
                 cache.clear()
             if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(found), pa.int64())],
-                    names=["id", "fingerprint"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], names=["doc_id", "fingerprint"])
 
-    narrow = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
-    )
-    return narrow.mapInArrow(run, "id long, fingerprint long")
+    return _texts(documents).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def shared_sentences(items: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
-    """(sentence): levelled sentences that stand in at least ``shared_by`` items."""
+def _texts(documents: DataFrame) -> DataFrame:
+    return spread(documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, s) for i, t in zip(pdf.item_id, pdf.item_text) for s in {" ".join(words(x)) for x in _SENTENCE.split(t)}]
-            yield pd.DataFrame(rows, columns=["item_id", "sentence"])
 
-    each = items.where("item_text is not null").select("item_id", "item_text").mapInPandas(run, "item_id long, sentence string")
-    return each.where("sentence <> ''").groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= shared_by).select("sentence")
+def runs_of_equal_words(doc: list[int], doc_at: dict[tuple[int, ...], list[int]], item: list[int], k: int = K) -> Iterator[tuple[int, int, int]]:
+    """(item place, document place, length) of every longest run of at least ``k`` equal words."""
+    for i, gram in enumerate(zip(*(item[x:] for x in range(k)))):
+        for j in doc_at.get(gram, ()):
+            if i and j and item[i - 1] == doc[j - 1]:
+                continue
+            n = k
+            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+                n += 1
+            yield i, j, n
 
 
-def gram_places(tokens: list[str], k: int = K) -> dict[tuple[str, ...], list[int]]:
-    at: dict[tuple[str, ...], list[int]] = {}
+def gram_places(tokens: list, k: int = K) -> dict[tuple, list[int]]:
+    at: dict[tuple, list[int]] = {}
     for i, gram in enumerate(zip(*(tokens[j:] for j in range(k)))):
         at.setdefault(gram, []).append(i)
     return at
 
 
-#: A passage holds at least so many equal five-word grams: n words of which n // 8 are altered leave at least
-#: n - n // 8 - 4 (n // 8 + 1) of them, which is least at 24 words.
-LEAST_GRAMS = 5
-
-
-def passage(doc: list[str], doc_at: dict[tuple[str, ...], list[int]], item: list[str], weight: list[int], k: int = K, one_in: int = ONE_IN) -> int:
-    """The most item words that count in a passage shared by both, 0 if there is none.
+def reached(item: list, doc: list, i: int, j: int, d: int, most: int) -> list[int]:
+    """For each number of edits up to ``most``, how many item words an alignment from (i, j) in direction d takes at most.
 
-    ``weight`` is 0 for words of shared sentences. Equal words score 1 and altered ones 1 - ``one_in``;
-    a passage is a stretch of the alignment whose sum is at least 0 and that has equal words at its ends.
+    Every alignment counted ends with an equal word, or takes none. Edits are altered, added and dropped words. The furthest word is kept for
+    each diagonal, so the work is ``most`` squared and the equal words.
     """
-    seeds = [(i, j) for i, gram in enumerate(zip(*(item[x:] for x in range(k)))) for j in doc_at.get(gram, ())]
-    if len(seeds) < LEAST_GRAMS:
-        return 0
-    seen: set[tuple[int, int]] = set()
-    best = 0
-    for i, j in seeds:
-        if (i, j) in seen:
-            continue
-        right = _walk(item, doc, i, j, 1, seen)
-        left = _walk(item, doc, i - 1, j - 1, -1, None)
-        best = max(best, _longest([*reversed(left), *right], weight, one_in))
+    n, m = (len(item) - i, len(doc) - j) if d > 0 else (i + 1, j + 1)
+    best = [0]
+    # Words of the item taken, by diagonal (words of the document taken less those of the item).
+    front = {0: 0}
+    for e in range(1, most + 1):
+        after: dict[int, int] = {}
+        furthest = best[-1]
+        for g in range(-e, e + 1):
+            # An altered word on the same diagonal, an added one from below, a dropped one from above.
+            a = max(front.get(g, -2) + 1, front.get(g - 1, -1), front.get(g + 1, -2) + 1)
+            if a < 0 or a > n or a + g > m or a + g < 0:
+                continue
+            start = a
+            while a < n and a + g < m and item[i + d * a] == doc[j + d * (a + g)]:
+                a += 1
+            after[g] = a
+            if a > start and a > furthest:
+                furthest = a
+        best.append(furthest)
+        if not after or furthest >= n:
+            best += [furthest] * (most - e)
+            break
+        front = after
     return best
 
 
-def _walk(item: list[str], doc: list[str], i: int, j: int, d: int, seen: set[tuple[int, int]] | None) -> list[tuple[int, bool]]:
-    """Steps of an alignment from (i, j) in direction d: (item position or -1, equal)."""
-    steps: list[tuple[int, bool]] = []
-    run_bad = 0
-
-    def equal(a: int, b: int) -> bool:
-        return 0 <= a < len(item) and 0 <= b < len(doc) and item[a] == doc[b]
-
-    while 0 <= i < len(item) and 0 <= j < len(doc) and run_bad < 3:
-        if item[i] == doc[j]:
-            steps.append((i, True))
-            if seen is not None:
-                seen.add((i, j))
-            run_bad = 0
-            i, j = i + d, j + d
-            continue
-        run_bad += 1
-        substituted = equal(i + d, j + d)
-        added = equal(i, j + d) and equal(i + d, j + 2 * d)
-        dropped = equal(i + d, j) and equal(i + 2 * d, j + d)
-        if not substituted and added:
-            steps.append((-1, False))
-            j += d
-        elif not substituted and dropped:
-            steps.append((i, False))
-            i += d
-        else:
-            steps.append((i, False))
-            i, j = i + d, j + d
-    return steps
-
-
-def _longest(steps: list[tuple[int, bool]], weight: list[int], one_in: int) -> int:
-    """The most weight in a stretch, with equal words at its ends, of which at most one word in ``one_in`` is altered."""
-    n, best = len(steps), 0
-    score, gain = [0] * (n + 1), [0] * (n + 1)
-    for x, (p, ok) in enumerate(steps):
-        score[x + 1] = score[x] + (1 if ok else 1 - one_in)
-        gain[x + 1] = gain[x] + (weight[p] if p >= 0 else 0)
-    # Starts that no earlier start undercuts; the furthest end for each, in one pass from the right.
-    starts: list[int] = []
-    for a in range(n):
-        if steps[a][1] and (not starts or score[a] < score[starts[-1]]):
-            starts.append(a)
-    for b in range(n, 0, -1):
-        if steps[b - 1][1]:
-            while starts and score[starts[-1]] <= score[b]:
-                best = max(best, gain[b] - gain[starts.pop()])
+def passage(doc: list, doc_at: dict[tuple, list[int]], item: list, weight: list[int], one_in: int = ONE_IN) -> int:
+    """The most item words that count in a passage shared by both, 0 if there is none.
+
+    A passage is a stretch of the item of which at most one word in ``one_in`` is altered, added or dropped in the document, and which
+    holds a run of ``K`` equal words. ``weight`` is 0 for words of shared sentences.
+    """
+    counted = [0]
+    for w in weight:
+        counted.append(counted[-1] + w)
+    best, most = 0, len(item) // one_in
+    for i, j, n in runs_of_equal_words(doc, doc_at, item):
+        if best == counted[-1]:
+            break
+        # More words than those left to a side can't be taken, so fewer edits than these need a look.
+        right = reached(item, doc, i + n, j + n, 1, most)
+        left = reached(item, doc, i - 1, j - 1, -1, most)
+        for x, to_left in enumerate(left):
+            for y, to_right in enumerate(right[: most + 1 - x]):
+                if (x + y) * one_in <= to_left + n + to_right:
+                    best = max(best, counted[i + n + to_right] - counted[i - to_left])
     return best
 
 
-def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, shared_by: int = SHARED_BY) -> DataFrame:
+def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAST_WORDS, shared_by: int = SHARED_BY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_words): each document that holds a passage of an item, and its length."""
-    held = written(fingerprints(items, "item_id", "item_text").withColumnRenamed("id", "item_id").distinct(), "item-fingerprints")
-    small = held.count() <= BROADCAST_ROWS
-    if small:
-        held = F.broadcast(held)
-    pairs = (
-        fingerprints(documents, "doc_id", "text")
-        .withColumnRenamed("id", "doc_id")
-        .join(held, "fingerprint")
-        .select("doc_id", "item_id")
-        .distinct()
-    )
-    shared = shared_sentences(items, shared_by).agg(F.collect_list("sentence").alias("shared"))
-    marked = (
-        items.where("item_id is not null and item_text is not null")
-        .select(F.col("item_id").cast("long").alias("item_id"), "item_text")
-        .dropDuplicates(["item_id", "item_text"])
-        .crossJoin(F.broadcast(shared))
-    )
-    # Items are broadcast as far as their fingerprints are; so the pairs of a document stay together and it is cut once.
-    if small:
-        marked = F.broadcast(marked)
-    texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = texts.join(pairs, "doc_id").join(marked, "item_id")
+    weighted = written(weighted_items(items, shared_by), "items")
+    held = written(item_fingerprints(weighted), "item-fingerprints")
+    size = held.count()
+    if size <= broadcast_rows:
+        longest = weighted.select(F.aggregate("sentences", F.lit(0), lambda n, s: n + F.size(F.split(s["sentence"], " "))).alias("n")).agg(F.max("n")).first()[0] or 0
+        keys = np.unique(np.array([r[0] for r in held.select("fingerprint").distinct().toLocalIterator()], dtype=np.int64))
+        # An alignment takes as many words as the item has, and an added one for each edit at most.
+        near = written(stretches(documents, keys, longest + longest // ONE_IN + K).withColumn("part", F.xxhash64("doc_id", "text")), "stretches")
+        hits = near.select("doc_id", "part", F.explode("fingerprints").alias("fingerprint"))
+        pairs = hits.join(F.broadcast(held), "fingerprint").select("doc_id", "part", "item_id", "text_id").distinct()
+        joined = near.select("doc_id", "part", "text").join(pairs, ["doc_id", "part"]).join(F.broadcast(weighted), ["item_id", "text_id"])
+    else:
+        pairs = fingerprints(documents).join(held, "fingerprint").select("doc_id", "item_id", "text_id").distinct()
+        joined = _texts(documents).join(pairs, "doc_id").join(weighted, ["item_id", "text_id"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[list[str], list[int]]] = {}
+        known: dict[tuple[int, int], tuple[list[str], list[int]]] = {}
+        last, tokens, at = None, [], {}
         for pdf in batches:
             out = []
-            last, last_words, last_at = None, [], {}
-            for doc_id, item_id, text, item_text, common in zip(pdf.doc_id, pdf.item_id, pdf.text, pdf.item_text, pdf.shared):
-                if item_text not in known:
-                    known[item_text] = _weighted(item_text, set(common))
-                item, weight = known[item_text]
-                if last is None or doc_id != last[0] or text != last[1]:
-                    last, last_words = (doc_id, text), words(text)
-                    last_at = gram_places(last_words)
-                n = passage(last_words, last_at, item, weight)
+            for doc_id, text, item_id, text_id, sentences in zip(pdf.doc_id, pdf.text, pdf.item_id, pdf.text_id, pdf.sentences):
+                if (item_id, text_id) not in known:
+                    known[item_id, text_id] = _weighed(sentences)
+                if text is not last:
+                    last, tokens = text, words(text)
+                    at = gram_places(tokens)
+                n = passage(tokens, at, *known[item_id, text_id])
                 if n >= least_words:
                     out.append((doc_id, item_id, n))
             if len(known) > 20_000:
                 known.clear()
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"])
 
-    found = joined.select("doc_id", "item_id", "text", "item_text", "shared").mapInPandas(verify, "doc_id long, item_id long, n_words long")
+    found = joined.select("doc_id", "text", "item_id", "text_id", "sentences").mapInPandas(verify, "doc_id long, item_id long, n_words long")
     return found.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
-
-
-def _weighted(item_text: str, shared: set[str]) -> tuple[list[str], list[int]]:
-    tokens, weight = [], []
-    for sentence in _SENTENCE.split(clean(item_text)):
-        part = words(sentence)
-        tokens += part
-        weight += [0 if " ".join(part) in shared else 1] * len(part)
-    return tokens, weight

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.levelling import level_word
-from siftstone.session import written
+from siftstone.session import spread, written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the way the tokenizer of these ranks cuts text.
@@ -48,7 +48,7 @@ def token_counts(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
     texts = documents.where("doc_id is not null and text is not null and trim(text) <> ''").select(
         F.col("doc_id").cast("long").alias("doc_id"), level_word(F.col("source")).alias("source"), "text"
     )
-    return texts.mapInPandas(run, "doc_id long, source string, tokens long")
+    return spread(texts).mapInPandas(run, "doc_id long, source string, tokens long")
 
 
 def entropy(weights: list[float]) -> float:

@@ -31,15 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.llm.words import clean
-from siftstone.session import written
+from siftstone.session import spread, written
 
 #: SimHash tables and the bits of a block; a class has 64 bits.
 TABLES, BLOCK = 8, 8
 #: Least similarity of trigram sets, and bits that may differ inside a block, for hops from seeds and between classes of the corpus.
 SEED_SIMILARITY, SEED_FLIPS = 0.5, 2
 LINK_SIMILARITY, LINK_FLIPS = 0.7, 1
-#: A sentence of so many words that stands so often in a row is filler.
-ROW_WORDS, ROW = 3, 3
+#: A sentence of so many words that stands so often in a row, in at least such a share of the documents that hold it, is filler.
+ROW_WORDS, ROW, ROW_SHARE = 3, 3, 0.2
 #: Looked-up blocks are broadcast up to so many rows of 40 bytes; beyond, the join shuffles.
 BROADCAST_PROBES = 200_000
 
@@ -270,12 +270,15 @@ def _hash_classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cls": pdf.cls, "simhash": simhashes(place, grams, len(texts)).view(np.int64), "grams": sets})
 
 
+def default_seeds() -> list[str]:
+    """Defaults of public software and the phrases of HTTP: with their codes, and without where they have three words."""
+    phrases = [s for s in HTTPStatus if s.value >= 400]
+    return SEEDS + [f"{s.value} {s.phrase}" for s in phrases] + [s.phrase for s in phrases if s.phrase.count(" ") >= 2]
+
+
 def known_classes(spark: SparkSession, seeds: list[str] | None = None) -> DataFrame:
-    """(cls, sentence): the classes of seeds; those of HTTP with their codes, and without where they have three words."""
-    if seeds is None:
-        phrases = [s for s in HTTPStatus if s.value >= 400]
-        seeds = SEEDS + [f"{s.value} {s.phrase}" for s in phrases] + [s.phrase for s in phrases if s.phrase.count(" ") >= 2]
-    texts = sorted({c for s in seeds for kind, c in signs(s, {}) if kind == SENTENCE})
+    """(cls, sentence): the classes of seeds."""
+    texts = sorted({c for s in (default_seeds() if seeds is None else seeds) for kind, c in signs(s, {}) if kind == SENTENCE})
     return spark.createDataFrame([(xxhash.xxh3_64_intdigest(c) - 2**63, c) for c in texts], "cls long, sentence string")
 
 
@@ -340,13 +343,16 @@ def residue_documents(documents: DataFrame, seeds: list[str] | None = None) -> D
     """(doc_id, n_residue, by_form, hops): documents that hold residue: how many classes of it, whether a form gave it away, and
     the fewest links from a seed to a class it holds (null if only the form speaks)."""
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    held = written(texts.mapInArrow(_split, "doc_id long, cls long, sentence string, kind int"), "signs", ["kind"])
+    held = written(spread(texts).mapInArrow(_split, "doc_id long, cls long, sentence string, kind int"), "signs", ["kind"])
     kind = lambda k: held.where(F.col("kind") == k)
     classes = kind(SENTENCE).groupBy("cls").agg(F.first("sentence").alias("sentence"))
-    reached = residue_classes(classes, kind(IN_A_ROW), seeds)
+    rows = kind(IN_A_ROW).groupBy("cls").agg(F.countDistinct("doc_id").alias("in_a_row"))
+    holding = kind(SENTENCE).join(rows, "cls").groupBy("cls", "in_a_row").agg(F.countDistinct("doc_id").alias("held"))
+    trusted = written(holding.where(F.col("in_a_row") >= F.col("held") * ROW_SHARE).select("cls"), "trusted")
+    reached = residue_classes(classes, trusted, seeds)
     linked = kind(SENTENCE).select("doc_id", "cls").join(reached, "cls").select("doc_id", "cls", "hops", F.lit(False).alias("form"))
     common = documents.sparkSession.createDataFrame([(n,) for n in FIELD_SEEDS], "sentence string")
     names = kind(NAME).select("sentence").unionByName(common).distinct()
-    fields = kind(POSSIBLE).join(names, "sentence", "left_semi").unionByName(kind(CERTAIN)).unionByName(kind(IN_A_ROW))
+    fields = kind(POSSIBLE).join(names, "sentence", "left_semi").unionByName(kind(CERTAIN)).unionByName(kind(IN_A_ROW).join(trusted, "cls", "left_semi").select(*held.columns))
     formed = fields.select("doc_id", "cls", F.lit(None).cast("int").alias("hops"), F.lit(True).alias("form"))
     return linked.unionByName(formed).groupBy("doc_id").agg(F.countDistinct("cls").alias("n_residue"), F.bool_or("form").alias("by_form"), F.min("hops").alias("hops"))

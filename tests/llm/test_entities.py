@@ -38,12 +38,30 @@ def test_assignment_is_best_and_one_to_one(spark):
     assert abs(sum(r.confidence for r in got) - best) < 1e-9
 
 
-def test_large_components_settle_by_rounds(spark):
+def test_a_full_component_is_one_to_one(spark):
     df = spark.createDataFrame([(f"u{a}", b, 1.0 / (1 + a + b)) for a in range(8) for b in range(8)], "u_id string, v_id long, confidence double")
-    got = one_to_one(df, ["u_id"], "v_id", exact_edges=10).collect()
+    got = one_to_one(df, ["u_id"], "v_id").collect()
     assert len({r.u_id for r in got}) == len(got) == 8
 
 
+def test_long_chains_and_hot_places(spark):
+    chain = [(f"c{k}", k + d, 0.5 + 0.01 * ((7 * k + d) % 5)) for k in range(50) for d in (0, 1)]
+    hot = [(f"h{a}", 1000 + b, 0.9) for a in range(60) for b in range(40)]
+    df = spark.createDataFrame(chain + hot, "u_id string, v_id long, confidence double")
+    got = one_to_one(df, ["u_id"], "v_id").collect()
+    assert len({r.u_id for r in got}) == len(got) == len({r.v_id for r in got}) == 90
+    best = sum(chain[k][2] for k in best_assignment(*map(list, zip(*chain))))
+    assert abs(sum(r.confidence for r in got) - best - 36) < 1e-6
+
+
+def test_equal_rows_go_through_once_and_come_back(spark):
+    f = spark.createDataFrame([("s", f"F{k}", "r", "src/a/b/c.py", "CWE-89", 10) for k in range(30)], FINDING)
+    e = spark.createDataFrame([(k, "t", "r", "src/a/b/c.py", "CWE-89", 11 + k % 2) for k in range(40)], EXT)
+    got = matching_pairs(f, _scans(spark), e)
+    assert got.count() == got.select("finding_id", "ext_id").distinct().count() == 1200
+    assert {r.line_delta for r in got.collect()} == {1, 2}
+
+
 def test_empty(spark):
     f, e = spark.createDataFrame([], FINDING), spark.createDataFrame([], EXT + ", block string, cell int")
     pairs = matching_pairs(f, _scans(spark), e)
@@ -73,7 +91,7 @@ def test_large_components_are_exact(spark):
         pairs += [(f"r{k}.{a}", 1000 * (k + 1) + b, rng.choice([0.3, 0.55, 0.8, rng.random()])) for a in range(9) for b in range(7) if rng.random() < 0.5]
     df = spark.createDataFrame(pairs, "u_id string, v_id long, confidence double")
     best = sum(pairs[k][2] for k in best_assignment(*map(list, zip(*pairs))))
-    got = one_to_one(df, ["u_id"], "v_id", exact_edges=4).collect()
+    got = one_to_one(df, ["u_id"], "v_id").collect()
     assert len({r.u_id for r in got}) == len(got) == len({r.v_id for r in got})
     assert abs(sum(r.confidence for r in got) - best) < 1e-9
 

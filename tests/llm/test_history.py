@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime
 
@@ -51,8 +52,48 @@ def test_second_batch_meets_first_without_rewriting(spark):
 
 def test_filters_rule_out_most_of_what_is_not_held(spark):
     history = AcceptedHistory(spark).accept(spark.createDataFrame([(i, "r", f"a/b/{i}", "CWE-1", 5, T(2024, 1, 1)) for i in range(500)], ENTRY))
-    probes = spark.range(5000).selectExpr("xxhash64(id) as fingerprint")
-    assert history.prescreen(probes).count() < 100
+    probes = spark.range(5000).selectExpr("xxhash64(id) as fingerprint", "id as spot")
+    assert history.prescreen(probes, history.held[0]).count() < 100
+
+
+def test_a_history_lasts(spark, tmp_path):
+    path = f"file://{tmp_path}/history"
+    entries = [(i, "r", f"a/b/{i % 7}", "CWE-1", 40 * i, T(2024, 1, 1)) for i in range(60)]
+    AcceptedHistory(spark, path).accept(spark.createDataFrame(entries[:30], ENTRY))
+    other = spark.newSession()
+    again = AcceptedHistory(other, path)
+    assert again.generations == 1
+    again.accept(other.createDataFrame(entries[20:], ENTRY)).accept(other.createDataFrame(entries, ENTRY))
+    last = AcceptedHistory(spark, path)
+    assert last.generations == 2 and sum(r.n_rows for r in last.held) == AcceptedHistory(spark).accept(spark.createDataFrame(entries, ENTRY)).held[0].n_rows
+    batch = spark.createDataFrame([("s", str(i), "r", f"a/b/{i % 7}", "CWE-1", 40 * i + 3) for i in range(60)], FINDING)
+    assert rows(last.matches(batch, ["finding_id"]), "finding_id", "entry_id") == sorted(((str(i), i) for i in range(60)), key=str)
+
+
+def test_generations_are_merged_and_keep_all(spark, tmp_path):
+    history = AcceptedHistory(spark, f"file://{tmp_path}/history", most_generations=2, bucket_rows=50)
+    for k in range(5):
+        history.accept(spark.createDataFrame([(10 * k + i, "r", "a/b/c", "CWE-1", 1000 * k + 50 * i, T(2024, 1, 1)) for i in range(10)], ENTRY))
+    history = AcceptedHistory(spark, f"file://{tmp_path}/history")
+    assert history.generations <= 2
+    batch = spark.createDataFrame([("s", str(10 * k + i), "r", "a/b/c", "CWE-1", 1000 * k + 50 * i) for k in range(5) for i in range(10)], FINDING)
+    assert {(r.finding_id, r.entry_id) for r in history.matches(batch, ["finding_id"]).collect()} == {(str(i), i) for i in range(50)}
+
+
+def test_reading_follows_the_batch_and_not_the_history(spark, tmp_path):
+    def read_bytes(n):
+        entries = spark.range(n).selectExpr("id as entry_id", "'r' as repo", "concat('a/b/f', id div 20) as path", "'CWE-1' as cwe", "cast(100 * (id % 20) as int) as start_line", "timestamp'2024-01-01' as accepted_at")
+        history = AcceptedHistory(spark, f"file://{tmp_path}/h{n}", bucket_rows=1000).accept(entries)
+        batch = spark.createDataFrame([("s", str(i), "r", f"a/b/f{i}", "CWE-1", 100) for i in range(3)], FINDING)
+        fingerprints = history._fingerprinted(batch, ["finding_id"])
+        generation = history.held[0]
+        hit = [r.bucket for r in history.prescreen(fingerprints, generation).select("bucket").distinct().collect()]
+        files = history._store(generation, hit).select("entry_id").inputFiles()
+        assert history.matches(batch, ["finding_id"]).count() == 3
+        return generation.buckets, len(hit), sum(os.path.getsize(f.removeprefix("file://")) for f in files if any(f"bucket={b}/" in f for b in hit))
+
+    small, large = read_bytes(2000), read_bytes(20000)
+    assert large[0] >= 9 * small[0] and large[1] <= 6 and large[2] / large[1] <= 1.2 * small[2] / small[1]
 
 
 def test_empty_tables_and_clashing_columns(spark):

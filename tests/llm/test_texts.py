@@ -59,6 +59,48 @@ def test_shared_sentences_carry_no_weight(spark):
     items = spark.createDataFrame([(i, common + " " + " ".join(_text(rng, 40)) + ".") for i in range(6)], "item_id long, item_text string")
     docs = spark.createDataFrame([(1, common, "x")], "doc_id long, text string, item_id string")
     assert leaked_pairs(docs, items).count() == 0 and leaked_pairs(docs, items, shared_by=7).count() == 6
+    assert leaked_pairs(docs, items, shared_by=7, broadcast_rows=0).count() == 6
+
+
+def _edited(rng, part, at, n, kind):
+    fresh = [f"other{rng.random()}" for _ in range(n)]
+    return part[:at] + (fresh if kind != "dropped" else []) + part[at + (0 if kind == "added" else n) :]
+
+
+def _found_by_brute_force(doc, item, one_in=8, least=20):
+    """Whether some stretch of the item of ``least`` words or more stands in the document with few edits, over all places."""
+    most = len(item) // one_in
+    for i0 in range(len(item) - least + 1):
+        for j0 in (j for j, w in enumerate(doc) if w == item[i0]):
+            edits = {(i0, j0): 0}
+            for i in range(i0, len(item) + 1):
+                for j in range(max(j0, j0 + i - i0 - most), min(len(doc), j0 + i - i0 + most) + 1):
+                    if (i, j) != (i0, j0):
+                        least_edits = min(
+                            edits.get((i - 1, j - 1), 99) + (i == 0 or j == 0 or item[i - 1] != doc[j - 1]), edits.get((i - 1, j), 99) + 1, edits.get((i, j - 1), 99) + 1
+                        )
+                        edits[i, j] = least_edits
+                        if i - i0 >= least and j and item[i - 1] == doc[j - 1] and least_edits * one_in <= i - i0:
+                            return True
+    return False
+
+
+def test_edits_side_by_side_at_every_place():
+    rng = random.Random(12)
+    for n in (20, 21, 24, 25, 32, 40, 64):
+        item = _text(rng, n)
+        for kind, size in (("altered", 3), ("altered", 2), ("added", 2), ("dropped", 2), ("added", 1), ("dropped", 3)):
+            for at in range(1, n - size):
+                doc = _text(rng, 5) + _edited(rng, item, at, size, kind) + _text(rng, 5)
+                got = passage(doc, gram_places(doc), item, [1] * n) >= 20
+                assert got == _found_by_brute_force(doc, item), (n, kind, size, at)
+                assert got or size * 8 > n
+
+
+def test_both_plans_find_the_same(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "eval_items"))
+    found = [{tuple(r) for r in leaked_pairs(docs, items, broadcast_rows=n).collect()} for n in (2_000_000, 0)]
+    assert found[0] == found[1] and found[0]
 
 
 def test_long_texts_end():
