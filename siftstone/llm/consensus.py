@@ -69,7 +69,8 @@ def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
     hit1 = (F.col("hit1") - own1 * F.col("y") + s) / (F.col("all1") - own1 + 2 * s)
     hit0 = (F.col("hit0") - own0 * F.col("y") + s) / (F.col("all0") - own0 + 2 * s)
     base = F.least(F.greatest(F.try_divide(F.col("base1"), F.col("base1") + F.col("base0")), F.lit(0.02)), F.lit(0.98))
-    rounds = 0
+    annotator = dict(edges.dtypes)["annotator"]
+    rounds, before = 0, None
     while True:
         sums = cavity.groupBy("class", "annotator").agg(
             F.sum(weight * F.col("p") * F.col("y")).alias("hit1"),
@@ -78,16 +79,32 @@ def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
             F.sum(weight * (1 - F.col("p"))).alias("all0"),
             F.max(F.abs(F.col("p") - F.col("p_before"))).alias("moved"),
         )
-        totals = spark.createDataFrame(sums.collect(), sums.schema) if few else written(sums, "totals")
-        moved = totals.agg(F.max("moved")).first()[0] if not few else max((r.moved for r in totals.collect() if r.moved is not None), default=None)
+        if few:
+            # The rows also tell whether beliefs moved, so a round is one job; it fills the cache of this round's messages.
+            rows = sums.collect()
+            moved = max((r.moved for r in rows if r.moved is not None), default=None)
+        else:
+            totals = written(sums, "totals")
+            moved = totals.agg(F.max("moved")).first()[0]
+        if before is not None:
+            before.unpersist()
         if rounds and (moved is None or moved < TOLERANCE):
             break
         if rounds >= FAILED_FROM:
             raise RuntimeError(f"beliefs still move by {moved} after {rounds} rounds")
         rounds += 1
-        of_class = totals.groupBy("class").agg(F.sum("all1").alias("base1"), F.sum("all0").alias("base0"))
-        told = totals.join(F.broadcast(of_class), "class").drop("moved")  # one row per class
-        weighed = cavity.drop("p_before", "logit").join(F.broadcast(told) if few else told.hint("merge"), ["class", "annotator"]).withColumn(
+        if few:
+            prior = {c: [sum(x) for x in zip(*((r.all1, r.all0) for r in rows if r["class"] == c))] for c in {r["class"] for r in rows}}
+            told = F.broadcast(
+                spark.createDataFrame(
+                    [(r["class"], r.annotator, r.hit1, r.all1, r.hit0, r.all0, *prior[r["class"]]) for r in rows],
+                    f"class string, annotator {annotator}, hit1 double, all1 double, hit0 double, all0 double, base1 double, base0 double",
+                )
+            )
+        else:
+            of_class = totals.groupBy("class").agg(F.sum("all1").alias("base1"), F.sum("all0").alias("base0"))
+            told = totals.drop("moved").join(F.broadcast(of_class), "class").hint("merge")  # one row per class
+        weighed = cavity.drop("p_before", "logit").join(told, ["class", "annotator"]).withColumn(
             "w", F.col("n") * F.when(F.col("y") == 1, F.log(hit1 / hit0)).otherwise(F.log((1 - hit1) / (1 - hit0)))
         )
         fresh = _sigmoid(F.col("logit") - F.col("w"))
@@ -99,10 +116,7 @@ def _beliefs(edges: DataFrame, classes: tuple[str, ...]) -> DataFrame:
         )
         if not few or rounds % WRITTEN_EVERY == 0:
             passed = written(passed, "messages").repartition("sig").sortWithinPartitions("sig", "class")
-        after = passed.persist(StorageLevel.MEMORY_AND_DISK)
-        after.count()
-        cavity.unpersist()
-        cavity = after
+        before, cavity = cavity, passed.persist(StorageLevel.MEMORY_AND_DISK)
     result = written(cavity.groupBy("sig", "class").agg(F.first("logit").alias("logit")), "beliefs")
     cavity.unpersist()
     return result
