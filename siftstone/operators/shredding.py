@@ -40,37 +40,41 @@ def _decoded(value: object) -> object:
     return value
 
 
-def _walk(text: str, labels: frozenset[str] | None, emit: Callable[..., None]) -> None:
-    """Emit every node of one document, parents first; an explicit stack, so depth has no limit."""
+def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | None, emit: Callable[..., None]) -> None:
+    """Emit every node of one document, parents first; an explicit stack, so depth has no limit.
+
+    Text under the labels of ``nested``, in their lists, and the document itself may hold JSON; other text stays text.
+    """
     try:
         root = json.loads(text, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return
-    stack: list[tuple[str, str | None, str, int, object]] = [("", None, "", 0, root)]
+    stack: list[tuple[str, str | None, str, int, object, bool]] = [("", None, "", 0, root, True)]
     while stack:
-        node, parent, label, ordinal, value = stack.pop()
-        value = _decoded(value)
+        node, parent, label, ordinal, value, may_hold = stack.pop()
+        if may_hold:
+            value = _decoded(value)
         if isinstance(value, dict):
             emit(node, parent, label, ordinal, "object", None)
             for i, (k, v) in enumerate(value.items()):
                 if labels is None or k in labels:
-                    stack.append((f"{node}/{k.replace('/', '~1')}", node, k, i, v))
+                    stack.append((f"{node}/{k.replace('/', '~1')}", node, k, i, v, nested is None or k in nested))
         elif isinstance(value, list):
             emit(node, parent, label, ordinal, "array", None)
-            stack.extend((f"{node}/{i}", node, str(i), i, v) for i, v in enumerate(value))
+            stack.extend((f"{node}/{i}", node, str(i), i, v, may_hold) for i, v in enumerate(value))
         elif value is None:
             emit(node, parent, label, ordinal, "null", None)
         else:
             emit(node, parent, label, ordinal, "scalar", value if isinstance(value, str) else json.dumps(value))
 
 
-def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str] | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str] | None = None, kinds: tuple[str, ...] = KINDS, nested: list[str] | None = None) -> DataFrame:
     """keys and (node, parent, label, ordinal, kind, scalar) for every JSON value in ``json_col``.
 
     ``labels`` limits the members that become nodes, with all that lies below others left out; ``kinds``
-    limits the nodes that come out.
+    limits the nodes that come out; ``nested`` limits the members whose text may hold JSON (default: any).
     """
-    wanted, kept = (None if labels is None else frozenset(labels)), frozenset(kinds)
+    wanted, held, kept = (None if x is None else frozenset(x) for x in (labels, nested, kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +88,7 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
                         for column, x in zip(columns, node):
                             column.append(x)
 
-                _walk(text, wanted, emit)
+                _walk(text, wanted, held, emit)
             types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
             taken = pa.array(at, pa.int64())
             arrays = [batch.column(k).take(taken) for k in range(len(keys))]
@@ -105,53 +109,51 @@ def _place(node: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(node, pattern, group)
 
 
-def records(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...] = ()) -> DataFrame:
-    """keys and (node, list_name, parent_pos, list_pos): the records of named lists.
-
-    ``lists`` maps a list's name to the paths it may stand at, a ``*`` in a path being the place of the
-    parent record in its own list. A list may be a single object. ``wrappers`` are members that may
-    enclose the whole record.
-    """
+def _record_place(node: Column, lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...]) -> Column:
+    """(list_name, parent_pos, list_pos) of the record at a node, null where none can stand."""
     top = "^(?:/(?:" + "|".join(wrappers) + "))?" if wrappers else "^"
-    objects = nodes.where("kind = 'object'")
-    path = F.regexp_replace("node", top + "(?=/|$)", "")
+    path = F.regexp_replace(node, top + "(?=/|$)", "")
     cases = []
     for name, paths in lists.items():
         for p in paths:
             outer, star, inner = p.partition("/*/")
             if star:
                 pattern = rf"^/{outer}(?:/(\d+))?/{inner}(?:/(\d+))?$"
-                parent, own = _place(F.col("path"), pattern, 1), _place(F.col("path"), pattern, 2)
+                parent, own = _place(path, pattern, 1), _place(path, pattern, 2)
                 parent = F.when(parent == "", "0").otherwise(parent)
             else:
                 pattern = rf"^/{p}(?:/(\d+))?$"
-                parent, own = F.lit("-1"), _place(F.col("path"), pattern, 1)
+                parent, own = F.lit("-1"), _place(path, pattern, 1)
             own = F.when(own == "", "0").otherwise(own)
-            cases.append(
-                F.when(F.col("path").rlike(pattern), F.struct(F.lit(name).alias("list_name"), parent.cast("int").alias("parent_pos"), own.cast("int").alias("list_pos")))
-            )
-    return (
-        objects.withColumn("path", path)
-        .withColumn("r", F.coalesce(*cases))
-        .where("r is not null")
-        .select(*keys, "node", "r.list_name", "r.parent_pos", "r.list_pos")
-    )
+            cases.append(F.when(path.rlike(pattern), F.struct(F.lit(name).alias("list_name"), parent.cast("int").alias("parent_pos"), own.cast("int").alias("list_pos"))))
+    return F.coalesce(*cases)
 
 
-def entity_table(nodes: DataFrame, found: DataFrame, keys: list[str], list_name: str, columns: list[str]) -> DataFrame:
-    """One row per record of a list: keys, places and its scalar members as text columns.
+def records(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...] = ()) -> DataFrame:
+    """keys and (list_name, parent_pos, list_pos): the records of named lists, which are object nodes.
 
-    Children are pivoted before the shuffle, per record; records without scalars keep their row.
+    ``lists`` maps a list's name to the paths it may stand at, a ``*`` in a path being the place of the
+    parent record in its own list. A list may be a single object. ``wrappers`` are members that may
+    enclose the whole record.
+    """
+    placed = nodes.where("kind = 'object'").withColumn("r", _record_place(F.col("node"), lists, wrappers))
+    return placed.where("r is not null").select(*keys, "r.list_name", "r.parent_pos", "r.list_pos")
+
+
+def entity_table(nodes: DataFrame, keys: list[str], list_name: str, paths: tuple[str, ...], columns: list[str], wrappers: tuple[str, ...] = ()) -> DataFrame:
+    """One row per record of a list: keys, parent_pos, list_pos and its scalar members as text columns rec_*.
+
+    Object nodes and the scalar nodes whose parent they are come together by place and are pivoted in one shuffle; records without scalars
+    keep their row. A record delivered twice is one row, with the greater text where the deliveries differ.
     """
-    scalars = nodes.where(F.col("label").isin(columns) & (F.col("kind") == "scalar")).select(*keys, F.col("parent").alias("node"), "label", "scalar")
-    parents = found.where(F.col("list_name") == list_name).select(*keys, "node", "parent_pos", "list_pos", F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("scalar"))
-    both = parents.unionByName(scalars.select(*keys, "node", F.lit(None).cast("int").alias("parent_pos"), F.lit(None).cast("int").alias("list_pos"), "label", "scalar"))
-    pivoted = both.groupBy(*keys, "node").agg(
-        F.max("parent_pos").alias("parent_pos"),
-        F.max("list_pos").alias("list_pos"),
-        *(F.max(F.when(F.col("label") == c, F.col("scalar"))).alias(f"rec_{c}") for c in columns),
+    is_object = F.col("kind") == "object"
+    # A scalar stands at the place of the object that is its parent.
+    own = nodes.where(is_object | (F.col("label").isin(columns) & (F.col("kind") == "scalar")))
+    placed = own.withColumn("r", _record_place(F.when(is_object, F.col("node")).otherwise(F.col("parent")), {list_name: paths}, wrappers)).where("r is not null")
+    pivoted = placed.groupBy(*keys, "r.parent_pos", "r.list_pos").agg(
+        F.max(is_object).alias("is_record"), *(F.max(F.when(~is_object & (F.col("label") == c), F.col("scalar"))).alias(f"rec_{c}") for c in columns)
     )
-    return pivoted.where("list_pos is not null").drop("node")
+    return pivoted.where("is_record").drop("is_record")
 
 
 FINDING_LISTS = {
@@ -161,14 +163,27 @@ FINDING_LISTS = {
     "taint_path": ("taint/taint_path", "taint_path"),
 }
 MANIFEST_LISTS = {"stages": ("stages",), "findings": ("stages/*/findings",)}
-_FINDING_LABELS = ["finding", "locations", "votes", "evidence", "taint", "taint_path"]
-_MANIFEST_LABELS = ["manifest", "stages", "findings"]
+FINDING_NESTED = ["finding", "locations", "votes", "evidence", "taint", "taint_path"]
+MANIFEST_NESTED = ["manifest", "stages", "findings"]
 
 
 def child_records(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """(scan_id, finding_id, list_name, parent_pos, list_pos) for every child record of both documents."""
     keys = ["scan_id", "finding_id"]
-    own = records(adjacency(findings, keys, "finding_json", _FINDING_LABELS, ("object",)), keys, FINDING_LISTS, ("finding",))
+    own = records(adjacency(findings, keys, "finding_json", FINDING_NESTED, ("object",), FINDING_NESTED), keys, FINDING_LISTS, ("finding",))
     manifests = scans.select("scan_id", F.lit("").alias("finding_id"), "manifest_json")
-    of_scan = records(adjacency(manifests, keys, "manifest_json", _MANIFEST_LABELS, ("object",)), keys, MANIFEST_LISTS, ("manifest",))
-    return own.unionByName(of_scan).drop("node").distinct()
+    of_scan = records(adjacency(manifests, keys, "manifest_json", MANIFEST_NESTED, ("object",), MANIFEST_NESTED), keys, MANIFEST_LISTS, ("manifest",))
+    return own.unionByName(of_scan).distinct()
+
+
+def finding_entity(findings: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Records of a list in finding_json as a flat table."""
+    keys = ["scan_id", "finding_id"]
+    nodes = adjacency(findings, keys, "finding_json", [*FINDING_NESTED, *columns], ("object", "scalar"), FINDING_NESTED)
+    return entity_table(nodes, keys, name, FINDING_LISTS[name], columns, ("finding",))
+
+
+def manifest_entity(scans: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Records of a list in manifest_json as a flat table."""
+    nodes = adjacency(scans, ["scan_id"], "manifest_json", [*MANIFEST_NESTED, *columns], ("object", "scalar"), MANIFEST_NESTED)
+    return entity_table(nodes, ["scan_id"], name, MANIFEST_LISTS[name], columns, ("manifest",))

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_rows(rows: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
     """One row per key: the greatest by ``order``, nulls least. Whole rows, so columns never mix.
 
-    Text orders with null as empty. Rows equal in ``order`` are interchangeable.
+    Only keys, order and ``columns`` (default: all) are read. Text orders with null as empty. Rows equal in ``order`` and ``columns`` are
+    the same row; of rows equal in ``order`` alone, the greatest by the hash of ``columns`` stands.
     """
+    columns = columns or rows.columns
     types = dict(rows.dtypes)
     ranks = [F.coalesce(F.col(c), F.lit("")).alias(f"o{k}") if types[c] == "string" else F.col(c).alias(f"o{k}") for k, c in enumerate(order)]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*ranks)).alias("row"))
-    return best.select("row.*")
+    tie = F.xxhash64(*columns).alias("tie")
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in columns if c not in keys)), F.struct(*ranks, tie)).alias("row"))
+    return best.select(*keys, "row.*").select(*columns)
 
 
 def upsert(store: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

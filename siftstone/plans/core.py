@@ -66,42 +66,59 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshot_counts(table(spark, d, "findings"), table(spark, d, "scans"))
 
 
-@query()
+_LISTS = S.records("findings", "scan_id, finding_id", "finding_json", "finding", S.FINDING_LISTS)
+_STAGES = S.records("scans", "scan_id", "manifest_json", "manifest", {"stages": ["stages"]})
+_STAGE_LISTS = f"""{_STAGES},
+inner_lists AS (SELECT scan_id, list_pos AS parent_pos, CASE json_type(list) WHEN 'OBJECT' THEN json_array(list) WHEN 'ARRAY' THEN list END AS list
+  FROM (SELECT *, {S.decoded("record -> '$.findings'", 1)} AS list FROM records)),
+inner_places AS (SELECT scan_id, parent_pos, list, unnest(range(CAST(json_array_length(list) AS BIGINT))) AS list_pos FROM inner_lists WHERE list IS NOT NULL),
+listed AS (SELECT * FROM (SELECT scan_id, parent_pos, CAST(list_pos AS INTEGER) AS list_pos, {S.decoded("json_extract(list, '$[' || list_pos || ']')", 1)} AS record FROM inner_places)
+  WHERE json_type(record) = 'OBJECT')
+"""
+
+
+@query(f"""SELECT DISTINCT scan_id, finding_id, list_name, CAST(-1 AS INTEGER) AS parent_pos, list_pos FROM (WITH {_LISTS} SELECT * FROM records)
+UNION ALL SELECT DISTINCT scan_id, '', 'stages', -1, list_pos FROM (WITH {_STAGES} SELECT * FROM records)
+UNION ALL SELECT DISTINCT scan_id, '', 'findings', parent_pos, list_pos FROM (WITH {_STAGE_LISTS} SELECT * FROM listed)""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return shredding.child_records(table(spark, d, "findings"), table(spark, d, "scans"))
 
 
-def _entity(spark: SparkSession, d: str, name: str, columns: list[str]) -> DataFrame:
-    keys = ["scan_id", "finding_id"]
-    labels = ["finding", "locations", "votes", "evidence", "taint", "taint_path", *columns]
-    nodes = shredding.adjacency(table(spark, d, "findings"), keys, "finding_json", labels, ("object", "scalar"))
-    found = shredding.records(nodes, keys, shredding.FINDING_LISTS, ("finding",))
-    return shredding.entity_table(nodes, found, keys, name, columns)
+def _entity_sql(name: str, columns: list[str]) -> str:
+    picked = ", ".join(f"max({S.scalar('record', c)}) AS rec_{c}" for c in columns)
+    return f"WITH {_LISTS} SELECT scan_id, finding_id, CAST(-1 AS INTEGER) AS parent_pos, list_pos, {picked} FROM records WHERE list_name = '{name}' GROUP BY ALL"
+
 
+_LOCATION, _EVIDENCE = ["path", "start_line", "end_line", "snippet"], ["kind", "check", "detail"]
+_STAGE = ["stage_id", "skill", "duration_seconds", "tokens_in", "tokens_out", "cost_usd", "error"]
 
-@query()
+
+@query(_entity_sql("locations", _LOCATION))
 def p5_locations(spark: SparkSession, d: str) -> DataFrame:
-    return _entity(spark, d, "locations", ["path", "start_line", "end_line", "snippet"])
+    return shredding.finding_entity(table(spark, d, "findings"), "locations", _LOCATION)
 
 
-@query()
+@query(_entity_sql("evidence", _EVIDENCE))
 def p5_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _entity(spark, d, "evidence", ["kind", "check", "detail"])
+    return shredding.finding_entity(table(spark, d, "findings"), "evidence", _EVIDENCE)
+
+
+_STAGES_SQL = f"SELECT scan_id, CAST(-1 AS INTEGER) AS parent_pos, list_pos, {', '.join(f'max({S.scalar("record", c)}) AS rec_{c}' for c in _STAGE)} FROM records GROUP BY ALL"
 
 
-@query()
+@query(f"WITH {_STAGES} {_STAGES_SQL}")
 def p5_stages(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["stage_id", "skill", "duration_seconds", "tokens_in", "tokens_out", "cost_usd", "error"]
-    nodes = shredding.adjacency(table(spark, d, "scans"), ["scan_id"], "manifest_json", ["manifest", "stages", *columns], ("object", "scalar"))
-    found = shredding.records(nodes, ["scan_id"], {"stages": ("stages",)}, ("manifest",))
-    return shredding.entity_table(nodes, found, ["scan_id"], "stages", columns)
+    return shredding.manifest_entity(table(spark, d, "scans"), "stages", _STAGE)
 
 
-@query()
+@query(f"""WITH {_STAGES}, t AS ({_STAGES_SQL}) SELECT rec_stage_id, CAST(count(*) AS BIGINT) AS runs, CAST(count(rec_error) AS BIGINT) AS failures,
+round(sum(TRY_CAST(rec_duration_seconds AS DECIMAL(18, 6))), 3)::DOUBLE AS seconds, sum(TRY_CAST(rec_tokens_in AS DOUBLE)) AS tokens_in, sum(TRY_CAST(rec_tokens_out AS DOUBLE)) AS tokens_out,
+round(sum(TRY_CAST(rec_cost_usd AS DECIMAL(18, 6))), 4)::DOUBLE AS cost FROM t GROUP BY rec_stage_id""")
 def stage_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Stages of all runs: how often each ran and failed, its seconds, tokens and cost."""
-    number = lambda c: F.expr(f"try_cast({c} as double)")
+    number = lambda c: F.expr(f"try_cast({c} as decimal(18, 6))")
     return p5_stages(spark, d).groupBy("rec_stage_id").agg(
-        F.count("*").alias("runs"), F.count("rec_error").alias("failures"), F.round(F.sum(number("rec_duration_seconds")), 3).alias("seconds"),
-        F.sum(number("rec_tokens_in")).alias("tokens_in"), F.sum(number("rec_tokens_out")).alias("tokens_out"), F.round(F.sum(number("rec_cost_usd")), 4).alias("cost"),
+        F.count("*").alias("runs"), F.count("rec_error").alias("failures"), F.round(F.sum(number("rec_duration_seconds")), 3).cast("double").alias("seconds"),
+        F.sum(F.expr("try_cast(rec_tokens_in as double)")).alias("tokens_in"), F.sum(F.expr("try_cast(rec_tokens_out as double)")).alias("tokens_out"),
+        F.round(F.sum(number("rec_cost_usd")), 4).cast("double").alias("cost"),
     )

@@ -206,23 +206,39 @@ def comment_tables(spark: SparkSession, d: str) -> DataFrame:
 
 def _stage_findings(spark: SparkSession, d: str) -> DataFrame:
     """(scan_id, stage, finding_id): findings that the stages of a manifest list, by the place of the stage."""
-    columns = ["id"]
-    nodes = core.shredding.adjacency(table(spark, d, "scans"), ["scan_id"], "manifest_json", ["manifest", "stages", "findings", *columns], ("object", "scalar"))
-    found = core.shredding.records(nodes, ["scan_id"], core.shredding.MANIFEST_LISTS, ("manifest",))
-    rows = core.shredding.entity_table(nodes, found, ["scan_id"], "findings", columns)
+    rows = core.shredding.manifest_entity(table(spark, d, "scans"), "findings", ["id"])
     return rows.where("rec_id is not null").select("scan_id", F.col("parent_pos").alias("stage"), F.col("rec_id").alias("finding_id")).distinct()
 
 
-@query()
+_STAGE_FINDINGS = f"""{core._STAGE_LISTS},
+stage_findings AS (SELECT DISTINCT scan_id, CAST(parent_pos AS INTEGER) AS stage, {Q.scalar('record', 'id')} AS finding_id FROM listed WHERE {Q.scalar('record', 'id')} IS NOT NULL)
+"""
+
+
+@query(f"""WITH {_STAGE_FINDINGS}, n AS (SELECT scan_id, stage, CAST(count(*) AS BIGINT) AS n_findings FROM stage_findings GROUP BY ALL)
+SELECT scan_id, max(stage) AS stage, max_by(n_findings, stage) AS n_findings FROM n GROUP BY scan_id""")
 def last_listing_stage(spark: SparkSession, d: str) -> DataFrame:
     """Per scan the last stage that lists findings, and how many."""
     by = _stage_findings(spark, d).groupBy("scan_id", "stage").agg(F.count("*").alias("n"))
     return by.groupBy("scan_id").agg(F.max("stage").alias("stage"), F.max_by("n", "stage").alias("n_findings"))
 
 
-@query()
+@query(f"""WITH {_STAGE_FINDINGS}, listed_ AS (SELECT scan_id, finding_id, min(stage) AS first_stage, max(stage) AS last_stage FROM stage_findings GROUP BY ALL),
+ends AS (SELECT scan_id, max(last_stage) AS final_stage FROM listed_ GROUP BY scan_id),
+held AS (SELECT DISTINCT scan_id, finding_id FROM findings WHERE scan_id IS NOT NULL AND finding_id IS NOT NULL)
+SELECT coalesce(l.scan_id, h.scan_id) AS scan_id, coalesce(l.finding_id, h.finding_id) AS finding_id, first_stage, last_stage,
+ CASE WHEN l.last_stage < e.final_stage THEN 'dropped_between_stages' WHEN h.scan_id IS NULL THEN 'listed_only' WHEN l.scan_id IS NULL THEN 'delivered_only' ELSE 'kept' END AS state
+FROM listed_ l LEFT JOIN ends e USING (scan_id) FULL OUTER JOIN (SELECT h.* FROM held h SEMI JOIN ends USING (scan_id)) h ON h.scan_id = l.scan_id AND h.finding_id = l.finding_id""")
 def recovered_drops(spark: SparkSession, d: str) -> DataFrame:
-    """Findings that some stage lists and the last listing stage of the scan lacks, with the first and last stage that had them."""
+    """Findings of each scan with a manifest by what became of them: kept, listed by a stage and lacking in the last listing one, listed
+    and never delivered, or delivered though no stage lists them; with the first and last stage that had them.
+    """
     listed = _stage_findings(spark, d).groupBy(*KEY).agg(F.min("stage").alias("first_stage"), F.max("stage").alias("last_stage"))
     ends = listed.groupBy("scan_id").agg(F.max("last_stage").alias("final_stage"))
-    return listed.join(ends, "scan_id").where("last_stage < final_stage")
+    held = table(spark, d, "findings").where("scan_id is not null and finding_id is not null").select(*KEY).distinct().join(ends.select("scan_id"), "scan_id", "left_semi")
+    both = listed.join(ends, "scan_id").join(held.withColumn("held", F.lit(True)), KEY, "full_outer")
+    state = (
+        F.when(F.col("last_stage") < F.col("final_stage"), "dropped_between_stages")
+        .when(F.col("held").isNull(), "listed_only").when(F.col("first_stage").isNull(), "delivered_only").otherwise("kept")
+    )
+    return both.select(*KEY, "first_stage", "last_stage", state.alias("state"))

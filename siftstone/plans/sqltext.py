@@ -72,7 +72,7 @@ def word(c: str) -> str:
 LATEST = f"""
 latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, finding_id ORDER BY recorded_at DESC NULLS LAST,
-    coalesce(finding_json, '') DESC, coalesce(path, '') DESC, coalesce(cwe, '') DESC, coalesce(severity, '') DESC) AS rn
+    coalesce(path, '') DESC, coalesce(cwe, '') DESC, coalesce(severity, '') DESC) AS rn
     FROM findings WHERE scan_id IS NOT NULL AND finding_id IS NOT NULL) WHERE rn = 1),
 f AS (
   SELECT scan_id, finding_id, {repo('repo')} AS repo, {severity('severity')} AS severity, {cwe('cwe')} AS cwe, {path('path')} AS path,
@@ -81,3 +81,39 @@ f AS (
   FROM latest)
 """
 SEV_NUM = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'informational' THEN 1 END"
+
+
+def decoded(x: str, times: int = 2) -> str:
+    """A JSON value, where it is text that holds JSON as what it holds."""
+    for _ in range(times):
+        held = f"({x}) ->> '$'"
+        x = f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({held}, '^\\s*[\\[{{\"]') AND json_valid({held}) THEN CAST({held} AS JSON) ELSE {x} END"
+    return x
+
+
+def records(table: str, keys: str, column: str, wrapper: str, lists: dict[str, list[str]]) -> str:
+    """CTEs whole and records(keys, list_name, list_pos, record): child objects of lists in JSON text, in any of the shapes delivered."""
+    parts = []
+    for name, paths in lists.items():
+        for p in paths:
+            at = "body"
+            for step in p.split("."):
+                at = f"({decoded(at + f" -> '$.{step}'", 1)})"
+            parts.append(f"SELECT {keys}, '{name}' AS list_name, {at} AS list FROM whole")
+    return f"""
+whole AS (
+  SELECT {keys}, CASE WHEN json_type(top, '$.{wrapper}') IS NOT NULL THEN {decoded(f"top -> '$.{wrapper}'", 1)} ELSE top END AS body
+  FROM (SELECT {keys}, {decoded("j")} AS top FROM (SELECT {keys}, CASE WHEN json_valid({column}) THEN CAST({column} AS JSON) END AS j FROM {table} WHERE {column} IS NOT NULL))),
+lists AS (SELECT {keys}, list_name, CASE json_type(list) WHEN 'OBJECT' THEN json_array(list) WHEN 'ARRAY' THEN list END AS list FROM ({" UNION ALL ".join(parts)})),
+places AS (SELECT {keys}, list_name, list, unnest(range(CAST(json_array_length(list) AS BIGINT))) AS list_pos FROM lists WHERE list IS NOT NULL),
+records AS (SELECT * FROM (SELECT {keys}, list_name, CAST(list_pos AS INTEGER) AS list_pos, {decoded("json_extract(list, '$[' || list_pos || ']')", 1)} AS record FROM places)
+  WHERE json_type(record) = 'OBJECT')
+"""
+
+
+FINDING_LISTS = {"locations": ["locations"], "votes": ["votes"], "evidence": ["evidence"], "taint_path": ["taint.taint_path", "taint_path"]}
+
+
+def scalar(record: str, name: str) -> str:
+    """A scalar member as text; none for lists, objects and nulls."""
+    return f"CASE WHEN json_type({record}, '$.{name}') NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN {record} ->> '$.{name}' END"
