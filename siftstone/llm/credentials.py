@@ -69,7 +69,11 @@ _STAND_IN = re.compile(
 )
 _REFERENCE = re.compile(r"^\s*(?:\$|\{|#\{|<|%\w+%$|%\(|__\w+__$|\[\w*\]$|@@|env[.:(]|vault[:.]|os\.|process\.env|secrets?\.|ref\+|arn:)", re.I)
 _REPEATED = re.compile(r"(.)\1{7,}|^(?:[xX*.\-#0]+)$|\*{3,}|x{6,}|\.{3}|…", re.I)
-_PLAIN_NAME = re.compile(r"^[a-z]+(?:[\s_\-.:/][a-z]+)*[:.]?$|^[A-Z]+(?:[_\-][A-Z]+)*$")
+# Values that name a field, a kind or a state rather than being a secret: several plain words, or one that says what a field holds.
+_PLAIN_WORDS = re.compile(r"^[a-z]+(?:[\s_\-.:/][a-z]+)+[:.]?$|^[A-Z]+(?:[_\-][A-Z]+)+$")
+_SAYS_KIND = re.compile(rf"^(?:\w*{_NAME}s?|bearer|basic|digest|none|null|nil|true|false|yes|no|string|text|str|int|integer|bool|boolean|required|optional|hidden|enabled|disabled|default)$", re.I)
+# Keys that hold the name or the kind of something secret.
+_NAMES_FIELD = re.compile(r"(?:field|name|type|label|kind|header|param|attribute|column|prompt|hint|title)s?[\"'\]]*\s*(?::=|=>|=|:)", re.I)
 #: Patterns whose form alone tells a secret; only stand-ins are told from them.
 _BY_FORM = {"cloud_key_id", "code_host_token", "model_api_key", "search_api_key", "chat_token", "chat_hook", "storage_key"}
 
@@ -77,11 +81,11 @@ _BY_FORM = {"cloud_key_id", "code_host_token", "model_api_key", "search_api_key"
 def live(value: str) -> bool:
     """Whether a value would work as written, rather than stand for one kept elsewhere."""
     v = value.strip()
-    if len(v) < 4 or _REFERENCE.search(v) or _REPEATED.search(v) or _STAND_IN.search(v):
+    if not v or _REFERENCE.search(v) or _REPEATED.search(v) or _STAND_IN.search(v):
         return False
     if "{{" in v or "${" in v or "{" in v and "}" in v and " " not in v and re.search(r"\{\w*\}", v):
         return False
-    return not _PLAIN_NAME.match(v)
+    return not (_PLAIN_WORDS.match(v) or _SAYS_KIND.match(v))
 
 
 def _live_match(name: str, value: str) -> bool:
@@ -90,7 +94,7 @@ def _live_match(name: str, value: str) -> bool:
             user, colon, password = base64.b64decode(value + "=" * (-len(value) % 4)).decode().partition(":")
         except (binascii.Error, ValueError):
             return False
-        return bool(colon) and len(password) >= 4 and live(password)
+        return bool(colon) and live(password)
     if name == "private_key":
         body = re.sub(r"\\n|\s|Proc-Type.*|DEK-Info.*", "", value)
         return len(re.findall(r"[A-Za-z0-9+/=]", body)) >= 24 and not _REPEATED.search(body) and not _STAND_IN.search(body)
@@ -106,7 +110,9 @@ def spans(text: str, names: list[str], compiled: dict[str, re.Pattern]) -> list[
         for m in compiled[name].finditer(text):
             for group in ("v", "v1", "v2"):
                 if group in m.re.groupindex and m.group(group) is not None and _live_match(name, m.group(group)):
-                    found.append(m.span(group))
+                    # One plain word beside a key that holds names or kinds is such a name.
+                    if not (m.group(group).strip().isalpha() and _NAMES_FIELD.search(m.group(0))):
+                        found.append(m.span(group))
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:

@@ -25,6 +25,13 @@ def test_live_and_harmless(spark):
     assert [r[0] for r in rows(find_secrets(df), "hit_id")] == sorted(map(int, range(len(LIVE))), key=lambda x: str((x,)))
 
 
+def test_plain_words_work_as_written_and_names_do_not(spark):
+    live = ['password = "letmein"', 'DB_PASSWORD="sunshine"', "password: abcdefgh", 'admin_password = "Dragon"', 'pwd = "abc"']
+    names = ['password_field = "passwd"', 'token_type = "bearer"', 'token_name = "session"', 'password = "password"', "password: required", 'csrf_token_name = "tag_csrf_token"', "token: string", 'password = "changeme"']
+    got = {r.hit_id for r in find_secrets(spark.createDataFrame(list(enumerate(live + names)), "hit_id long, snippet string")).collect()}
+    assert got == set(range(len(live)))
+
+
 def test_redaction_keeps_the_code(spark):
     got = {r.hit_id: r.redacted for r in find_secrets(spark.createDataFrame(list(enumerate(LIVE)), "hit_id long, snippet string")).collect()}
     assert got[0] == f'token = "{MASK}"' and got[2] == f'engine = create_engine("amqp://svc:{MASK}@db.invalid:5432/x")'

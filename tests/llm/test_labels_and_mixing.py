@@ -54,10 +54,23 @@ def test_temperature_meets_entropy():
 def test_weights_respect_caps_and_sum():
     mix = weigh({"a": 1000.0, "b": 10.0, "c": 500.0}, {"a": 0.3, "b": 0.3, "c": 0.4, "absent": 0.2}, {"a": 1, "b": 2, "c": 3}, 1000)
     assert mix.shares["b"] == pytest.approx(0.02) and sum(mix.shares.values()) == pytest.approx(1)
-    assert mix.shares["c"] / mix.shares["a"] == pytest.approx(4 / 3)
+    # Both targets are met, and what b and the absent source can't give goes by temperature.
+    assert mix.shares["a"] > 0.3 / 1.2 and mix.shares["c"] > 0.4 / 1.2 and mix.shares["a"] <= 1.0
     assert weigh({}, {"a": 1.0}, {}).shares == {}
 
 
+def test_temperature_rules_where_no_target_does():
+    tokens, caps = {"a": 800.0, "b": 150.0, "c": 50.0}, {"a": 9, "b": 9, "c": 9}
+    free = weigh(tokens, dict.fromkeys(tokens), caps)
+    assert free.shares == pytest.approx(temperature_weights(tokens, free.exponent_by_entropy)) and sum(free.shares.values()) == pytest.approx(1)
+    tight = weigh(tokens, dict.fromkeys(tokens), {"a": 2, "b": 2, "c": 2})
+    assert all(tight.shares[s] * 1000 <= 2 * tokens[s] * (1 + 1e-9) for s in tokens) and sum(tight.shares.values()) == pytest.approx(1)
+    some = weigh(tokens, {"a": 0.5, "b": None, "c": None}, caps)
+    assert some.shares["a"] == pytest.approx(0.5) and some.shares["b"] + some.shares["c"] == pytest.approx(0.5)
+    met = weigh(tokens, {"a": 0.5, "b": 0.3, "c": 0.2}, caps)
+    assert met.shares == pytest.approx({"a": 0.5, "b": 0.3, "c": 0.2})
+
+
 def test_drawn_records_meet_budgets(spark):
     rng = random.Random(0)
     counts = spark.createDataFrame([(i, "big" if i % 3 else "small", rng.randint(5, 50)) for i in range(900)], "doc_id long, source string, tokens long")
