@@ -76,13 +76,20 @@ def quote_grounded(quote: Column, source: Column, least: int = 8) -> Column:
     return F.coalesce((F.length(q) >= least) & F.contains(squeezed(source), q), F.lit(False))
 
 
-@query(rf"""WITH {Q.LATEST}, q AS (SELECT scan_id, finding_id, {_json_sql('taint.sink')} AS quote, {_json_sql('title')} AS title, {_json_sql('description')} AS told FROM f)
-SELECT scan_id, finding_id, quote, coalesce(length(regexp_replace(quote, '\s+', '', 'g')) >= 8 AND contains(lower(regexp_replace(concat_ws(' ', title, told), '\s+', '', 'g')),
- lower(regexp_replace(quote, '\s+', '', 'g'))), false) AS grounded FROM q WHERE quote IS NOT NULL""")
+_SNIPPETS = Q.records("findings", "scan_id, finding_id", "finding_json", "finding", {"locations": Q.FINDING_LISTS["locations"]})
+_SQUEEZE = "lower(regexp_replace({}, '\\s+', '', 'g'))"
+
+
+@query(f"""WITH {Q.LATEST_JSON}, q AS (SELECT scan_id, finding_id, {_json_sql('taint.sink')} AS quote FROM f),
+t AS (SELECT scan_id, finding_id, bool_or(contains({_SQUEEZE.format(Q.scalar('record', 'snippet'))}, {_SQUEEZE.format('quote')})) AS held
+  FROM q JOIN (WITH {_SNIPPETS} SELECT * FROM records) USING (scan_id, finding_id) WHERE quote IS NOT NULL GROUP BY ALL)
+SELECT scan_id, finding_id, quote, coalesce(length({_SQUEEZE.format('quote')}) >= 8 AND held, false) AS grounded FROM q LEFT JOIN t USING (scan_id, finding_id) WHERE quote IS NOT NULL""")
 def quoted_sinks(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the sink a finding names stands in what the finding tells."""
-    f = R.levelled_findings(spark, d).select(*KEY, _json("taint.sink").alias("quote"), F.concat_ws(" ", _json("title"), _json("description")).alias("told"))
-    return f.where("quote is not null").select(*KEY, "quote", quote_grounded(F.col("quote"), F.col("told")).alias("grounded"))
+    """Whether the sink that a finding names stands in a snippet of one of its locations."""
+    f = R.levelled_findings(spark, d, "finding_json").select(*KEY, _json("taint.sink").alias("quote")).where("quote is not null")
+    lines = core.shredding.finding_entity(table(spark, d, "findings"), "locations", ["snippet"]).select(*KEY, "rec_snippet")
+    held = f.join(lines, KEY).groupBy(*KEY).agg(F.bool_or(quote_grounded(F.col("quote"), F.col("rec_snippet"))).alias("held"))
+    return f.join(held, KEY, "left").select(*KEY, "quote", F.coalesce("held", F.lit(False)).alias("grounded"))
 
 
 # The next lower severity.
@@ -96,19 +103,19 @@ def demoted(severity: Column) -> Column:
 _PROVEN = f"""trim(coalesce(payload, '')) <> '' AND NOT ({" OR ".join(R._re("payload", p) for p in C.PLACEHOLDER_SIGNS)}) AND ({" OR ".join(R._re("payload", p) for p in C.CONCRETE_SIGNS)})"""
 
 
-@query(f"""WITH {Q.LATEST}, q AS (SELECT scan_id, finding_id, severity, {_json_sql('poc.payload')} AS payload, coalesce({_json_sql('tags', '->')}, '') AS tags FROM f),
+@query(f"""WITH {Q.LATEST_JSON}, q AS (SELECT scan_id, finding_id, severity, {_json_sql('poc.payload')} AS payload, coalesce({_json_sql('tags', '->')}, '') AS tags FROM f),
 p AS (SELECT *, contains(tags, '"deterministic"') AS fixed, coalesce({_PROVEN}, false) AS proven FROM q)
 SELECT scan_id, finding_id, severity, CASE WHEN proven OR fixed THEN severity ELSE CASE severity {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in DEMOTED.items())} END END AS gated_severity,
  CASE WHEN proven THEN 'proven' WHEN fixed THEN 'deterministic' ELSE 'missing_poc' END AS reason FROM p""")
 def proof_gate(spark: SparkSession, d: str) -> DataFrame:
     """Findings without a concrete proof go down one severity, unless found by patterns alone."""
-    f = R.levelled_findings(spark, d).select(*KEY, "severity", S.is_concrete(_json("poc.payload")).alias("proven"), F.contains(F.coalesce(_json("tags"), F.lit("")), F.lit('"deterministic"')).alias("fixed"))
+    f = R.levelled_findings(spark, d, "severity", "finding_json").select(*KEY, "severity", S.is_concrete(_json("poc.payload")).alias("proven"), F.contains(F.coalesce(_json("tags"), F.lit("")), F.lit('"deterministic"')).alias("fixed"))
     kept = F.col("proven") | F.col("fixed")
     reason = F.when(F.col("proven"), "proven").when(F.col("fixed"), "deterministic").otherwise("missing_poc")
     return f.select(*KEY, "severity", F.when(kept, F.col("severity")).otherwise(demoted(F.col("severity"))).alias("gated_severity"), reason.alias("reason"))
 
 
-@query(f"""WITH {Q.LATEST}, q AS (SELECT scan_id, finding_id, confidence, validator, coalesce({_json_sql('tags', '->')}, '') AS tags FROM f),
+@query(f"""WITH {Q.LATEST_JSON}, q AS (SELECT scan_id, finding_id, confidence, validator, coalesce({_json_sql('tags', '->')}, '') AS tags FROM f),
 v AS (SELECT *, CASE WHEN contains(tags, '"hallucinated') THEN 'reject' WHEN contains(tags, '"deterministic"') THEN 'confirm' ELSE coalesce(validator, 'uncertain') END AS ruled FROM q)
 SELECT scan_id, finding_id, ruled, CASE WHEN ruled = 'uncertain' THEN least(confidence, 0.6) ELSE confidence END AS confidence FROM v WHERE ruled <> 'reject'""")
 def validator_gate(spark: SparkSession, d: str) -> DataFrame:
@@ -119,26 +126,26 @@ def validator_gate(spark: SparkSession, d: str) -> DataFrame:
         .when(F.contains(tags, F.lit('"deterministic"')), "confirm")
         .otherwise(F.coalesce("validator", F.lit("uncertain")))
     )
-    f = R.levelled_findings(spark, d).select(*KEY, "confidence", ruled.alias("ruled")).where("ruled != 'reject'")
+    f = R.levelled_findings(spark, d, "confidence", "validator", "finding_json").select(*KEY, "confidence", ruled.alias("ruled")).where("ruled != 'reject'")
     capped = F.when((F.col("ruled") == "uncertain") & (F.col("confidence") > 0.6), 0.6).otherwise(F.col("confidence"))
     return f.select(*KEY, "ruled", capped.alias("confidence"))
 
 
-@query(f"""WITH {Q.LATEST}, {R._HITS}, files AS (SELECT DISTINCT repo, path FROM h), g AS (SELECT f.*, files.path IS NOT NULL AS grounded FROM f LEFT JOIN files USING (repo, path))
+@query(f"""WITH {R._SIGNAL_ROWS}, g AS (SELECT s.scan_id, s.finding_id, s.grounded, f.confidence FROM s JOIN f USING (scan_id, finding_id))
 SELECT scan_id, finding_id, grounded, CASE WHEN grounded THEN confidence ELSE least(confidence, 0.5) END AS confidence FROM g WHERE confidence IS NOT NULL""")
 def weak_evidence_cap(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence of findings in files without any hit, held at 0.5."""
-    files = R._hits(spark, d).select("repo", "path").distinct().withColumn("seen", F.lit(True))
-    f = R.levelled_findings(spark, d).where("confidence is not null").join(files, ["repo", "path"], "left")
-    grounded = F.coalesce("seen", F.lit(False))
-    return f.select(*KEY, grounded.alias("grounded"), F.when(grounded, F.col("confidence")).otherwise(F.least("confidence", F.lit(0.5))).alias("confidence"))
+    """Confidence of findings whose evidence has no snippet that matched, held at 0.5."""
+    f = R.levelled_findings(spark, d, "confidence").where("confidence is not null")
+    matched = core.shredding.finding_entity(table(spark, d, "findings"), "evidence", ["kind", "check"]).where("rec_kind = 'snippet_match' and rec_check = 'pass'")
+    g = f.join(matched.select(*KEY).distinct().withColumn("matched", F.lit(True)), KEY, "left").withColumn("grounded", F.coalesce("matched", F.lit(False)))
+    return g.select(*KEY, "grounded", F.when(F.col("grounded"), F.col("confidence")).otherwise(F.least("confidence", F.lit(0.5))).alias("confidence"))
 
 
 @query(f"""WITH {Q.LATEST} SELECT repo, regexp_extract(path, '^([^/]+)', 1) AS module, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT path) AS BIGINT) AS files,
 CAST(count(DISTINCT cwe) AS BIGINT) AS classes, CAST(count(*) FILTER (severity IN ('critical', 'high')) AS BIGINT) AS severe FROM f WHERE path IS NOT NULL GROUP BY ALL""")
 def module_counts(spark: SparkSession, d: str) -> DataFrame:
     """Findings, files and classes by repository and first part of the path."""
-    f = R.levelled_findings(spark, d).where("path is not null").withColumn("module", F.substring_index("path", "/", 1))
+    f = R.levelled_findings(spark, d, "repo", "path", "cwe", "severity").where("path is not null").withColumn("module", F.substring_index("path", "/", 1))
     return f.groupBy("repo", "module").agg(
         F.count("*").alias("findings"), F.countDistinct("path").alias("files"), F.countDistinct("cwe").alias("classes"), F.count_if(F.col("severity").isin("critical", "high")).alias("severe")
     )
@@ -175,11 +182,14 @@ def consistent_reports(spark: SparkSession, d: str) -> DataFrame:
     return known.join(back, at).select("ext_id", "tools", (F.col("tools") >= 2).alias("consistent"))
 
 
-@query(f"WITH p AS ({R.SQL['scanner_precision']}) SELECT tool, precision_, recall_, precision_ >= 0.8 AS precise, recall_ >= 0.1 AS enough, precision_ >= 0.8 AND recall_ >= 0.1 AS passed FROM p")
+@query(f"WITH p AS ({R.SQL['scanner_precision']}) SELECT tool, precision_, recall_, precision_ >= median(precision_) OVER () AS precise, recall_ >= median(recall_) OVER () AS enough, precision_ >= median(precision_) OVER () AND recall_ >= median(recall_) OVER () AS passed FROM p")
 def threshold_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Scanners against a least precision of 0.8 and a least recall of 0.1."""
-    precise, enough = F.col("precision_") >= 0.8, F.col("recall_") >= 0.1
-    return R.scanner_precision(spark, d).select("tool", "precision_", "recall_", precise.alias("precise"), enough.alias("enough"), (precise & enough).alias("passed"))
+    """Scanners against the median precision and recall of all scanners."""
+    p = R.scanner_precision(spark, d)
+    least = p.agg(F.median("precision_").alias("least_precision"), F.median("recall_").alias("least_recall"))
+    precise, enough = F.col("precision_") >= F.col("least_precision"), F.col("recall_") >= F.col("least_recall")
+    both = p.crossJoin(F.broadcast(least))  # one row
+    return both.select("tool", "precision_", "recall_", precise.alias("precise"), enough.alias("enough"), (precise & enough).alias("passed"))
 
 
 @query(f"""WITH k AS (SELECT sha256(concat(coalesce({Q.word('role')}, ''), chr(0), coalesce(model, ''), chr(0), coalesce(rationale, ''))) AS call_key, vote_id FROM votes)
@@ -197,7 +207,7 @@ SELECT scan_id, CAST(sum(n) AS BIGINT) AS findings, string_agg('| ' || severity
 def comment_tables(spark: SparkSession, d: str) -> DataFrame:
     """For the newest snapshot of each stream, the table of severities that a comment on it shows."""
     current = newest(table(spark, d, "scans")).select("scan_id")
-    f = R.levelled_findings(spark, d).where("severity is not null").join(current, "scan_id", "left_semi")
+    f = R.levelled_findings(spark, d, "severity").where("severity is not null").join(current, "scan_id", "left_semi")
     counts = f.groupBy("scan_id", "severity").agg(F.count("*").alias("n")).withColumn("place", R.A.severity_number(F.col("severity")))
     row = F.format_string("| %s | %d |", "severity", "n")
     rows = F.reverse(F.sort_array(F.collect_list(F.struct("place", row.alias("row")))))

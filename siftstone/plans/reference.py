@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftstone import catalogs as C
-from siftstone.functions.levelling import level_cwe, level_path, level_repo, level_severity, level_verdict, level_word
+from siftstone.functions.levelling import level_cwe, level_path, level_repo, level_severity, level_verdict, level_word, path_tail
 from siftstone.operators import aggregates as A
 from siftstone.operators import index as X
 from siftstone.operators import joins as J
 from siftstone.operators import scoring as S
 from siftstone.operators import shredding
-from siftstone.operators.snapshots import snapshots
+from siftstone.operators.snapshots import newest, snapshots
 from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
 from siftstone.sinks.export import sarif_results, sarif_unlocated
@@ -33,17 +33,30 @@ def query(sql: str | None = None):
     return register
 
 
-def levelled_findings(spark: SparkSession, d: str) -> DataFrame:
-    """One row per (scan_id, finding_id), the last recorded, with levelled columns."""
+#: What levelled findings can hold, by the raw column it is made of.
+_RAW = {
+    "repo": "repo", "severity": "severity", "cwe": "cwe", "path": "path", "file": "path", "line": "start_line", "skill": "skill", "confidence": "confidence",
+    "validator": "validator_verdict", "reviewer": "reviewer_verdict", "reviewer_at": "reviewer_at", "finding_json": "finding_json", "title": "title",
+    "cvss_score": "cvss_score", "cvss_vector": "cvss_vector",
+}
+
+
+def levelled_findings(spark: SparkSession, d: str, *wanted: str) -> DataFrame:
+    """One row per (scan_id, finding_id), the last recorded, with the levelled columns that are ``wanted``; no other column is read
+    but those that tell which row is the last.
+    """
+    order = ["recorded_at", "path", "cwe", "severity"]
+    if "finding_json" in wanted:
+        order.insert(1, "finding_json")
+    raw = list(dict.fromkeys(["scan_id", "finding_id", *(_RAW[w] for w in wanted)]))
     rows = table(spark, d, "findings").where("scan_id is not null and finding_id is not null")
-    kept = latest_rows(rows, ["scan_id", "finding_id"], ["recorded_at", "finding_json", "path", "cwe", "severity"])
-    path = level_path(F.col("path"))
-    return kept.select(
-        "scan_id", "finding_id", level_repo(F.col("repo")).alias("repo"), level_severity(F.col("severity")).alias("severity"),
-        level_cwe(F.col("cwe")).alias("cwe"), path.alias("path"), F.substring_index(path, "/", -1).alias("file"),
-        F.col("start_line").cast("long").alias("line"), level_word(F.col("skill")).alias("skill"), "confidence",
-        level_verdict(F.col("validator_verdict")).alias("validator"), level_verdict(F.col("reviewer_verdict")).alias("reviewer"), "reviewer_at", "finding_json",
-    )
+    kept = latest_rows(rows, ["scan_id", "finding_id"], order, raw)
+    level = {
+        "repo": lambda: level_repo(F.col("repo")), "severity": lambda: level_severity(F.col("severity")), "cwe": lambda: level_cwe(F.col("cwe")),
+        "path": lambda: level_path(F.col("path")), "file": lambda: F.substring_index(level_path(F.col("path")), "/", -1), "line": lambda: F.col("start_line").cast("long"),
+        "skill": lambda: level_word(F.col("skill")), "validator": lambda: level_verdict(F.col("validator_verdict")), "reviewer": lambda: level_verdict(F.col("reviewer_verdict")),
+    }
+    return kept.select("scan_id", "finding_id", *(level[w]().alias(w) if w in level else F.col(w) for w in wanted))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +78,14 @@ def _external(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "external_findings").select(
         "ext_id", level_word(F.col("tool")).alias("tool"), "rule_id", level_repo(F.col("repo")).alias("ext_repo"), path.alias("ext_path"),
         F.substring_index(path, "/", -1).alias("file"), F.col("start_line").cast("long").alias("other_line"), level_cwe(F.col("cwe")).alias("ext_cwe"),
+        F.col("end_line").cast("long").alias("ext_end"), level_severity(F.col("severity")).alias("ext_severity"),
     )
 
 
 _EXT = f"""
 e AS (SELECT ext_id, {Q.word('tool')} AS tool, rule_id, {Q.repo('repo')} AS ext_repo, {Q.path('path')} AS ext_path,
-      regexp_extract({Q.path('path')}, '([^/]*)$', 1) AS file, CAST(start_line AS BIGINT) AS other_line, {Q.cwe('cwe')} AS ext_cwe FROM external_findings)
+      regexp_extract({Q.path('path')}, '([^/]*)$', 1) AS file, CAST(start_line AS BIGINT) AS other_line, {Q.cwe('cwe')} AS ext_cwe,
+      CAST(end_line AS BIGINT) AS ext_end, {Q.severity('severity')} AS ext_severity FROM external_findings)
 """
 
 
@@ -132,20 +147,20 @@ def context_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id, repo, severity, cwe, path, line, skill, confidence, validator, reviewer FROM f""")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    return levelled_findings(spark, d).drop("file", "reviewer_at", "finding_json")
+    return levelled_findings(spark, d, "repo", "severity", "cwe", "path", "line", "skill", "confidence", "validator", "reviewer")
 
 
 @query(f"""WITH {Q.LATEST}, dim(severity, place) AS (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('informational', 4))
 SELECT d.severity, d.place, CAST(count(f.scan_id) AS BIGINT) AS n FROM dim d LEFT JOIN f ON f.severity = d.severity AND f.reviewer = 'confirm' GROUP BY ALL""")
 def severity_counts(spark: SparkSession, d: str) -> DataFrame:
-    confirmed = levelled_findings(spark, d).where("reviewer = 'confirm'")
+    confirmed = levelled_findings(spark, d, "severity", "reviewer").where("reviewer = 'confirm'")
     return A.zero_filled_counts(confirmed, "severity", [s for s, _ in C.SEVERITIES])
 
 
 @query(f"""WITH {Q.LATEST} SELECT CAST(count(*) FILTER (validator = 'confirm') AS BIGINT) AS confirmed, CAST(count(*) FILTER (reviewer IS NOT NULL) AS BIGINT) AS reviewed,
 CAST(count(*) FILTER (severity IN ('critical', 'high')) AS BIGINT) AS severe, CAST(count(*) AS BIGINT) AS n, repo FROM f GROUP BY repo""")
 def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
-    return levelled_findings(spark, d).groupBy("repo").agg(
+    return levelled_findings(spark, d, "repo", "validator", "reviewer", "severity").groupBy("repo").agg(
         F.count_if(F.col("validator") == "confirm").alias("confirmed"), F.count_if(F.col("reviewer").isNotNull()).alias("reviewed"),
         F.count_if(F.col("severity").isin("critical", "high")).alias("severe"), F.count("*").alias("n"),
     )
@@ -155,7 +170,7 @@ def conditional_counts(spark: SparkSession, d: str) -> DataFrame:
 {Q.SEV_NUM} DESC NULLS LAST, confidence DESC NULLS LAST, scan_id, finding_id LIMIT 100""")
 def triage_top(spark: SparkSession, d: str) -> DataFrame:
     """The hundred findings to look at first."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "severity", "validator", "confidence")
     order = [(F.col("validator") == "confirm").desc_nulls_last(), A.severity_number(F.col("severity")).desc_nulls_last(), F.col("confidence").desc_nulls_last(), "scan_id", "finding_id"]
     return f.orderBy(*order).limit(100).select("scan_id", "finding_id", "severity", "confidence")
 
@@ -164,7 +179,7 @@ def triage_top(spark: SparkSession, d: str) -> DataFrame:
 ORDER BY reviewer_at DESC, scan_id, finding_id LIMIT 50""")
 def newest_feedback(spark: SparkSession, d: str) -> DataFrame:
     """The fifty newest marks of reviewers."""
-    f = levelled_findings(spark, d).where("reviewer_at is not null")
+    f = levelled_findings(spark, d, "reviewer", "reviewer_at").where("reviewer_at is not null")
     return f.orderBy(F.desc("reviewer_at"), "scan_id", "finding_id").limit(50).select("scan_id", "finding_id", "reviewer", "reviewer_at")
 
 
@@ -178,7 +193,7 @@ SELECT dimension, value, CAST(count(*) FILTER (mark = 'TP') AS BIGINT) AS tp, CA
 CASE WHEN count(*) >= 2 THEN (count(*) FILTER (mark = 'TP') + 1) / (count(*) + 2) END AS reliability
 FROM keyed WHERE mark IS NOT NULL AND value IS NOT NULL GROUP BY ALL""")
 def reliability(spark: SparkSession, d: str) -> DataFrame:
-    marks = _marks(levelled_findings(spark, d)).withColumn("cwe", F.col("cwe").cast("string"))
+    marks = _marks(levelled_findings(spark, d, "cwe", "skill", "reviewer")).withColumn("cwe", F.col("cwe").cast("string"))
     both = [A.smoothed_reliability(marks, k).withColumnRenamed(k, "value").withColumn("dimension", F.lit(k)) for k in ("cwe", "skill")]
     return both[0].unionByName(both[1])
 
@@ -190,9 +205,9 @@ j AS (SELECT f.*, CASE WHEN c.r IS NULL THEN s.r WHEN s.r IS NULL THEN c.r ELSE
 x AS (SELECT *, greatest(least(0.4 * (mean - 0.5), 0.3), -0.3) AS raw FROM j)
 SELECT scan_id, finding_id, round(greatest(least(confidence + CASE WHEN mean IS NOT NULL AND abs(raw) >= 0.01 THEN raw ELSE 0 END, 1.0), 0.0), 9) AS calibrated FROM x WHERE confidence IS NOT NULL""")
 def calibrate_confidence(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("confidence is not null")
-    marks = _marks(levelled_findings(spark, d))
-    moved = A.calibrated(f, A.smoothed_reliability(marks, "cwe"), A.smoothed_reliability(marks, "skill"))
+    every = levelled_findings(spark, d, "cwe", "skill", "confidence", "reviewer")
+    marks = _marks(every)
+    moved = A.calibrated(every.where("confidence is not null"), A.smoothed_reliability(marks, "cwe"), A.smoothed_reliability(marks, "skill"))
     return moved.select("scan_id", "finding_id", F.round("calibrated", 9).alias("calibrated"))
 
 
@@ -204,14 +219,14 @@ def quorum_vote(spark: SparkSession, d: str) -> DataFrame:
     return A.quorum(v, ["scan_id", "finding_id"], "verdict")
 
 
-@query(f"""WITH {Q.LATEST}, r AS (SELECT *, CASE WHEN json_valid(finding_json) THEN nullif(coalesce(finding_json->>'$.remediation', finding_json->>'$.finding.remediation'), '') END IS NOT NULL AS remedied FROM f)
+@query(f"""WITH {Q.LATEST_JSON}, r AS (SELECT *, CASE WHEN json_valid(finding_json) THEN nullif(coalesce(finding_json->>'$.remediation', finding_json->>'$.finding.remediation'), '') END IS NOT NULL AS remedied FROM f)
 SELECT scan_id, finding_id, CASE WHEN coalesce({Q.SEV_NUM}, 0) < 2 THEN 'below_floor'
  WHEN {" OR ".join(f"contains(path, '{p}')" for p in C.TEST_PARTS)} THEN 'test_path'
  WHEN {" OR ".join(f"contains(path, '{p}')" for p in C.VENDOR_PARTS)} THEN 'vendor_path'
  WHEN NOT coalesce(remedied, false) THEN 'no_remediation' END AS drop_reason FROM r""")
 def gate_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Every finding with the first gate it fails, null where it passes all."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "severity", "path", "finding_json")
     has = lambda parts: F.coalesce(F.greatest(*(F.contains("path", F.lit(p)) for p in parts)), F.lit(False))
     remedy = F.nullif(F.coalesce(F.get_json_object("finding_json", "$.remediation"), F.get_json_object("finding_json", "$.finding.remediation")), F.lit(""))
     valid = F.expr("try_parse_json(finding_json) is not null")
@@ -226,15 +241,17 @@ def gate_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 _CORROBORATED = f"""{Q.LATEST}, {_EXT},
 near AS (SELECT f.scan_id, f.finding_id, e.ext_id, e.tool, abs(f.line - e.other_line) AS line_delta FROM f JOIN e
-  ON f.file = e.file AND abs(f.line - e.other_line) <= 3 AND (f.cwe = e.ext_cwe OR f.cwe IS NULL OR e.ext_cwe IS NULL)),
+  ON f.repo = e.ext_repo AND f.file = e.file AND abs(f.line - e.other_line) <= 3 AND (f.cwe = e.ext_cwe OR f.cwe IS NULL OR e.ext_cwe IS NULL)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, finding_id ORDER BY line_delta, ext_id) AS rn FROM near) WHERE rn = 1)
 """
 
 
 def _corroborated(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("file is not null and line is not null").select("scan_id", "finding_id", "file", "line", "cwe")
-    e = _external(spark, d).where("file is not null and other_line is not null").select("ext_id", "tool", "file", "other_line", "ext_cwe")
-    pairs = J.near_pairs(f, e, ["file"], 3, F.expr("cwe = ext_cwe or cwe is null or ext_cwe is null"))
+    """Per finding the nearest scanner row of its repository, file name and class within three lines."""
+    known = "repo is not null and file is not null"
+    f = levelled_findings(spark, d, "repo", "file", "line", "cwe").where(known).where("line is not null")
+    e = _external(spark, d).withColumnRenamed("ext_repo", "repo").where(known).where("other_line is not null").select("ext_id", "tool", "repo", "file", "other_line", "ext_cwe")
+    pairs = J.near_pairs(f, e, ["repo", "file"], 3, F.expr("cwe = ext_cwe or cwe is null or ext_cwe is null"))
     return J.nearest(pairs, ["scan_id", "finding_id"], ["line_delta", "ext_id"], ["line_delta", "ext_id", "tool"])
 
 
@@ -248,58 +265,93 @@ def tool_counts(spark: SparkSession, d: str) -> DataFrame:
     return _corroborated(spark, d).groupBy("tool").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {Q.LATEST}, {_HITS} SELECT scan_id, finding_id, EXISTS (SELECT 1 FROM h WHERE h.file = f.file AND abs(h.line - f.line) <= 2) AS cited FROM f""")
+@query(f"""WITH {Q.LATEST}, {_HITS}, {_EXT}, inventory AS (SELECT repo, file, line FROM h UNION SELECT ext_repo, file, other_line FROM e)
+SELECT scan_id, finding_id, EXISTS (SELECT 1 FROM inventory i WHERE i.repo = f.repo AND i.file = f.file AND abs(i.line - f.line) <= 2) AS cited FROM f""")
 def closed_set_citation(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d)
-    known = f.where("file is not null and line is not null").select("scan_id", "finding_id", "file", "line")
-    h = _hits(spark, d).where("file is not null and line is not null").select("file", F.col("line").alias("other_line")).distinct()
-    near = J.near_pairs(known, h, ["file"], 2).select("scan_id", "finding_id").distinct().withColumn("cited", F.lit(True))
+    """Whether a finding cites a place of the inventory of its repository (hits and scanner rows), two lines more or less."""
+    f = levelled_findings(spark, d, "repo", "file", "line")
+    known = "repo is not null and file is not null"
+    places = _hits(spark, d).select("repo", "file", "line").unionByName(_external(spark, d).select(F.col("ext_repo").alias("repo"), "file", F.col("other_line").alias("line")))
+    inventory = places.where(known).where("line is not null").withColumnRenamed("line", "other_line").distinct()
+    near = J.near_pairs(f.where(known).where("line is not null"), inventory, ["repo", "file"], 2).select("scan_id", "finding_id").distinct().withColumn("cited", F.lit(True))
     return f.select("scan_id", "finding_id").join(near, ["scan_id", "finding_id"], "left").na.fill(False, ["cited"])
 
 
-@query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id FROM f WHERE skill <> 'deterministic_detector' AND NOT EXISTS (SELECT 1 FROM f g
-WHERE g.skill = 'deterministic_detector' AND g.scan_id = f.scan_id AND g.path = f.path AND g.cwe = f.cwe AND abs(g.line - f.line) <= 3)""")
+_PLACES = Q.records("findings", "scan_id, finding_id", "finding_json", "finding", {"locations": Q.FINDING_LISTS["locations"]})
+
+
+@query(f"""WITH {Q.LATEST}, {_EXT}, own AS (SELECT * FROM f WHERE skill IS DISTINCT FROM 'deterministic_detector'),
+more AS (SELECT o.scan_id, o.finding_id, o.repo, o.cwe, {Q.path(Q.scalar('record', 'path'))} AS path, TRY_CAST({Q.scalar('record', 'start_line')} AS BIGINT) AS line
+  FROM own o JOIN (WITH {_PLACES} SELECT * FROM records) USING (scan_id, finding_id)),
+places AS (SELECT scan_id, finding_id, repo, cwe, path, line FROM own UNION ALL SELECT * FROM more),
+tails AS (SELECT *, array_to_string(list_reverse(list_reverse(string_split(path, '/'))[1:3]), '/') AS tail FROM places),
+told AS (SELECT ext_repo, array_to_string(list_reverse(list_reverse(string_split(ext_path, '/'))[1:3]), '/') AS tail, ext_cwe, other_line FROM e),
+near AS (SELECT t.scan_id, t.finding_id FROM tails t JOIN told ON t.repo = told.ext_repo AND t.tail = told.tail AND t.cwe = told.ext_cwe AND abs(t.line - told.other_line) <= 3
+  UNION SELECT p.scan_id, p.finding_id FROM places p JOIN f g ON g.skill = 'deterministic_detector' AND g.scan_id = p.scan_id AND g.path = p.path AND g.cwe = p.cwe AND abs(g.line - p.line) <= 3)
+SELECT scan_id, finding_id FROM own ANTI JOIN near USING (scan_id, finding_id)""")
 def anti_near_duplicate(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of lenses, their skill known or not, that no detector finding of the class is near at any of their locations."""
-    keys, columns = ["scan_id", "finding_id", "cwe"], ["path", "start_line"]
-    f = levelled_findings(spark, d).select(*keys, "path", "line", "skill", "finding_json")
+    """Findings of lenses, their skill known or not, that no detector finding of the scan and no scanner row of the repository, of their
+    class, is near at any of their locations.
+    """
+    key = ["scan_id", "finding_id"]
+    f = levelled_findings(spark, d, "repo", "cwe", "path", "line", "skill")
     own = f.where("not (skill <=> 'deterministic_detector')")
-    nodes = shredding.adjacency(own.where("cwe is not null"), keys, "finding_json", ["finding", "locations", *columns], ("object", "scalar"))
-    found = shredding.records(nodes, keys, {"locations": shredding.FINDING_LISTS["locations"]}, ("finding",))
-    more = shredding.entity_table(nodes, found, keys, "locations", columns).select(*keys, level_path(F.col("rec_path")).alias("path"), F.expr("try_cast(rec_start_line as bigint)").alias("line"))
-    places = own.select(*keys, "path", "line").unionByName(more)
+    listed = shredding.finding_entity(table(spark, d, "findings"), "locations", ["path", "start_line"]).select(
+        *key, level_path(F.col("rec_path")).alias("path"), F.expr("try_cast(rec_start_line as bigint)").alias("line")
+    )
+    more = listed.join(own.select(*key, "repo", "cwe"), key)
+    places = own.drop("skill").unionByName(more).where("cwe is not null and path is not null and line is not null").withColumn("tail", path_tail(F.col("path")))
     det = f.where("skill = 'deterministic_detector' and line is not null").select("scan_id", "path", "cwe", F.col("line").alias("other_line"))
-    near = J.near_pairs(places, det, ["scan_id", "path", "cwe"], 3).select("scan_id", "finding_id").distinct()
-    return own.select("scan_id", "finding_id").join(near, ["scan_id", "finding_id"], "left_anti")
+    told = _external(spark, d).where("ext_repo is not null and other_line is not null").select(
+        F.col("ext_repo").alias("repo"), path_tail(F.col("ext_path")).alias("tail"), F.col("ext_cwe").alias("cwe"), "other_line"
+    ).distinct()
+    near = J.near_pairs(places, det, ["scan_id", "path", "cwe"], 3).select(*key).unionByName(J.near_pairs(places, told, ["repo", "tail", "cwe"], 3).select(*key)).distinct()
+    return own.select(*key).join(near, key, "left_anti")
 
 
 @query(f"""WITH {Q.LATEST}, {_HITS}, p AS (SELECT f.scan_id, f.finding_id, h.hit_id, NOT coalesce(h.reachable_from_source, false) AS unreached, abs(h.line - f.line) AS line_delta
-FROM f JOIN h ON f.file = h.file AND f.cwe = h.cwe WHERE h.line IS NOT NULL AND f.line IS NOT NULL)
+FROM f JOIN h ON f.repo = h.repo AND f.file = h.file AND f.cwe = h.cwe WHERE h.line IS NOT NULL AND f.line IS NOT NULL)
 SELECT scan_id, finding_id, hit_id, unreached, line_delta FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, finding_id ORDER BY unreached, line_delta, hit_id) AS rn FROM p) WHERE rn = 1""")
 def nearest_hit(spark: SparkSession, d: str) -> DataFrame:
-    """Per finding, the hit of its class in files of its name that is reached from a source, else nearest."""
-    f = levelled_findings(spark, d).select(F.struct("scan_id", "finding_id").alias("key"), "file", "cwe", "line").where("file is not null and cwe is not null and line is not null")
-    h = _hits(spark, d).select("hit_id", "file", "cwe", "line", (~F.coalesce("reachable_from_source", F.lit(False))).alias("unreached"))
-    best = J.nearest_either_side(f, h.where("line is not null"), "key", ["file", "cwe"], "unreached", "hit_id")
+    """Per finding, the hit of its repository, class and file name that is reached from a source, else nearest."""
+    by = ["repo", "file", "cwe"]
+    known = "repo is not null and file is not null and cwe is not null and line is not null"
+    f = levelled_findings(spark, d, *by, "line").where(known).select(F.struct("scan_id", "finding_id").alias("key"), *by, "line")
+    h = _hits(spark, d).where(known).select("hit_id", *by, "line", (~F.coalesce("reachable_from_source", F.lit(False))).alias("unreached"))
+    best = J.nearest_either_side(f, h, "key", by, "unreached", "hit_id")
     return best.select("key.scan_id", "key.finding_id", "hit_id", "unreached", "line_delta")
 
 
-@query(f"""WITH {_HITS}, {_EXT}, n AS (SELECT repo, path, line, max(hit_id) AS hit_id, max_by(cwe, hit_id) AS cwe FROM h WHERE pattern_id = 'sink' AND repo IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL GROUP BY ALL),
-x AS (SELECT ext_repo AS repo, ext_path AS path, other_line AS line, string_agg(DISTINCT tool || ':' || rule_id, ';' ORDER BY tool || ':' || rule_id) AS tools, min_by(ext_cwe, ext_id) FILTER (ext_cwe IS NOT NULL) AS ext_cwe
- FROM e WHERE ext_repo IS NOT NULL AND ext_path IS NOT NULL AND other_line IS NOT NULL GROUP BY ALL)
-SELECT repo, path, line, n.hit_id, coalesce(n.cwe, x.ext_cwe) AS cwe, x.tools, CASE WHEN n.hit_id IS NULL THEN 'added' WHEN x.tools IS NULL THEN 'native' ELSE 'corroborated' END AS origin
-FROM n FULL OUTER JOIN x USING (repo, path, line)""")
+@query(f"""WITH {Q.LATEST}, {_HITS}, {_EXT}, ex AS (SELECT DISTINCT ext_id, tool, rule_id, ext_repo AS repo, ext_path AS path, other_line AS line, ext_cwe FROM e),
+own AS (SELECT repo, path, line, hit_id, CAST(NULL AS VARCHAR) AS finding, cwe FROM h WHERE pattern_id = 'sink' UNION ALL SELECT repo, path, line, NULL, scan_id || ' ' || finding_id, cwe FROM f),
+n AS (SELECT repo, path, line, max(hit_id) AS hit_id, max(finding) AS finding, coalesce(max_by(cwe, hit_id) FILTER (hit_id IS NOT NULL), max(cwe) FILTER (hit_id IS NULL)) AS cwe FROM own
+ WHERE repo IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL GROUP BY ALL),
+places AS (SELECT repo, path, line FROM n UNION SELECT repo, path, line FROM ex WHERE repo IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL),
+parts AS (SELECT *, string_split(path, '/') AS p FROM ex WHERE repo IS NULL AND path IS NOT NULL AND line IS NOT NULL),
+cand AS (SELECT parts.* EXCLUDE (repo, path, p), k, {Q.repo('p[k]')} AS repo, array_to_string(p[k + 1:], '/') AS path FROM parts, unnest(range(1, len(p) + 1)) AS r(k)),
+fit AS (SELECT ext_id, max(k) AS k FROM cand SEMI JOIN places USING (repo, path, line) GROUP BY ext_id),
+x0 AS (SELECT ext_id, tool, rule_id, ext_cwe, repo, path, line FROM ex WHERE repo IS NOT NULL AND path IS NOT NULL AND line IS NOT NULL
+ UNION ALL SELECT ext_id, tool, rule_id, ext_cwe, repo, path, line FROM cand JOIN fit USING (ext_id, k)),
+x AS (SELECT repo, path, line, string_agg(DISTINCT concat_ws(':', tool, rule_id), ';' ORDER BY concat_ws(':', tool, rule_id)) AS tools, min_by(ext_cwe, ext_id) FILTER (ext_cwe IS NOT NULL) AS ext_cwe FROM x0 GROUP BY ALL)
+SELECT repo, path, line, n.hit_id, n.finding, coalesce(n.cwe, x.ext_cwe) AS cwe, x.tools, CASE WHEN n.repo IS NULL THEN 'added' WHEN x.tools IS NULL THEN 'native' ELSE 'corroborated' END AS origin FROM n FULL OUTER JOIN x USING (repo, path, line)
+UNION ALL SELECT DISTINCT repo, path, line, hit_id, finding, cwe, NULL, 'native' FROM own WHERE repo IS NULL OR path IS NULL OR line IS NULL
+UNION ALL SELECT repo, path, line, NULL, NULL, ext_cwe, concat_ws(':', tool, rule_id), 'added' FROM ex WHERE path IS NULL OR line IS NULL OR (repo IS NULL AND ext_id NOT IN (SELECT ext_id FROM fit))""")
 def merge_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Sinks and outside findings as one set: matches corroborate, the rest is added.
+    """Sinks, findings and scanner rows as one set of places: matches corroborate, the rest is added.
 
-    An outside finding without repo takes place and repo from its path where a known place fits. Rows that still lack a
+    A scanner row without repo takes place and repo from its path where a known place fits. Rows that still lack a
     part of the place can't be compared and come out one by one, with the part null.
     """
     place = ["repo", "path", "line"]
     known = "repo is not null and path is not null and line is not null"
     unknown = "repo is null or path is null or line is null"
-    sinks = _hits(spark, d).where("pattern_id = 'sink'")
-    n = sinks.where(known).groupBy(*place).agg(F.max("hit_id").alias("hit_id"), F.max_by("cwe", "hit_id").alias("cwe"))
+    sinks = _hits(spark, d).where("pattern_id = 'sink'").select(*place, "hit_id", F.lit(None).cast("string").alias("finding"), "cwe")
+    found = levelled_findings(spark, d, *place, "cwe").select(*place, F.lit(None).cast("long").alias("hit_id"), F.concat_ws(" ", "scan_id", "finding_id").alias("finding"), "cwe")
+    own = written(sinks.unionByName(found), "own-places")
+    is_hit = F.col("hit_id").isNotNull()
+    n = own.where(known).groupBy(*place).agg(
+        F.max("hit_id").alias("hit_id"), F.max("finding").alias("finding"), F.coalesce(F.max_by("cwe", "hit_id"), F.max(F.when(~is_hit, F.col("cwe")))).alias("cwe"), F.lit(True).alias("own")
+    )
     e = _external(spark, d).withColumnsRenamed({"ext_repo": "repo", "ext_path": "path", "other_line": "line"}).select("ext_id", "tool", "rule_id", *place, "ext_cwe")
     places = n.select(*place).unionByName(e.where(known).select(*place)).distinct()
     placed = _placed_by_path(e.where("repo is null and path is not null and line is not null"), places)
@@ -307,11 +359,13 @@ def merge_sources(spark: SparkSession, d: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "tool", "rule_id"))), ";").alias("tools"),
         F.min_by("ext_cwe", F.when(F.col("ext_cwe").isNotNull(), F.col("ext_id"))).alias("ext_cwe"),
     )
-    alone = sinks.where(unknown).select(*place, "hit_id", "cwe").distinct().withColumns({"tools": F.lit(None).cast("string"), "origin": F.lit("native")})
+    alone = own.where(unknown).distinct().withColumns({"tools": F.lit(None).cast("string"), "origin": F.lit("native")})
     rest = e.where("path is null or line is null").distinct().unionByName(placed.where(unknown))
-    added = rest.select(*place, F.lit(None).cast(sinks.schema["hit_id"].dataType).alias("hit_id"), F.col("ext_cwe").alias("cwe"), F.concat_ws(":", "tool", "rule_id").alias("tools"), F.lit("added").alias("origin"))
-    origin = F.when(F.col("hit_id").isNull(), "added").when(F.col("tools").isNull(), "native").otherwise("corroborated")
-    both = n.join(x, place, "full_outer").select(*place, "hit_id", F.coalesce("cwe", "ext_cwe").alias("cwe"), "tools", origin.alias("origin"))
+    added = rest.select(
+        *place, F.lit(None).cast("long").alias("hit_id"), F.lit(None).cast("string").alias("finding"), F.col("ext_cwe").alias("cwe"), F.concat_ws(":", "tool", "rule_id").alias("tools"), F.lit("added").alias("origin")
+    )
+    origin = F.when(F.col("own").isNull(), "added").when(F.col("tools").isNull(), "native").otherwise("corroborated")
+    both = n.join(x, place, "full_outer").select(*place, "hit_id", "finding", F.coalesce("cwe", "ext_cwe").alias("cwe"), "tools", origin.alias("origin"))
     return both.unionByName(alone).unionByName(added)
 
 
@@ -329,12 +383,17 @@ def _placed_by_path(rows: DataFrame, places: DataFrame) -> DataFrame:
     return found.withColumns({"repo": F.col("best.fit_repo"), "path": F.coalesce("best.fit_path", "path")}).drop("best")
 
 
-@query(f"""WITH {_HITS} SELECT hit_id, EXISTS (SELECT 1 FROM h s WHERE s.pattern_id IN ('source', 'route') AND s.repo = h.repo AND s.path = h.path) AS reachable
-FROM h WHERE pattern_id = 'sink'""")
+@query(f"""WITH {_HITS}, s AS (SELECT DISTINCT repo, path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM h WHERE pattern_id IN ('source', 'route')),
+k AS (SELECT hit_id, repo, path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM h WHERE pattern_id = 'sink')
+SELECT hit_id, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.repo = k.repo AND s.path = k.path) THEN 'file' WHEN EXISTS (SELECT 1 FROM s WHERE s.repo = k.repo AND s.folder = k.folder) THEN 'folder' ELSE 'none' END AS reach FROM k""")
 def reachable_sinks(spark: SparkSession, d: str) -> DataFrame:
-    h = _hits(spark, d)
-    files = h.where("pattern_id in ('source', 'route')").select("repo", "path").distinct().withColumn("reachable", F.lit(True))
-    return h.where("pattern_id = 'sink'").join(files, ["repo", "path"], "left").select("hit_id", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+    """How near a source or route stands to each sink: in its file, in its folder, or nowhere there."""
+    h = _hits(spark, d).withColumn("folder", F.regexp_replace("path", "/?[^/]*$", ""))
+    fed = h.where("pattern_id in ('source', 'route')")
+    files = fed.select("repo", "path").distinct().withColumn("in_file", F.lit(True))
+    folders = fed.select("repo", "folder").distinct().withColumn("in_folder", F.lit(True))
+    sinks = h.where("pattern_id = 'sink'").join(files, ["repo", "path"], "left").join(folders, ["repo", "folder"], "left")
+    return sinks.select("hit_id", F.when(F.col("in_file"), "file").when(F.col("in_folder"), "folder").otherwise("none").alias("reach"))
 
 
 _PRINT = "substr(sha256('CWE-' || coalesce(CAST(cwe AS VARCHAR), 'UNK') || '|' || path || '|' || CAST(line AS VARCHAR) || '|' || coalesce(skill, '')), 1, 16)"
@@ -342,7 +401,8 @@ _PRINT = "substr(sha256('CWE-' || coalesce(CAST(cwe AS VARCHAR), 'UNK') || '|' |
 
 @query(f"""WITH {Q.LATEST}, b AS (SELECT {Q.cwe('cwe')} AS cwe, {Q.path('path')} AS path, CAST(start_line AS BIGINT) AS line, {Q.word('skill')} AS skill FROM baseline_entries),
 held AS (SELECT DISTINCT {_PRINT} AS fingerprint FROM b WHERE path IS NOT NULL AND line IS NOT NULL)
-SELECT scan_id, finding_id, {_PRINT} AS fingerprint FROM f WHERE path IS NOT NULL AND line IS NOT NULL AND {_PRINT} NOT IN (SELECT fingerprint FROM held)""")
+SELECT scan_id, finding_id, {_PRINT} AS fingerprint FROM f WHERE path IS NOT NULL AND line IS NOT NULL AND {_PRINT} NOT IN (SELECT fingerprint FROM held)
+UNION ALL SELECT scan_id, finding_id, NULL FROM f WHERE path IS NULL OR line IS NULL""")
 def baseline_anti(spark: SparkSession, d: str) -> DataFrame:
     """Findings whose fingerprint no accepted entry has. Those without path or line have none and are kept."""
 
@@ -353,48 +413,76 @@ def baseline_anti(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "baseline_entries").select(
         level_cwe(F.col("cwe")).alias("cwe"), level_path(F.col("path")).alias("path"), F.col("start_line").cast("long").alias("line"), level_word(F.col("skill")).alias("skill")
     )
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "path", "line", "cwe", "skill")
     kept = printed(f).select("scan_id", "finding_id", "fingerprint").join(printed(b).select("fingerprint"), "fingerprint", "left_anti").select("scan_id", "finding_id", "fingerprint")
     return kept.unionByName(f.where("path is null or line is null").select("scan_id", "finding_id", F.lit(None).cast("string").alias("fingerprint")))
 
 
-_MERGE_ROWS = f"""{Q.LATEST}, r AS (SELECT scan_id, finding_id, coalesce(CAST(cwe AS VARCHAR), 'UNK') AS cwe_key, path, line,
- line + 4 AS last_line, coalesce({Q.SEV_NUM}, 0) AS sev, coalesce(confidence, 0) AS confidence FROM f WHERE path IS NOT NULL AND line IS NOT NULL)"""
+_TAIL = "array_to_string(list_reverse(list_reverse(string_split({}, '/'))[1:3]), '/')"
+_MERGE_ROWS = f"""{Q.SNAPSHOTS}, {Q.LATEST}, {_EXT}, newest AS (SELECT scan_id FROM snaps WHERE next_scan_id IS NULL),
+ends AS (SELECT scan_id, finding_id, max(TRY_CAST({Q.scalar('record', 'end_line')} AS BIGINT)) AS end_line FROM (WITH {_PLACES} SELECT * FROM records) WHERE list_pos = 0 GROUP BY ALL),
+all_rows AS (SELECT 'finding ' || f.scan_id || ' ' || f.finding_id AS key, repo, {_TAIL.format('path')} AS tail, coalesce(CAST(cwe AS VARCHAR), 'UNK') AS cwe_key, line,
+  greatest(coalesce(end_line, line), line) AS last_line, coalesce({Q.SEV_NUM}, 0) AS sev, coalesce(confidence, 0) AS confidence, skill AS reporter
+  FROM f SEMI JOIN newest USING (scan_id) LEFT JOIN ends USING (scan_id, finding_id)
+ UNION SELECT 'report ' || ext_id, ext_repo, {_TAIL.format('ext_path')}, coalesce(CAST(ext_cwe AS VARCHAR), 'UNK'), other_line, greatest(coalesce(ext_end, other_line), other_line),
+  coalesce({Q.SEV_NUM.replace('severity', 'ext_severity')}, 0), 0, tool FROM e),
+whole_rows AS (SELECT * FROM all_rows WHERE repo IS NOT NULL AND tail IS NOT NULL AND line IS NOT NULL)"""
 
 
 @query(f"""WITH {_MERGE_ROWS},
-p AS (SELECT * FROM (SELECT scan_id, cwe_key, path, finding_id AS p_id, line AS a, last_line AS b, row_number() OVER (PARTITION BY scan_id, cwe_key, path ORDER BY sev DESC, confidence DESC, finding_id) AS rn FROM r) WHERE rn = 1),
-j AS (SELECT r.*, CASE WHEN r.finding_id = p.p_id OR greatest(least(last_line, b) - greatest(line, a) + 1, 0) / greatest(last_line - line + 1, b - a + 1) > 0.5 THEN p.p_id ELSE r.finding_id END AS primary_id
- FROM r JOIN p USING (scan_id, cwe_key, path))
-SELECT scan_id, primary_id, CAST(count(*) AS BIGINT) AS merged, max(confidence) AS confidence FROM j GROUP BY scan_id, cwe_key, path, primary_id""")
+p AS (SELECT * FROM (SELECT repo, tail, cwe_key, key AS p_key, line AS a, last_line AS b, row_number() OVER (PARTITION BY repo, tail, cwe_key ORDER BY sev DESC, confidence DESC, key) AS rn FROM whole_rows) WHERE rn = 1),
+j AS (SELECT r.*, CASE WHEN r.key = p.p_key OR greatest(least(last_line, b) - greatest(line, a) + 1, 0) / greatest(last_line - line + 1, b - a + 1) > 0.5 THEN p.p_key ELSE r.key END AS primary_key
+ FROM whole_rows r JOIN p USING (repo, tail, cwe_key))
+SELECT primary_key, CAST(count(*) AS BIGINT) AS merged, max(confidence) AS confidence, CAST(max(sev) AS INTEGER) AS sev, coalesce(string_agg(DISTINCT reporter, ';' ORDER BY reporter), '') AS reported_by FROM j GROUP BY repo, tail, cwe_key, primary_key
+UNION ALL SELECT key, 1, confidence, CAST(sev AS INTEGER), coalesce(reporter, '') FROM all_rows WHERE repo IS NULL OR tail IS NULL OR line IS NULL""")
 def merge_overlapping(spark: SparkSession, d: str) -> DataFrame:
-    """Findings merged into the first of their bucket; those without path or line overlap none and are their own primary."""
-    every = levelled_findings(spark, d)
-    f = every.where("path is not null and line is not null")
-    rows = f.select(
-        "scan_id", "finding_id", F.coalesce(F.col("cwe").cast("string"), F.lit("UNK")).alias("cwe_key"), "path", "line", (F.col("line") + 4).alias("last_line"),
-        F.coalesce(A.severity_number(F.col("severity")), F.lit(0)).alias("sev"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-    )
-    joined = A.merged(rows, ["scan_id", "cwe_key", "path"], "finding_id")
-    together = joined.groupBy("scan_id", "cwe_key", "path", F.col("primary").alias("primary_id")).agg(F.count("*").alias("merged"), F.max("confidence").alias("confidence")).drop("cwe_key", "path")
-    alone = every.where("path is null or line is null")
-    return together.unionByName(alone.select("scan_id", F.col("finding_id").alias("primary_id"), F.lit(1).cast("long").alias("merged"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")))
+    """Findings of newest snapshots and scanner rows, merged into the first of their repository, file and class where they overlap it by
+    more than half of the longer span: how many came together, their best severity and confidence, and who reported them.
+
+    A finding spans its first location up to its end. Rows without a whole place overlap none and are their own primary.
+    """
+    key = ["scan_id", "finding_id"]
+    last = newest(table(spark, d, "scans")).select("scan_id")
+    f = levelled_findings(spark, d, "repo", "path", "cwe", "line", "severity", "confidence", "skill").join(last, "scan_id", "left_semi")
+    ends = shredding.finding_entity(table(spark, d, "findings"), "locations", ["end_line"]).where("list_pos = 0").select(*key, F.expr("try_cast(rec_end_line as bigint)").alias("end_line"))
+    shape = lambda key, repo, path, cwe, line, end, severity, confidence, reporter: [
+        key.alias("key"), F.col(repo).alias("repo"), path_tail(F.col(path)).alias("tail"), F.coalesce(F.col(cwe).cast("string"), F.lit("UNK")).alias("cwe_key"), F.col(line).alias("line"),
+        F.greatest(F.col(end), F.col(line)).alias("last_line"), F.coalesce(A.severity_number(F.col(severity)), F.lit(0)).alias("sev"), confidence.alias("confidence"), F.col(reporter).alias("reporter"),
+    ]
+    found = f.join(ends, key, "left").select(
+        *shape(F.concat(F.lit("finding "), F.concat_ws(" ", *key)), "repo", "path", "cwe", "line", "end_line", "severity", F.coalesce("confidence", F.lit(0.0)), "skill")
+    )
+    told = _external(spark, d).where("ext_id is not null").select(
+        *shape(F.concat(F.lit("report "), F.col("ext_id").cast("string")), "ext_repo", "ext_path", "ext_cwe", "other_line", "ext_end", "ext_severity", F.lit(0.0), "tool")
+    )
+    every = written(found.unionByName(told.distinct()), "merge-rows")
+    bucket = ["repo", "tail", "cwe_key"]
+    joined = A.merged(every.where("repo is not null and tail is not null and line is not null"), bucket, "key")
+    together = joined.groupBy(*bucket, F.col("primary").alias("primary_key")).agg(
+        F.count("*").alias("merged"), F.max("confidence").alias("confidence"), F.max("sev").alias("sev"), F.array_join(F.array_sort(F.collect_set("reporter")), ";").alias("reported_by")
+    ).drop(*bucket)
+    alone = every.where("repo is null or tail is null or line is null")
+    return together.unionByName(alone.select(F.col("key").alias("primary_key"), F.lit(1).cast("long").alias("merged"), "confidence", "sev", F.coalesce("reporter", F.lit("")).alias("reported_by")))
 
 
 _LEVELS = ["critical", "high", "medium", "low", "informational"]
 
 
-@query(f"""WITH {Q.LATEST}, r AS (SELECT *, split_part(path, '/', 1) AS module FROM f WHERE path IS NOT NULL AND cwe IS NOT NULL),
-g AS (SELECT repo, cwe, module, CAST(count(*) AS BIGINT) AS size, max(confidence) AS top_confidence, min(scan_id || ' ' || finding_id) AS first_id FROM r GROUP BY ALL HAVING count(*) >= 5),
-p AS (SELECT repo, cwe, module, array_to_string(list_sort(list(path))[1:10], ';') AS paths FROM (SELECT DISTINCT repo, cwe, module, path FROM r) GROUP BY ALL)
-SELECT g.*, p.paths FROM g JOIN p USING (repo, cwe, module)""")
+@query(f"""WITH {Q.LATEST}, r AS (SELECT repo, cwe, split_part(path, '/', 1) AS module, path, severity, {Q.SEV_NUM} AS sev, confidence, scan_id || ' ' || finding_id AS key,
+ path IS NOT NULL AND cwe IS NOT NULL AND repo IS NOT NULL AS whole FROM f),
+g AS (SELECT repo, cwe, module, CAST(count(*) AS BIGINT) AS size, max(confidence) AS top_confidence, min(key) AS first_id, max_by(severity, sev) AS severity FROM r WHERE whole GROUP BY ALL HAVING count(*) >= 5),
+p AS (SELECT repo, cwe, module, array_to_string(list_sort(list(path))[1:10], ';') AS paths FROM (SELECT DISTINCT repo, cwe, module, path FROM r WHERE whole) GROUP BY ALL)
+SELECT g.*, p.paths, 'C-' || first_id AS cluster_id, 'parent' AS kind FROM g JOIN p USING (repo, cwe, module)
+UNION ALL BY NAME SELECT r.repo, r.cwe, r.module, CAST(1 AS BIGINT) AS size, r.confidence AS top_confidence, r.key AS first_id, r.path AS paths,
+ CASE WHEN g.first_id IS NULL THEN r.severity ELSE CASE r.severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'low' WHEN 'low' THEN 'informational' ELSE r.severity END END AS severity,
+ 'C-' || g.first_id AS cluster_id, CASE WHEN g.first_id IS NULL THEN 'untouched' ELSE 'child' END AS kind FROM r LEFT JOIN g ON r.whole AND g.repo = r.repo AND g.cwe = r.cwe AND g.module = r.module""")
 def systemic_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters as parents, their findings as children, a level of severity lower, and all other findings untouched.
 
     A parent has the best severity of its children. Rows of findings have their own confidence, key and path.
     """
     keys = ["repo", "cwe", "module"]
-    narrow = levelled_findings(spark, d).select(
+    narrow = levelled_findings(spark, d, "repo", "cwe", "path", "severity", "confidence").select(
         "repo", "cwe", F.substring_index("path", "/", 1).alias("module"), "path", "severity", "confidence", F.concat_ws(" ", "scan_id", "finding_id").alias("key")
     )
     f = written(narrow, "clustered")
@@ -416,7 +504,7 @@ def systemic_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.LATEST} SELECT scan_id, bool_or(cwe = 79) AND bool_or(cwe = 352) AS chained, CAST(count(*) FILTER (cwe IN (79, 352)) AS BIGINT) AS n FROM f
 GROUP BY scan_id HAVING bool_or(cwe = 79) OR bool_or(cwe = 352)""")
 def cooccurring_classes(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("cwe in (79, 352)")
+    f = levelled_findings(spark, d, "cwe").where("cwe in (79, 352)")
     return f.groupBy("scan_id").agg((F.bool_or(F.col("cwe") == 79) & F.bool_or(F.col("cwe") == 352)).alias("chained"), F.count("*").alias("n"))
 
 
@@ -436,7 +524,7 @@ SELECT scan_id, finding_id, 'CVSS:3.1/AV:' || av || '/AC:L/PR:N/UI:' || ui || '/
 CASE WHEN impact <= 0 THEN 0.0 ELSE ceil(round(least(CASE WHEN s = 'C' THEN CAST(1.08 AS DOUBLE) * (impact + ease) ELSE impact + ease END, 10.0) * 10, 9)) / 10 END AS score FROM t""")
 def cvss_scores(spark: SparkSession, d: str) -> DataFrame:
     """Vector and score from class defaults; a file with a route is reached over the network."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "cwe", "repo", "path")
     routes = _hits(spark, d).where("pattern_id = 'route'").select("repo", "path").distinct().withColumn("routed", F.lit(True))
     joined = f.join(routes, ["repo", "path"], "left")
     vector, score = S.cvss(F.col("cwe"), F.coalesce("routed", F.lit(False)), F.lit(False), F.lit(False))
@@ -446,10 +534,10 @@ def cvss_scores(spark: SparkSession, d: str) -> DataFrame:
 def _proofs(spark: SparkSession, d: str) -> DataFrame:
     payload = F.coalesce(F.get_json_object("finding_json", "$.poc.payload"), F.get_json_object("finding_json", "$.finding.poc.payload"))
     valid = F.expr("try_parse_json(finding_json) is not null")
-    return levelled_findings(spark, d).select("scan_id", "finding_id", "cwe", F.when(valid, payload).alias("payload")).where("payload is not null")
+    return levelled_findings(spark, d, "cwe", "finding_json").select("scan_id", "finding_id", "cwe", F.when(valid, payload).alias("payload")).where("payload is not null")
 
 
-_PROOFS = f"""{Q.LATEST}, q AS (SELECT scan_id, finding_id, cwe, CASE WHEN json_valid(finding_json) THEN coalesce(finding_json->>'$.poc.payload', finding_json->>'$.finding.poc.payload') END AS payload FROM f)"""
+_PROOFS = f"""{Q.LATEST_JSON}, q AS (SELECT scan_id, finding_id, cwe, CASE WHEN json_valid(finding_json) THEN coalesce(finding_json->>'$.poc.payload', finding_json->>'$.finding.poc.payload') END AS payload FROM f)"""
 
 
 def _re(x: str, p: str) -> str:
@@ -473,40 +561,78 @@ def demonstrated_payloads(spark: SparkSession, d: str) -> DataFrame:
     return h.select("hit_id", "cwe", S.demonstrates(F.col("snippet"), F.col("cwe")).alias("demonstrated"))
 
 
-@query(f"""WITH {_CORROBORATED}, v AS (SELECT DISTINCT scan_id, finding_id FROM votes WHERE {Q.verdict('verdict')} = 'confirm'),
-{_HITS}, s AS (SELECT f.scan_id, f.finding_id, f.severity, coalesce(f.validator = 'confirm', false) OR v.scan_id IS NOT NULL AS vote_confirmed, b.ext_id IS NOT NULL AS corroborated,
- EXISTS (SELECT 1 FROM h WHERE h.repo = f.repo AND h.path = f.path) AS grounded, coalesce(f.reviewer = 'confirm', false) AS reviewed
- FROM f LEFT JOIN v USING (scan_id, finding_id) LEFT JOIN best b USING (scan_id, finding_id))
-SELECT scan_id, finding_id, CAST(vote_confirmed AS INT) + CAST(corroborated AS INT) + CAST(grounded AS INT) + CAST(reviewed AS INT) AS signals,
- CAST(vote_confirmed AS INT) + CAST(corroborated AS INT) + CAST(grounded AS INT) + CAST(reviewed AS INT) >= 2 AS verified,
- CASE WHEN severity IN ('critical', 'high') AND NOT (vote_confirmed AND corroborated) THEN 'medium' ELSE severity END AS capped_severity FROM s""")
-def k_of_n_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """Signals that hold for each finding, whether enough do, and severity capped unless both keys hold."""
+SIGNALS = ["grounded", "taint_complete", "concrete_poc", "reachable", "vote_confirmed", "externally_corroborated"]
+#: So many of the six signals verify a finding.
+LEAST_SIGNALS = 3
+
+_JSON = Q.records("findings", "scan_id, finding_id", "finding_json", "finding", {"evidence": ["evidence"], "votes": ["votes"]})
+_PASSED = "record ->> '$.check' = 'pass' AND record ->> '$.kind' ="
+_SIGNAL_ROWS = f"""{_CORROBORATED}, v AS (SELECT DISTINCT scan_id, finding_id FROM votes WHERE {Q.verdict('verdict')} = 'confirm'),
+ev AS (SELECT scan_id, finding_id, bool_or(list_name = 'evidence' AND {_PASSED} 'snippet_match') AS grounded, bool_or(list_name = 'evidence' AND {_PASSED} 'reachable') AS reachable,
+ bool_or(list_name = 'evidence' AND {_PASSED} 'external_corroboration') AS told, bool_or(list_name = 'votes' AND {Q.verdict("record ->> '$.verdict'")} = 'confirm') AS voted FROM (WITH {_JSON} SELECT * FROM records) GROUP BY ALL),
+bo AS (SELECT scan_id, finding_id, bool_or(coalesce(body ->> '$.taint.source', '') <> '' AND coalesce(body ->> '$.taint.sink', '') <> '') AS taint_complete,
+ bool_or(coalesce(body ->> '$.poc.is_concrete', '') = 'true') AS concrete_poc FROM (WITH {_JSON} SELECT * FROM whole) GROUP BY ALL),
+s AS (SELECT f.scan_id, f.finding_id, f.severity, coalesce(ev.grounded, false) AS grounded, coalesce(taint_complete, false) AS taint_complete, coalesce(concrete_poc, false) AS concrete_poc,
+ coalesce(reachable, false) AS reachable, coalesce(f.validator = 'confirm', false) OR v.scan_id IS NOT NULL OR coalesce(voted, false) AS vote_confirmed, b.ext_id IS NOT NULL OR coalesce(told, false) AS externally_corroborated
+ FROM f LEFT JOIN v USING (scan_id, finding_id) LEFT JOIN best b USING (scan_id, finding_id) LEFT JOIN ev USING (scan_id, finding_id) LEFT JOIN bo USING (scan_id, finding_id))
+"""
+
+
+def _signals(spark: SparkSession, d: str) -> DataFrame:
+    """The six signals of every finding, each from what another step left: its evidence, its taint, its proof, votes and scanners."""
     key = ["scan_id", "finding_id"]
-    f = levelled_findings(spark, d)
-    votes = table(spark, d, "votes").where(level_verdict(F.col("verdict")) == "confirm").select(*key).distinct().withColumn("voted", F.lit(True))
-    outside = _corroborated(spark, d).select(*key, F.lit(True).alias("corroborated"))
-    files = _hits(spark, d).select("repo", "path").distinct().withColumn("grounded", F.lit(True))
-    s = f.join(votes, key, "left").join(outside, key, "left").join(files, ["repo", "path"], "left").select(
-        *key, "severity", ((F.coalesce(F.col("validator") == "confirm", F.lit(False))) | F.coalesce("voted", F.lit(False))).alias("vote_confirmed"),
-        F.coalesce("corroborated", F.lit(False)).alias("corroborated"), F.coalesce("grounded", F.lit(False)).alias("grounded"), F.coalesce(F.col("reviewer") == "confirm", F.lit(False)).alias("reviewed"),
+    found = table(spark, d, "findings").where("scan_id is not null and finding_id is not null")
+    names = ["kind", "check", "verdict"]
+    nodes = written(shredding.adjacency(found, key, "finding_json", [*shredding.FINDING_NESTED, *names], ("object", "scalar"), shredding.FINDING_NESTED), "nodes")
+    lists = lambda name, columns: shredding.entity_table(nodes, key, name, shredding.FINDING_LISTS[name], columns, ("finding",))
+    passed = lambda kind: F.bool_or((F.col("rec_check") == "pass") & (F.col("rec_kind") == kind))
+    evidence = lists("evidence", ["kind", "check"]).groupBy(*key).agg(passed("snippet_match").alias("grounded"), passed("reachable").alias("reachable"), passed("external_corroboration").alias("told"))
+    voted = lists("votes", ["verdict"]).where(level_verdict(F.col("rec_verdict")) == "confirm").select(*key)
+    voted = voted.unionByName(table(spark, d, "votes").where(level_verdict(F.col("verdict")) == "confirm").select(*key)).distinct().withColumn("voted", F.lit(True))
+    text = lambda path: F.coalesce(json_member(path), F.lit(""))
+    body = found.groupBy(*key).agg(
+        F.bool_or((text("taint.source") != "") & (text("taint.sink") != "")).alias("taint_complete"), F.bool_or(text("poc.is_concrete") == "true").alias("concrete_poc")
+    )
+    outside = _corroborated(spark, d).select(*key, F.lit(True).alias("near"))
+    f = levelled_findings(spark, d, "severity", "validator").join(voted, key, "left").join(outside, key, "left").join(evidence, key, "left").join(body, key, "left")
+    holds = lambda *names: F.coalesce(*names, F.lit(False))
+    return f.select(
+        *key, "severity", holds("grounded").alias("grounded"), holds("taint_complete").alias("taint_complete"), holds("concrete_poc").alias("concrete_poc"), holds("reachable").alias("reachable"),
+        (holds(F.col("validator") == "confirm") | holds("voted")).alias("vote_confirmed"), (holds("near") | holds("told")).alias("externally_corroborated"),
     )
-    signals = sum((F.col(c).cast("int") for c in ("corroborated", "grounded", "reviewed")), F.col("vote_confirmed").cast("int"))
-    both = F.col("vote_confirmed") & F.col("corroborated")
-    capped = F.when(F.col("severity").isin("critical", "high") & ~both, "medium").otherwise(F.col("severity"))
-    return s.select(*key, signals.alias("signals"), (signals >= 2).alias("verified"), capped.alias("capped_severity"))
+
+
+def json_member(path: str, column: str = "finding_json") -> Column:
+    """A member of a JSON text as text, whether the text is wrapped, is itself held as text, or is no JSON (null)."""
+    held = F.when(F.col(column).rlike(r'^\s*"'), F.get_json_object(column, "$")).otherwise(F.col(column))
+    value = F.coalesce(F.get_json_object(held, f"$.finding.{path}"), F.get_json_object(held, f"$.{path}"))
+    return F.when(F.try_parse_json(held).isNotNull(), value)
+
+
+_COUNTED = " + ".join(f"CAST({x} AS INT)" for x in SIGNALS)
+
+
+@query(f"""WITH {_SIGNAL_ROWS} SELECT scan_id, finding_id, {", ".join(SIGNALS)}, {_COUNTED} AS signals, {_COUNTED} >= {LEAST_SIGNALS} AS verified, round(({_COUNTED}) / 6, 3) AS score,
+ CASE WHEN severity IN ('critical', 'high') AND NOT (vote_confirmed AND (externally_corroborated OR concrete_poc)) THEN 'medium' ELSE severity END AS capped_severity FROM s""")
+def k_of_n_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The six signals of each finding, whether three hold, their share, and severity, capped unless votes confirm and a scanner or a proof does."""
+    s = _signals(spark, d)
+    n = sum((F.col(x).cast("int") for x in SIGNALS[1:]), F.col(SIGNALS[0]).cast("int"))
+    keys = F.col("vote_confirmed") & (F.col("externally_corroborated") | F.col("concrete_poc"))
+    capped = F.when(F.col("severity").isin("critical", "high") & ~keys, "medium").otherwise(F.col("severity"))
+    return s.select("scan_id", "finding_id", *SIGNALS, n.alias("signals"), (n >= LEAST_SIGNALS).alias("verified"), F.round(n / 6, 3).alias("score"), capped.alias("capped_severity"))
 
 
 @query(f"WITH {Q.LATEST} SELECT CASE WHEN confidence >= 0.7 THEN 'confirm' WHEN confidence < 0.3 THEN 'reject' ELSE 'uncertain' END AS band, severity, CAST(count(*) AS BIGINT) AS n FROM f WHERE confidence IS NOT NULL GROUP BY ALL")
 def confidence_bands(spark: SparkSession, d: str) -> DataFrame:
-    f = levelled_findings(spark, d).where("confidence is not null")
+    f = levelled_findings(spark, d, "confidence", "severity").where("confidence is not null")
     return f.groupBy(A.bands(F.col("confidence")).alias("band"), "severity").agg(F.count("*").alias("n"))
 
 
 @query()
 def calibrated_probability(spark: SparkSession, d: str) -> DataFrame:
     """Confidence as a probability, by a logistic curve fitted to the marks of reviewers."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "confidence", "reviewer")
     a, b, fitted = A.platt(_marks(f).select(F.col("confidence").alias("score"), (F.col("mark") == "TP").cast("int").alias("label")))
     p = 1 / (1 + F.exp(-(F.lit(a) * F.col("confidence") + F.lit(b)))) if fitted else F.col("confidence")
     return f.where("confidence is not null").select("scan_id", "finding_id", p.alias("probability"), A.bands(p).alias("band"))
@@ -566,12 +692,12 @@ def run_costs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id, severity, 'CWE-' || CAST(cwe AS VARCHAR) AS cwe, path, line, skill, confidence, validator, reviewer,
+@query(f"""WITH {Q.LATEST_JSON} SELECT scan_id, finding_id, severity, 'CWE-' || CAST(cwe AS VARCHAR) AS cwe, path, line, skill, confidence, validator, reviewer,
 CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level,
 CASE WHEN json_valid(finding_json) THEN array_to_string(CAST(coalesce(finding_json->'$.tags', finding_json->'$.finding.tags') AS VARCHAR[]), ';') END AS tags FROM f""")
 def flat_export(spark: SparkSession, d: str) -> DataFrame:
     """One flat row per finding, lists joined by semicolons."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "severity", "cwe", "path", "line", "skill", "confidence", "validator", "reviewer", "finding_json")
     valid = F.expr("try_parse_json(finding_json) is not null")
     text = F.coalesce(F.get_json_object("finding_json", "$.tags"), F.get_json_object("finding_json", "$.finding.tags"))
     tags = F.array_join(F.from_json(F.when(valid, text), "array<string>"), ";")
@@ -589,7 +715,7 @@ SELECT tool, predicted, tp, round(tp / predicted, 4) AS precision_, round(tp / (
 def scanner_precision(spark: SparkSession, d: str) -> DataFrame:
     """Per scanner, how many of its places lie within three lines of a confirmed flaw."""
     known = "repo is not null and file is not null and line is not null"
-    truth = levelled_findings(spark, d).where("reviewer = 'confirm'").where(known).select("repo", "file", "line").distinct()
+    truth = levelled_findings(spark, d, "reviewer", "repo", "file", "line").where("reviewer = 'confirm'").where(known).select("repo", "file", "line").distinct()
     e = _external(spark, d).select("tool", F.col("ext_repo").alias("repo"), "file", F.col("other_line").alias("line")).where(known).distinct()
     right = J.near_pairs(e, truth.withColumnRenamed("line", "other_line"), ["repo", "file"], 3).select(*e.columns).distinct().withColumn("hit", F.lit(1))
     total = truth.agg(F.count("*").alias("total"))
@@ -644,7 +770,7 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {Q.LATEST} SELECT scan_id, finding_id, printf('N-%04d', row_number() OVER (PARTITION BY scan_id ORDER BY {Q.SEV_NUM} DESC NULLS LAST, confidence DESC NULLS LAST, finding_id)) AS new_id FROM f""")
 def renumbered(spark: SparkSession, d: str) -> DataFrame:
     """Findings numbered within their scan in order of severity and confidence."""
-    f = levelled_findings(spark, d)
+    f = levelled_findings(spark, d, "severity", "confidence")
     order = Window.partitionBy("scan_id").orderBy(A.severity_number(F.col("severity")).desc_nulls_last(), F.col("confidence").desc_nulls_last(), "finding_id")
     return f.select("scan_id", "finding_id", F.format_string("N-%04d", F.row_number().over(order)).alias("new_id"))
 
@@ -657,11 +783,24 @@ def top_suffixes(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("suffix").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("repos")).orderBy(F.desc("n"), "suffix").limit(10)
 
 
+@query(f"""WITH {Q.LATEST}, r AS (SELECT f.*, l.title FROM f JOIN latest l USING (scan_id, finding_id))
+SELECT scan_id, to_json(struct_pack(ruleId := coalesce('CWE-' || CAST(cwe AS VARCHAR), 'unknown'), level := CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END))
+ AS rule, path, line, finding_id FROM r""")
+def sarif_places(spark: SparkSession, d: str) -> DataFrame:
+    """What the SARIF export says of each finding's rule and place, in columns."""
+    rows = _sarif_rows(spark, d)
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
+    rule = F.to_json(F.struct(F.coalesce(F.col("cwe"), F.lit("unknown")).alias("ruleId"), level.alias("level")))
+    return rows.select("scan_id", rule.alias("rule"), "path", F.col("start_line").cast("long").alias("line"), "finding_id")
+
+
+def _sarif_rows(spark: SparkSession, d: str) -> DataFrame:
+    kept = levelled_findings(spark, d, "cwe", "severity", "path", "line", "title")
+    return kept.withColumn("cwe", F.concat(F.lit("CWE-"), F.col("cwe").cast("string"))).withColumnRenamed("line", "start_line")
+
+
 @query()
 def sarif_export(spark: SparkSession, d: str) -> DataFrame:
     """One SARIF result per finding, secrets masked."""
-    rows = table(spark, d, "findings").where("scan_id is not null and finding_id is not null")
-    kept = latest_rows(rows, ["scan_id", "finding_id"], ["recorded_at", "finding_json", "path", "cwe", "severity"])
-    named = F.concat(F.lit("CWE-"), level_cwe(F.col("cwe")).cast("string"))
-    findings = kept.withColumns({"cwe": named, "severity": level_severity(F.col("severity")), "path": level_path(F.col("path"))})
+    findings = _sarif_rows(spark, d)
     return sarif_results(findings).unionByName(sarif_unlocated(findings))

@@ -80,6 +80,8 @@ f AS (
          {verdict('validator_verdict')} AS validator, {verdict('reviewer_verdict')} AS reviewer, reviewer_at, finding_json
   FROM latest)
 """
+#: For queries that read the JSON: of rows recorded together, the one with the greater JSON text is the last.
+LATEST_JSON = LATEST.replace("DESC NULLS LAST,", "DESC NULLS LAST, coalesce(finding_json, '') DESC,", 1)
 SEV_NUM = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'informational' THEN 1 END"
 
 

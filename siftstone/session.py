@@ -56,7 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def sized(df: DataFrame, most: int = 100_000) -> DataFrame:
+def sized(df: DataFrame, most: int = 20_000) -> DataFrame:
     """A narrow table to join: broadcast if it has at most ``most`` rows, else merged by a shuffle; never by a guess from file sizes."""
     return F.broadcast(df) if df.count() <= most else df.hint("merge")
 

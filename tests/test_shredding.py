@@ -1,6 +1,6 @@
 import json
 
-from siftstone.operators.shredding import FINDING_LISTS, adjacency, child_records, entity_table, records
+from siftstone.operators.shredding import FINDING_LISTS, adjacency, child_records, entity_table
 from tests.conftest import rows
 
 F = "scan_id string, finding_id string, finding_json string"
@@ -61,5 +61,5 @@ def test_entity_table_pivots_scalars(spark):
     data = [("s", "f", json.dumps({"locations": [{"path": "p", "start_line": 3, "x": 1}, {}, {"path": None}]}))]
     keys = ["scan_id", "finding_id"]
     nodes = adjacency(spark.createDataFrame(data, F), keys, "finding_json")
-    table = entity_table(nodes, records(nodes, keys, FINDING_LISTS), keys, "locations", ["path", "start_line"])
+    table = entity_table(nodes, keys, "locations", FINDING_LISTS["locations"], ["path", "start_line"])
     assert rows(table, "list_pos", "rec_path", "rec_start_line") == [(0, "p", "3"), (1, None, None), (2, None, None)]
