@@ -5,6 +5,10 @@ Null text has no lines. A line may hit many patterns; comment-only lines hit non
 
 from __future__ import annotations
 
+import re
+from re import _constants as sre
+from re import _parser as parser
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +26,26 @@ def is_comment(line: Column) -> Column:
     return line.rlike(r"^\s*(#|//|/\*|<!--)")
 
 
+def required_literal(pattern: str) -> str:
+    """The longest run of letters and marks that every match of a pattern holds as it stands; empty if there is none."""
+    tree = parser.parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    runs = [""]
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            runs[-1] += chr(arg)
+        elif op is not sre.AT:
+            runs.append("")
+    return max(runs, key=len)
+
+
 def _hit(line: Column, kind: str, hit_class: str, cwe: int | None, pattern: str) -> Column:
     holds = line.rlike(pattern)
+    literal = required_literal(pattern)
+    if len(literal) >= 2:
+        # Looking for a fixed text costs far less than a pattern, and most lines lack it.
+        holds = F.contains(line, F.lit(literal)) & holds
     if kind in C.UNLESS_FOLLOWED:
         holds = holds & ~line.rlike(C.UNLESS_FOLLOWED[kind])
     fields = F.struct(F.lit(hit_class).alias("hit_class"), F.lit(kind).alias("kind"), F.lit(cwe).cast("int").alias("cwe"))

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftstone.session import spread
+
 KINDS = ("object", "array", "scalar", "null")
 
 _HOLDS_JSON = re.compile(r'\s*[\[{"]')
@@ -96,7 +98,7 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
                 arrays + [pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "node", "parent", "label", "ordinal", "kind", "scalar"]
             )
 
-    rows = docs.where(F.col(json_col).isNotNull()).select(*keys, F.col(json_col).alias("json_text"))
+    rows = spread(docs.where(F.col(json_col).isNotNull()).select(*keys, F.col(json_col).alias("json_text")))
     schema = T.StructType(
         [f for f in rows.schema.fields if f.name in keys]
         + [T.StructField(n, T.StringType()) for n in ("node", "parent", "label")]

@@ -17,7 +17,7 @@ from siftstone.operators.store import latest_rows
 from siftstone.plans import sqltext as Q
 from siftstone.sinks.export import sarif_results, sarif_unlocated
 from siftstone.sources.files import byte_budget
-from siftstone.session import table, written
+from siftstone.session import spread, table, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -109,8 +109,12 @@ line_hits AS (SELECT DISTINCT hit_id, CAST(line_no AS INTEGER) AS line_no, p.hit
 """
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return X.lines(spread(table(spark, d, "structural_hits").select("hit_id", "snippet")), ["hit_id"], "snippet")
+
+
 def _line_hits(spark: SparkSession, d: str) -> DataFrame:
-    return X.line_hits(X.lines(table(spark, d, "structural_hits"), ["hit_id"], "snippet")).drop("line_text")
+    return X.line_hits(_lines(spark, d)).drop("line_text")
 
 
 @query(f"WITH {_LINE_HITS} SELECT * FROM line_hits")
@@ -133,14 +137,14 @@ def index_top_per_class(spark: SparkSession, d: str) -> DataFrame:
   {", ".join("nullif(regexp_extract(line_text, '" + p.replace("'", "''") + "', " + str(2 if p.count("(") - p.count(r"\(") > 1 else 1) + "), '')" for _, p in C.ROUTES)}
   ), 1, 200) AS route FROM code) WHERE route IS NOT NULL""")
 def route_values(spark: SparkSession, d: str) -> DataFrame:
-    return X.route_values(X.lines(table(spark, d, "structural_hits"), ["hit_id"], "snippet")).select("hit_id", "line_no", "route")
+    return X.route_values(_lines(spark, d)).select("hit_id", "line_no", "route")
 
 
 @query(f"""WITH {_LINE_HITS}, s AS (SELECT DISTINCT hit_id, line_no FROM line_hits WHERE hit_class = 'secret')
 SELECT s.hit_id, s.line_no, string_agg(n.line_text, chr(10) ORDER BY n.line_no) AS window FROM s JOIN numbered n
 ON n.hit_id = s.hit_id AND abs(n.line_no - s.line_no) <= 5 GROUP BY ALL""")
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
-    numbered = X.lines(table(spark, d, "structural_hits"), ["hit_id"], "snippet")
+    numbered = _lines(spark, d)
     around = X.line_hits(numbered).where("hit_class = 'secret'").select("hit_id", "line_no").distinct()
     return X.context(numbered, ["hit_id"], around)
 
@@ -640,8 +644,8 @@ def calibrated_probability(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", S.redacted(F.col("text")).alias("text"))
-    return docs
+    docs = spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text"))
+    return docs.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
 @query(f"""WITH d0 AS (SELECT doc_id, {Q.word('source')} AS source, text, length(text) AS size, sha256(text) AS hash FROM documents),
