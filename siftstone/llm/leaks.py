@@ -71,7 +71,7 @@ def weighted_items(items: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
 
 
 def item_fingerprints(weighted: DataFrame, k: int = K) -> DataFrame:
-    """(fingerprint, item_id, text_id): distinct grams of every item that hold a word of a sentence that is not shared."""
+    """(fingerprint, item_id, text_id, n): grams of every item that hold a word of a sentence that is not shared, and how often they stand in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
@@ -81,13 +81,13 @@ def item_fingerprints(weighted: DataFrame, k: int = K) -> DataFrame:
                 tokens, weight = _weighed(sentences)
                 h = gram_hashes(word_codes(tokens, cache), k)
                 counted = np.convolve(weight, np.ones(k, dtype=np.int64), "valid") > 0 if len(h) else np.empty(0, dtype=bool)
-                kept = np.unique(h[counted]).view(np.int64)
-                out.append(pd.DataFrame({"fingerprint": kept, "item_id": i, "text_id": t}))
+                kept, n = np.unique(h[counted], return_counts=True)
+                out.append(pd.DataFrame({"fingerprint": kept.view(np.int64), "item_id": i, "text_id": t, "n": n}))
             if len(cache) > 500_000:
                 cache.clear()
-            yield pd.concat(out) if out else pd.DataFrame({"fingerprint": [], "item_id": [], "text_id": []}).astype("int64")
+            yield pd.concat(out) if out else pd.DataFrame({"fingerprint": [], "item_id": [], "text_id": [], "n": []}).astype("int64")
 
-    return weighted.mapInPandas(run, "fingerprint long, item_id long, text_id long")
+    return weighted.mapInPandas(run, "fingerprint long, item_id long, text_id long, n long")
 
 
 def _weighed(sentences) -> tuple[list[str], list[int]]:
@@ -104,7 +104,8 @@ def _weighed(sentences) -> tuple[list[str], list[int]]:
 def stretches(documents: DataFrame, keys: np.ndarray, reach: int) -> DataFrame:
     """(doc_id, text, fingerprints): the words around the hits of every document, ``reach`` words to both sides.
 
-    ``keys`` are the sorted fingerprints that count as hits. Hits nearer than that share a stretch.
+    ``keys`` are the sorted fingerprints that count as hits. Winnowed grams find the hits, and hits nearer than that share a stretch; all
+    grams of a stretch that are in ``keys`` come out with it.
     """
     held = documents.sparkSession.sparkContext.broadcast(keys)
 
@@ -116,18 +117,18 @@ def stretches(documents: DataFrame, keys: np.ndarray, reach: int) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = words(text)
                 h = gram_hashes(word_codes(tokens, cache), K)
+                values = h.view(np.int64)
+                hit = _isin(values, wanted)
                 at = winnow(h, WINDOW)
-                values = h[at].view(np.int64)
-                place = np.searchsorted(wanted, values)
-                hit = (place < len(wanted)) & (wanted[np.minimum(place, len(wanted) - 1)] == values) if len(wanted) else np.zeros(len(at), dtype=bool)
-                at, values = at[hit], values[hit]
+                at = at[hit[at]]
                 if not len(at):
                     continue
                 cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
                 for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)]):
+                    first, last = max(0, at[a] - reach), at[b - 1] + reach
                     ids.append(i)
-                    texts.append(" ".join(tokens[max(0, at[a] - reach) : at[b - 1] + K + reach]))
-                    found.append(np.unique(values[a:b]))
+                    texts.append(" ".join(tokens[first : last + K]))
+                    found.append(np.unique(values[first : last + 1][hit[first : last + 1]]))
             if len(cache) > 500_000:
                 cache.clear()
             yield pa.RecordBatch.from_arrays(
@@ -137,6 +138,14 @@ def stretches(documents: DataFrame, keys: np.ndarray, reach: int) -> DataFrame:
     return _texts(documents).mapInArrow(run, "doc_id long, text string, fingerprints array<long>")
 
 
+def _isin(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(wanted):
+        return np.zeros(len(values), dtype=bool)
+    place = np.searchsorted(wanted, values)
+    return wanted[np.minimum(place, len(wanted) - 1)] == values
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint): distinct winnowed fingerprints of every text."""
 
@@ -212,6 +221,11 @@ def reached(item: list, doc: list, i: int, j: int, d: int, most: int) -> list[in
     return best
 
 
+#: A passage holds at least so many equal five-word grams: n words of which n // 8 are altered leave at least
+#: n - n // 8 - 4 (n // 8 + 1) of them, which is least at 24 words.
+LEAST_GRAMS = 5
+
+
 def passage(doc: list, doc_at: dict[tuple, list[int]], item: list, weight: list[int], one_in: int = ONE_IN) -> int:
     """The most item words that count in a passage shared by both, 0 if there is none.
 
@@ -222,7 +236,10 @@ def passage(doc: list, doc_at: dict[tuple, list[int]], item: list, weight: list[
     for w in weight:
         counted.append(counted[-1] + w)
     best, most = 0, len(item) // one_in
-    for i, j, n in runs_of_equal_words(doc, doc_at, item):
+    runs = list(runs_of_equal_words(doc, doc_at, item))
+    if sum(n - K + 1 for _, _, n in runs) < LEAST_GRAMS:
+        return 0
+    for i, j, n in runs:
         if best == counted[-1]:
             break
         # More words than those left to a side can't be taken, so fewer edits than these need a look.
@@ -239,14 +256,17 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAS
     """(doc_id, item_id, n_words): each document that holds a passage of an item, and its length."""
     weighted = written(weighted_items(items, shared_by), "items")
     held = written(item_fingerprints(weighted), "item-fingerprints")
-    size = held.count()
-    if size <= broadcast_rows:
+    # Stretches are words already; texts that are read again have to be cut.
+    small = held.count() <= broadcast_rows
+    if small:
         longest = weighted.select(F.aggregate("sentences", F.lit(0), lambda n, s: n + F.size(F.split(s["sentence"], " "))).alias("n")).agg(F.max("n")).first()[0] or 0
         keys = np.unique(np.array([r[0] for r in held.select("fingerprint").distinct().toLocalIterator()], dtype=np.int64))
         # An alignment takes as many words as the item has, and an added one for each edit at most.
         near = written(stretches(documents, keys, longest + longest // ONE_IN + K).withColumn("part", F.xxhash64("doc_id", "text")), "stretches")
         hits = near.select("doc_id", "part", F.explode("fingerprints").alias("fingerprint"))
-        pairs = hits.join(F.broadcast(held), "fingerprint").select("doc_id", "part", "item_id", "text_id").distinct()
+        # Fewer equal grams than any passage has need no closer look; grams count as often as they stand in the item.
+        shared = hits.join(F.broadcast(held), "fingerprint").groupBy("doc_id", "part", "item_id", "text_id").agg(F.sum("n").alias("n"))
+        pairs = shared.where(F.col("n") >= LEAST_GRAMS).drop("n")
         joined = near.select("doc_id", "part", "text").join(pairs, ["doc_id", "part"]).join(F.broadcast(weighted), ["item_id", "text_id"])
     else:
         pairs = fingerprints(documents).join(held, "fingerprint").select("doc_id", "item_id", "text_id").distinct()
@@ -260,8 +280,8 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least_words: int = LEAS
             for doc_id, text, item_id, text_id, sentences in zip(pdf.doc_id, pdf.text, pdf.item_id, pdf.text_id, pdf.sentences):
                 if (item_id, text_id) not in known:
                     known[item_id, text_id] = _weighed(sentences)
-                if text is not last:
-                    last, tokens = text, words(text)
+                if text != last:
+                    last, tokens = text, text.split() if small else words(text)
                     at = gram_places(tokens)
                 n = passage(tokens, at, *known[item_id, text_id])
                 if n >= least_words:
