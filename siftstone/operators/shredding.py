@@ -1,7 +1,8 @@
 """Nested JSON records as an adjacency table, and flat entity tables made from it.
 
 Every JSON value becomes one node (node, parent, label, ordinal, kind, scalar). A node's id is its path
-from the root, so a parent's id is a prefix of it. Text that holds JSON counts as what it holds, at any
+from the root, ``/name`` for a member and ``#place`` for an item of a list (``~``, ``/`` and ``#`` in names are
+escaped), so a parent's id is a prefix of it. Text that holds JSON counts as what it holds, at any
 depth. Records are object nodes; pivoting their scalar children gives an entity's table.
 
 Null, blank and invalid text gives no nodes. Records may nest to any depth.
@@ -14,6 +15,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +44,11 @@ def _decoded(value: object) -> object:
     return value
 
 
-def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | None, emit: Callable[..., None]) -> None:
+def _step(key: str) -> str:
+    return "/" + key.replace("~", "~0").replace("/", "~1").replace("#", "~2") if "/" in key or "#" in key or "~" in key else "/" + key
+
+
+def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | None, emit: Callable[[tuple], None]) -> None:
     """Emit every node of one document, parents first; an explicit stack, so depth has no limit.
 
     Text under the labels of ``nested``, in their lists, and the document itself may hold JSON; other text stays text.
@@ -54,20 +60,20 @@ def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | Non
     stack: list[tuple[str, str | None, str, int, object, bool]] = [("", None, "", 0, root, True)]
     while stack:
         node, parent, label, ordinal, value, may_hold = stack.pop()
-        if may_hold:
+        if may_hold and isinstance(value, str):
             value = _decoded(value)
         if isinstance(value, dict):
-            emit(node, parent, label, ordinal, "object", None)
+            emit((node, parent, label, ordinal, "object", None))
             for i, (k, v) in enumerate(value.items()):
                 if labels is None or k in labels:
-                    stack.append((f"{node}/{k.replace('/', '~1')}", node, k, i, v, nested is None or k in nested))
+                    stack.append((node + _step(k), node, k, i, v, nested is None or k in nested))
         elif isinstance(value, list):
-            emit(node, parent, label, ordinal, "array", None)
-            stack.extend((f"{node}/{i}", node, str(i), i, v, may_hold) for i, v in enumerate(value))
+            emit((node, parent, label, ordinal, "array", None))
+            stack.extend((f"{node}#{i}", node, str(i), i, v, may_hold) for i, v in enumerate(value))
         elif value is None:
-            emit(node, parent, label, ordinal, "null", None)
+            emit((node, parent, label, ordinal, "null", None))
         else:
-            emit(node, parent, label, ordinal, "scalar", value if isinstance(value, str) else json.dumps(value))
+            emit((node, parent, label, ordinal, "scalar", value if isinstance(value, str) else json.dumps(value)))
 
 
 def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str] | None = None, kinds: tuple[str, ...] = KINDS, nested: list[str] | None = None) -> DataFrame:
@@ -76,27 +82,21 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
     ``labels`` limits the members that become nodes, with all that lies below others left out; ``kinds``
     limits the nodes that come out; ``nested`` limits the members whose text may hold JSON (default: any).
     """
-    wanted, held, kept = (None if x is None else frozenset(x) for x in (labels, nested, kinds))
+    wanted, held = (None if x is None else frozenset(x) for x in (labels, nested))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
-            columns: tuple[list, ...] = ([], [], [], [], [], [])
+            nodes: list[tuple] = []
             for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-
-                def emit(*node: object, row: int = row) -> None:
-                    if node[4] in kept:
-                        at.append(row)
-                        for column, x in zip(columns, node):
-                            column.append(x)
-
-                _walk(text, wanted, held, emit)
+                _walk(text, wanted, held, nodes.append)
+                at.extend([row] * (len(nodes) - len(at)))
+            columns = zip(*nodes) if nodes else [()] * 6
             types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
             taken = pa.array(at, pa.int64())
-            arrays = [batch.column(k).take(taken) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays(
-                arrays + [pa.array(c, t) for c, t in zip(columns, types)], names=[*keys, "node", "parent", "label", "ordinal", "kind", "scalar"]
-            )
+            arrays = [batch.column(k).take(taken) for k in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns, types)]
+            out = pa.RecordBatch.from_arrays(arrays, names=[*keys, "node", "parent", "label", "ordinal", "kind", "scalar"])
+            yield out.filter(pc.is_in(out.column("kind"), pa.array(kinds)))
 
     rows = spread(docs.where(F.col(json_col).isNotNull()).select(*keys, F.col(json_col).alias("json_text")))
     schema = T.StructType(
@@ -107,57 +107,56 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
     return rows.mapInArrow(run, schema)
 
 
-def _place(node: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(node, pattern, group)
-
-
 def _record_place(node: Column, lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...]) -> Column:
-    """(list_name, parent_pos, list_pos) of the record at a node, null where none can stand."""
-    top = "^(?:/(?:" + "|".join(wrappers) + "))?" if wrappers else "^"
-    path = F.regexp_replace(node, top + "(?=/|$)", "")
+    """(list_name, parent_pos, list_pos) of the record at a node, null where none can stand.
+
+    Paths are compared as text between the places of items, which costs less than a pattern.
+    """
+    piece = F.split(node, "#")
+    n, first, second = F.size(piece), piece[0], F.get(piece, F.lit(1))
+    number = lambda c: c.try_cast("int")
+    place = lambda name, parent, own: F.struct(F.lit(name).alias("list_name"), parent.alias("parent_pos"), own.alias("list_pos"))
+    tops = ["", *(f"/{w}" for w in wrappers)]
+    none = F.lit(0)
     cases = []
     for name, paths in lists.items():
-        for p in paths:
-            outer, star, inner = p.partition("/*/")
-            if star:
-                pattern = rf"^/{outer}(?:/(\d+))?/{inner}(?:/(\d+))?$"
-                parent, own = _place(path, pattern, 1), _place(path, pattern, 2)
-                parent = F.when(parent == "", "0").otherwise(parent)
-            else:
-                pattern = rf"^/{p}(?:/(\d+))?$"
-                parent, own = F.lit("-1"), _place(path, pattern, 1)
-            own = F.when(own == "", "0").otherwise(own)
-            cases.append(F.when(path.rlike(pattern), F.struct(F.lit(name).alias("list_name"), parent.cast("int").alias("parent_pos"), own.cast("int").alias("list_pos"))))
+        plain = [f"{t}/{p}" for t in tops for p in paths if "/*/" not in p]
+        if plain:
+            own = F.when(n == 1, none).when((n == 2) & number(second).isNotNull(), number(second))
+            cases.append(F.when(first.isin(plain) & own.isNotNull(), place(name, F.lit(-1), own)))
+        for outer, inner in (p.split("/*/") for p in paths if "/*/" in p):
+            alone = first.isin([f"{t}/{outer}/{inner}" for t in tops])
+            within = first.isin([f"{t}/{outer}" for t in tops]) & (F.substring_index(second, "/", -1) == inner)
+            within = within & (second == F.concat(F.substring_index(second, "/", 1), F.lit(f"/{inner}")))
+            parent = F.when(alone, none).when(within, number(F.substring_index(second, "/", 1)))
+            own = F.when(n == F.when(alone, 1).otherwise(2), none).when(n == F.when(alone, 2).otherwise(3), number(piece[n - 1]))
+            cases.append(F.when(parent.isNotNull() & own.isNotNull(), place(name, parent, own)))
     return F.coalesce(*cases)
 
 
-def records(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...] = ()) -> DataFrame:
-    """keys and (list_name, parent_pos, list_pos): the records of named lists, which are object nodes.
+def entity_tables(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str, ...]], columns: list[str], wrappers: tuple[str, ...] = ()) -> DataFrame:
+    """One row per record of the named lists: keys, list_name, parent_pos, list_pos and its scalar members as text columns rec_*.
 
     ``lists`` maps a list's name to the paths it may stand at, a ``*`` in a path being the place of the
     parent record in its own list. A list may be a single object. ``wrappers`` are members that may
-    enclose the whole record.
-    """
-    placed = nodes.where("kind = 'object'").withColumn("r", _record_place(F.col("node"), lists, wrappers))
-    return placed.where("r is not null").select(*keys, "r.list_name", "r.parent_pos", "r.list_pos")
-
-
-def entity_table(nodes: DataFrame, keys: list[str], list_name: str, paths: tuple[str, ...], columns: list[str], wrappers: tuple[str, ...] = ()) -> DataFrame:
-    """One row per record of a list: keys, parent_pos, list_pos and its scalar members as text columns rec_*.
-
-    Object nodes and the scalar nodes whose parent they are come together by place and are pivoted in one shuffle; records without scalars
-    keep their row. A record delivered twice is one row, with the greater text where the deliveries differ.
+    enclose the whole record. Object nodes and the scalar nodes whose parent they are come together by place and are pivoted in one
+    shuffle; records without scalars keep their row. A record delivered twice is one row, with the greater text where the deliveries differ.
     """
     is_object = F.col("kind") == "object"
     # A scalar stands at the place of the object that is its parent.
     own = nodes.where(is_object | (F.col("label").isin(columns) & (F.col("kind") == "scalar")))
-    placed = own.withColumn("r", _record_place(F.when(is_object, F.col("node")).otherwise(F.col("parent")), {list_name: paths}, wrappers)).where("r is not null")
-    pivoted = placed.groupBy(*keys, "r.parent_pos", "r.list_pos").agg(
+    placed = own.withColumn("r", _record_place(F.when(is_object, F.col("node")).otherwise(F.col("parent")), lists, wrappers)).where("r is not null")
+    pivoted = placed.groupBy(*keys, "r.list_name", "r.parent_pos", "r.list_pos").agg(
         F.max(is_object).alias("is_record"), *(F.max(F.when(~is_object & (F.col("label") == c), F.col("scalar"))).alias(f"rec_{c}") for c in columns)
     )
     return pivoted.where("is_record").drop("is_record")
 
 
+def entity_table(nodes: DataFrame, keys: list[str], list_name: str, paths: tuple[str, ...], columns: list[str], wrappers: tuple[str, ...] = ()) -> DataFrame:
+    """The table of one list, without its name."""
+    return entity_tables(nodes, keys, {list_name: paths}, columns, wrappers).drop("list_name")
+
+
 FINDING_LISTS = {
     "locations": ("locations",),
     "votes": ("votes",),
@@ -169,13 +168,24 @@ FINDING_NESTED = ["finding", "locations", "votes", "evidence", "taint", "taint_p
 MANIFEST_NESTED = ["manifest", "stages", "findings"]
 
 
+#: Scalar members of the records of both documents.
+FINDING_COLUMNS = ["path", "start_line", "end_line", "snippet", "role", "model", "verdict", "kind", "check", "detail"]
+MANIFEST_COLUMNS = ["stage_id", "skill", "duration_seconds", "tokens_in", "tokens_out", "cost_usd", "error", "id", "cwe"]
+
+
+def all_entities(findings: DataFrame, scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity tables of finding_json and of manifest_json, from the whole adjacency tables of both."""
+    keys = ["scan_id", "finding_id"]
+    kinds = ("object", "scalar")
+    own = adjacency(findings, keys, "finding_json", kinds=kinds, nested=FINDING_NESTED)
+    of_scan = adjacency(scans.select("scan_id", F.lit("").alias("finding_id"), "manifest_json"), keys, "manifest_json", kinds=kinds, nested=MANIFEST_NESTED)
+    return entity_tables(own, keys, FINDING_LISTS, FINDING_COLUMNS, ("finding",)), entity_tables(of_scan, keys, MANIFEST_LISTS, MANIFEST_COLUMNS, ("manifest",))
+
+
 def child_records(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """(scan_id, finding_id, list_name, parent_pos, list_pos) for every child record of both documents."""
-    keys = ["scan_id", "finding_id"]
-    own = records(adjacency(findings, keys, "finding_json", FINDING_NESTED, ("object",), FINDING_NESTED), keys, FINDING_LISTS, ("finding",))
-    manifests = scans.select("scan_id", F.lit("").alias("finding_id"), "manifest_json")
-    of_scan = records(adjacency(manifests, keys, "manifest_json", MANIFEST_NESTED, ("object",), MANIFEST_NESTED), keys, MANIFEST_LISTS, ("manifest",))
-    return own.unionByName(of_scan).distinct()
+    own, of_scan = (t.select("scan_id", "finding_id", "list_name", "parent_pos", "list_pos") for t in all_entities(findings, scans))
+    return own.unionByName(of_scan)
 
 
 def finding_entity(findings: DataFrame, name: str, columns: list[str]) -> DataFrame:

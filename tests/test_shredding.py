@@ -1,6 +1,6 @@
 import json
 
-from siftstone.operators.shredding import FINDING_LISTS, adjacency, child_records, entity_table
+from siftstone.operators.shredding import FINDING_LISTS, adjacency, all_entities, child_records, entity_table
 from tests.conftest import rows
 
 F = "scan_id string, finding_id string, finding_json string"
@@ -63,3 +63,13 @@ def test_entity_table_pivots_scalars(spark):
     nodes = adjacency(spark.createDataFrame(data, F), keys, "finding_json")
     table = entity_table(nodes, keys, "locations", FINDING_LISTS["locations"], ["path", "start_line"])
     assert rows(table, "list_pos", "rec_path", "rec_start_line") == [(0, "p", "3"), (1, None, None), (2, None, None)]
+
+
+def test_members_named_like_places_are_no_items(spark):
+    doc = {"locations": {"0": {"path": "inner"}, "path": "outer"}, "locations#1": {"path": "x"}, "votes": [[{"role": "r"}]], "evidence": [{"kind": "k", "sub": {"kind": "deep"}}], "a/locations": [{}]}
+    manifest = {"stages": {"0": {"findings": [{}]}, "findings": {"id": 1}}, "stages#2/findings": [{}], "x": {"findings": [{}]}}
+    found = spark.createDataFrame([("s", "f", json.dumps(doc))], F)
+    got = child_records(found, spark.createDataFrame([("s", json.dumps(manifest))], S))
+    assert rows(got) == sorted([("s", "f", "locations", -1, 0), ("s", "f", "evidence", -1, 0), ("s", "", "stages", -1, 0), ("s", "", "findings", 0, 0)], key=str)
+    entities, _ = all_entities(found, spark.createDataFrame([], S))
+    assert rows(entities, "list_name", "rec_path", "rec_kind") == [("evidence", None, "k"), ("locations", "outer", None)]
