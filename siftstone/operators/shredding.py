@@ -15,7 +15,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +47,16 @@ def _step(key: str) -> str:
     return "/" + key.replace("~", "~0").replace("/", "~1").replace("#", "~2") if "/" in key or "#" in key or "~" in key else "/" + key
 
 
-def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | None, emit: Callable[[tuple], None]) -> None:
-    """Emit every node of one document, parents first; an explicit stack, so depth has no limit.
+def _scalar_text(value: object) -> str:
+    if isinstance(value, str):
+        return value
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return repr(value) if isinstance(value, int) else json.dumps(value)
+
+
+def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | None, kinds: frozenset[str], emit: Callable[[tuple], None]) -> None:
+    """Emit every node of one document that is of ``kinds``, parents first; an explicit stack, so depth has no limit.
 
     Text under the labels of ``nested``, in their lists, and the document itself may hold JSON; other text stays text.
     """
@@ -63,17 +70,20 @@ def _walk(text: str, labels: frozenset[str] | None, nested: frozenset[str] | Non
         if may_hold and isinstance(value, str):
             value = _decoded(value)
         if isinstance(value, dict):
-            emit((node, parent, label, ordinal, "object", None))
+            if "object" in kinds:
+                emit((node, parent, label, ordinal, "object", None))
             for i, (k, v) in enumerate(value.items()):
                 if labels is None or k in labels:
                     stack.append((node + _step(k), node, k, i, v, nested is None or k in nested))
         elif isinstance(value, list):
-            emit((node, parent, label, ordinal, "array", None))
+            if "array" in kinds:
+                emit((node, parent, label, ordinal, "array", None))
             stack.extend((f"{node}#{i}", node, str(i), i, v, may_hold) for i, v in enumerate(value))
         elif value is None:
-            emit((node, parent, label, ordinal, "null", None))
-        else:
-            emit((node, parent, label, ordinal, "scalar", value if isinstance(value, str) else json.dumps(value)))
+            if "null" in kinds:
+                emit((node, parent, label, ordinal, "null", None))
+        elif "scalar" in kinds:
+            emit((node, parent, label, ordinal, "scalar", _scalar_text(value)))
 
 
 def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str] | None = None, kinds: tuple[str, ...] = KINDS, nested: list[str] | None = None) -> DataFrame:
@@ -82,21 +92,20 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
     ``labels`` limits the members that become nodes, with all that lies below others left out; ``kinds``
     limits the nodes that come out; ``nested`` limits the members whose text may hold JSON (default: any).
     """
-    wanted, held = (None if x is None else frozenset(x) for x in (labels, nested))
+    wanted, held, kept = (None if x is None else frozenset(x) for x in (labels, nested, kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at: list[int] = []
             nodes: list[tuple] = []
             for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                _walk(text, wanted, held, nodes.append)
+                _walk(text, wanted, held, kept, nodes.append)
                 at.extend([row] * (len(nodes) - len(at)))
             columns = zip(*nodes) if nodes else [()] * 6
             types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
             taken = pa.array(at, pa.int64())
             arrays = [batch.column(k).take(taken) for k in range(len(keys))] + [pa.array(c, t) for c, t in zip(columns, types)]
-            out = pa.RecordBatch.from_arrays(arrays, names=[*keys, "node", "parent", "label", "ordinal", "kind", "scalar"])
-            yield out.filter(pc.is_in(out.column("kind"), pa.array(kinds)))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "node", "parent", "label", "ordinal", "kind", "scalar"])
 
     rows = spread(docs.where(F.col(json_col).isNotNull()).select(*keys, F.col(json_col).alias("json_text")))
     schema = T.StructType(
@@ -107,31 +116,33 @@ def adjacency(docs: DataFrame, keys: list[str], json_col: str, labels: list[str]
     return rows.mapInArrow(run, schema)
 
 
-def _record_place(node: Column, lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...]) -> Column:
-    """(list_name, parent_pos, list_pos) of the record at a node, null where none can stand.
+def _placed(nodes: DataFrame, at: Column, lists: dict[str, tuple[str, ...]], wrappers: tuple[str, ...]) -> DataFrame:
+    """``nodes`` with (list_name, parent_pos, list_pos) of the record at the path ``at``; nodes at no list's path are left out, and
+    list_name is null where none can stand.
 
-    Paths are compared as text between the places of items, which costs less than a pattern.
+    Paths are cut once at the places of items and compared as text, which costs less than a pattern for each list.
     """
-    piece = F.split(node, "#")
-    n, first, second = F.size(piece), piece[0], F.get(piece, F.lit(1))
-    number = lambda c: c.try_cast("int")
-    place = lambda name, parent, own: F.struct(F.lit(name).alias("list_name"), parent.alias("parent_pos"), own.alias("list_pos"))
     tops = ["", *(f"/{w}" for w in wrappers)]
-    none = F.lit(0)
-    cases = []
-    for name, paths in lists.items():
-        plain = [f"{t}/{p}" for t in tops for p in paths if "/*/" not in p]
-        if plain:
-            own = F.when(n == 1, none).when((n == 2) & number(second).isNotNull(), number(second))
-            cases.append(F.when(first.isin(plain) & own.isNotNull(), place(name, F.lit(-1), own)))
-        for outer, inner in (p.split("/*/") for p in paths if "/*/" in p):
-            alone = first.isin([f"{t}/{outer}/{inner}" for t in tops])
-            within = first.isin([f"{t}/{outer}" for t in tops]) & (F.substring_index(second, "/", -1) == inner)
-            within = within & (second == F.concat(F.substring_index(second, "/", 1), F.lit(f"/{inner}")))
-            parent = F.when(alone, none).when(within, number(F.substring_index(second, "/", 1)))
-            own = F.when(n == F.when(alone, 1).otherwise(2), none).when(n == F.when(alone, 2).otherwise(3), number(piece[n - 1]))
-            cases.append(F.when(parent.isNotNull() & own.isNotNull(), place(name, parent, own)))
-    return F.coalesce(*cases)
+    plain = {f"{t}/{p}": name for name, paths in lists.items() for p in paths if "/*/" not in p for t in tops}
+    nested = [(name, *p.split("/*/")) for name, paths in lists.items() for p in paths if "/*/" in p]
+    heads = [*plain, *(f"{t}/{x}" for _, outer, inner in nested for t in tops for x in (outer, f"{outer}/{inner}"))]
+    cut = nodes.withColumn("at", at).where(F.substring_index("at", "#", 1).isin(heads)).withColumn("piece", F.split("at", "#"))
+    n, first, second = F.size("piece"), F.col("piece")[0], F.get("piece", F.lit(1))
+    number = lambda c: c.try_cast("int")
+    in_list = cut.withColumn("own", F.when(n == 1, 0).when(n == 2, number(second)))
+    called = F.coalesce(*(F.when(first.isin([p for p, of in plain.items() if of == name]), name) for name in dict.fromkeys(plain.values())), F.lit(None).cast("string"))
+    found, parent, own = F.when(F.col("own").isNotNull(), called), F.lit(-1), F.col("own")
+    for name, outer, inner in nested:
+        alone = first.isin([f"{t}/{outer}/{inner}" for t in tops])
+        above = number(F.substring_index(second, "/", 1))
+        # An outer record may be a single object, as may its list.
+        within = (n > 1) & first.isin([f"{t}/{outer}" for t in tops]) & (F.instr(second, "/") > 0) & (F.substring(second, F.instr(second, "/") + 1, F.length(second)) == inner)
+        inside = F.when(alone, F.when(n == 1, 0).when(n == 2, number(second))).when(within & above.isNotNull(), F.when(n == 2, 0).when(n == 3, number(F.get("piece", F.lit(2)))))
+        is_inside = alone | within
+        found = F.when(is_inside, F.when(inside.isNotNull(), name)).otherwise(found)
+        parent = F.when(is_inside, F.when(alone, 0).otherwise(above)).otherwise(parent)
+        own = F.when(is_inside, inside).otherwise(own)
+    return in_list.select("*", found.alias("list_name"), parent.alias("parent_pos"), own.alias("list_pos"))
 
 
 def entity_tables(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str, ...]], columns: list[str], wrappers: tuple[str, ...] = ()) -> DataFrame:
@@ -145,9 +156,11 @@ def entity_tables(nodes: DataFrame, keys: list[str], lists: dict[str, tuple[str,
     is_object = F.col("kind") == "object"
     # A scalar stands at the place of the object that is its parent.
     own = nodes.where(is_object | (F.col("label").isin(columns) & (F.col("kind") == "scalar")))
-    placed = own.withColumn("r", _record_place(F.when(is_object, F.col("node")).otherwise(F.col("parent")), lists, wrappers)).where("r is not null")
-    pivoted = placed.groupBy(*keys, "r.list_name", "r.parent_pos", "r.list_pos").agg(
-        F.max(is_object).alias("is_record"), *(F.max(F.when(~is_object & (F.col("label") == c), F.col("scalar"))).alias(f"rec_{c}") for c in columns)
+    placed = _placed(own, F.when(is_object, F.col("node")).otherwise(F.col("parent")), lists, wrappers)
+    # That a record stands there is asked of the groups: asked of the nodes, their place would be worked out twice.
+    pivoted = placed.groupBy(*keys, "list_name", "parent_pos", "list_pos").agg(
+        F.max(is_object & F.col("list_name").isNotNull()).alias("is_record"),
+        *(F.max(F.when(~is_object & (F.col("label") == c), F.col("scalar"))).alias(f"rec_{c}") for c in columns),
     )
     return pivoted.where("is_record").drop("is_record")
 
