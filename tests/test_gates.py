@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.plans import core, gates, reference
+from siftstone.plans import core, gates, records, reference
 from tests.conftest import rows
 
-OWN = core.QUERIES | reference.QUERIES | gates.QUERIES
+OWN = core.QUERIES | reference.QUERIES | gates.QUERIES | records.QUERIES
 #: Domains that are shown in full, and totals, have rows even where no data are.
 ALWAYS = {"severity_counts", "conditional_counts"}
 
