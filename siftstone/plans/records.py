@@ -43,8 +43,18 @@ def _first_places(spark: SparkSession, findings: DataFrame) -> DataFrame:
     return places.select(*KEY, F.col("rec_path").alias("loc_path"), F.col("rec_start_line").alias("loc_start"), F.col("rec_end_line").alias("loc_end"))
 
 
+def _with_body(findings: DataFrame) -> DataFrame:
+    """``findings`` with the record in their JSON as text, taken out of its wrapper once; null where the text is no JSON."""
+    held = F.when(F.col("finding_json").rlike(r'^\s*"'), F.get_json_object("finding_json", "$")).otherwise(F.col("finding_json"))
+    return findings.withColumn("held", held).withColumn("body", F.when(F.try_parse_json("held").isNotNull(), F.coalesce(F.get_json_object("held", "$.finding"), "held"))).drop("held")
+
+
+def _member(path: str) -> Column:
+    return F.get_json_object("body", f"$.{path}")
+
+
 def _is_true(path: str) -> Column:
-    return F.coalesce(F.lower(R.json_member(path)) == "true", F.lit(False))
+    return F.coalesce(F.lower(_member(path)) == "true", F.lit(False))
 
 
 def _is_true_sql(path: str) -> str:
@@ -52,7 +62,7 @@ def _is_true_sql(path: str) -> str:
 
 
 def _joined(path: str) -> Column:
-    return F.coalesce(F.array_join(F.from_json(R.json_member(path), "array<string>"), ";"), F.lit(""))
+    return F.coalesce(F.array_join(F.from_json(_member(path), "array<string>"), ";"), F.lit(""))
 
 
 def _joined_sql(path: str) -> str:
@@ -70,10 +80,10 @@ def _joined_sql(path: str) -> str:
 def full_export(spark: SparkSession, d: str) -> DataFrame:
     """The flat export in all of its 25 columns, beside the scan: texts that are missing come out empty, numbers null, flags false."""
     f = R.levelled_findings(spark, d, "severity", "cwe", "path", "line", "skill", "confidence", "title", "cvss_score", "cvss_vector", "finding_json")
-    f = f.join(_first_places(spark, f).select(*KEY, "loc_end"), KEY, "left")
+    f = _with_body(f.join(_first_places(spark, f).select(*KEY, "loc_end"), KEY, "left"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    number = lambda path: R.json_member(path).try_cast("double")
-    signals = F.map_keys(F.map_filter(F.from_json(R.json_member("verification.signals"), "map<string,boolean>"), lambda _, ok: ok))
+    number = lambda path: _member(path).try_cast("double")
+    signals = F.map_keys(F.map_filter(F.from_json(_member("verification.signals"), "map<string,boolean>"), lambda _, ok: ok))
     return f.select(
         "scan_id", F.col("finding_id").alias("id"), text(F.col("title")).alias("title"), text(F.col("severity")).alias("severity"), text(F.concat(F.lit("CWE-"), F.col("cwe").cast("string"))).alias("cwe"), "cvss_score",
         text(F.col("cvss_vector")).alias("cvss_vector"), "confidence", number("calibrated_confidence").alias("calibrated_confidence"), _is_true("verification.verified").alias("verified"),
@@ -81,8 +91,8 @@ def full_export(spark: SparkSession, d: str) -> DataFrame:
         (_is_true("externally_corroborated") | _is_true("verification.signals.corroborated")).alias("externally_corroborated"), _joined("corroborating_tools").alias("corroborating_tools"),
         (_is_true("grounded") | _is_true("verification.signals.grounded")).alias("grounded"), number("reachability").alias("reachability"), _is_true("poc.is_concrete").alias("has_concrete_poc"),
         _is_true("poc_demonstrated").alias("poc_demonstrated"), _is_true("abstained").alias("abstained"), text(F.col("path")).alias("path"), F.col("line").alias("start_line"),
-        F.col("loc_end").try_cast("long").alias("end_line"), text(F.col("skill")).alias("skill"), text(R.json_member("stage")).alias("stage"), _joined("tags").alias("tags"),
-        F.trim(F.replace(text(R.json_member("remediation")), F.lit("\n"), F.lit(" "))).alias("remediation"),
+        F.col("loc_end").try_cast("long").alias("end_line"), text(F.col("skill")).alias("skill"), text(_member("stage")).alias("stage"), _joined("tags").alias("tags"),
+        F.trim(F.replace(text(_member("remediation")), F.lit("\n"), F.lit(" "))).alias("remediation"),
     )
 
 
@@ -104,8 +114,8 @@ def normalised_replies(spark: SparkSession, d: str) -> DataFrame:
     A record without title or place has its reason to be rejected; text that is no JSON gives no row.
     """
     f = R.levelled_findings(spark, d, "finding_json")
-    f = f.join(_first_places(spark, f), KEY, "left").where(F.try_parse_json("finding_json").isNotNull())
-    m = R.json_member
+    f = _with_body(f.join(_first_places(spark, f), KEY, "left")).where("body is not null")
+    m = _member
     text = lambda path: F.coalesce(m(path), F.lit(""))
     some = lambda c: F.nullif(c, F.lit(""))
     severity = F.coalesce(F.create_map(*(F.lit(x) for pair in REPLY_SEVERITIES.items() for x in pair))[F.lower(m("severity"))], F.lit("medium"))
